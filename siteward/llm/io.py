@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +36,8 @@ def stored(df: DataFrame) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone; a null counts as empty."""
     return F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shipped(spark: SparkSession, value: object) -> Broadcast:
+    """value for all executors, its classes included; ``pickle.loads(x.value)`` gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteward.llm import chat, decontam, langid, licenses, packing, pii, sharding, toxicity
+from siteward.llm import ann, chat, decontam, langid, licenses, packing, pii, sharding, toxicity
 from siteward.llm.io import table
 
 
@@ -37,6 +37,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours_of(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 

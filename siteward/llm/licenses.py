@@ -113,8 +113,10 @@ def _count_words(spaced: Column) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score."""
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score."""
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    text = "text"
     table = rules()
     words = sorted({r[1] for r in table})
     body = F.coalesce(F.col(text), F.lit(""))
@@ -157,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.coalesce(F.array_sort(F.transform("_b", lambda b: b["label"])), none)
     out = out.withColumn("_base", base)
     return out.select(
-        *[F.col(c) for c in docs.columns],
+        "key",
         F.col("_n").alias("n_words"),
         F.coalesce(F.aggregate("_b", F.lit(0).cast("long"), lambda a, b: a + b["n"]), F.lit(0)).alias("n_base"),
         F.array_min(F.transform("_b", lambda b: b["first"])).alias("first_word"),
@@ -169,7 +171,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = scan(docs.select("doc_id", "text"))
+    out = scan(docs).withColumnRenamed("key", "doc_id")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",

@@ -259,7 +259,9 @@ def written(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every found stretch replaced by the name of its first kind in brackets."""
-    df = find(docs, text)
+    # The row is kept apart, so that no column of it meets those made here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    df = find(own, "text")
     kind = "array<struct<start:bigint,end:bigint,kind:string>>"
     last = lambda acc: F.try_element_at(acc, F.lit(-1))
 
@@ -272,8 +274,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     end = lambda i: F.when(i > 0, F.get("_m", i - 1)["end"]).otherwise(F.lit(0).cast("long"))
     piece = lambda s, i: F.concat(F.substr("_t", (end(i) + 1).cast("int"), (s["start"] - end(i)).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
     tail = F.substr("_t", (last(F.col("_m"))["end"] + 1).cast("int"))
-    new = F.when(F.col("_m").isNotNull(), F.concat(F.array_join(F.transform("_m", piece), ""), tail)).otherwise(F.col(text))
-    return df.withColumn(text, new).select(*docs.columns)
+    new = F.when(F.col("_m").isNotNull(), F.concat(F.array_join(F.transform("_m", piece), ""), tail)).otherwise(F.col("text"))
+    return df.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a Python worker's memory doesn't follow the length of texts;
+    what the session sets itself stays."""
+    for key, value, default in (("maxRecordsPerBatch", ARROW_ROWS, 10_000), ("maxBytesPerBatch", ARROW_BYTES, (1 << 31) - 1)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if str(spark.conf.get(name, str(default))).rstrip("bB") in (str(default), str(1 << 31)):
+            spark.conf.set(name, str(value))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,7 +17,7 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _MULT = 0x9E3779B97F4A7C15
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _powers(n: int) -> np.ndarray:

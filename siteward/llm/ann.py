@@ -32,7 +32,8 @@ CHUNK = 128
 ROUNDS = 8
 SAMPLE = 16
 REVERSE = 24
-PART = 4096
+PART = 16384
+LEAST_PARTS = 8
 STOP = 0.01
 BEAM = 160
 EXPAND = 24
@@ -186,7 +187,7 @@ def local_joins(graph: DataFrame, nodes: DataFrame, parts: int, neighbours: int,
 
 def build(nodes: DataFrame, total: int, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph: u, w, d (squared)."""
-    parts = max(1, -(-total // PART))
+    parts = max(LEAST_PARTS, -(-total // PART))
     graph = stored(nearest(leaves(nodes, total, TREES, neighbours).withColumn("fresh", F.lit(True)), neighbours))
     for r in range(rounds):
         found = local_joins(graph, nodes, parts, neighbours, r).withColumn("fresh", F.lit(True))

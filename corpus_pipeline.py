@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteward.llm import decontam, langid, neardup, packing, pii
-from siteward.llm.io import stored, table
+from siteward.llm.io import bounded_batches, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the compression classifier rejects."""
+    bounded_batches(spark)
     return langid.accepted(docs, langid.learn(docs.filter(~langid.held_out("doc_id", 4, 2))))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siteward.llm import ann, chat, decontam, langid, licenses, neardup, packing, pii, sharding, toxicity
 from siteward.llm.io import table
+from siteward.llm.oracles import oracle_sql as oracle_sql
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,3 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

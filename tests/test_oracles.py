@@ -25,8 +25,10 @@ def duck():
 
 
 def rows(df):
+    import pandas as pd
+
     df = df.reindex(sorted(df.columns), axis=1)
-    plain = lambda v: None if v is None or v != v else (float(v) if not isinstance(v, str) else v)
+    plain = lambda v: v if isinstance(v, str) else None if pd.isna(v) else float(v)
     return sorted([tuple(map(plain, r)) for r in df.itertuples(index=False)], key=repr)
 
 

@@ -120,12 +120,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     table = rules()
     words = sorted({r[1] for r in table})
     body = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(body)
-    gate = F.lit(False)
-    for word in GATE:
-        gate = gate | F.contains(low, F.lit(word))
-    # "cc by nc" with whatever stands between its words; the other two hold "licen".
-    gate = gate | (F.contains(low, F.lit("cc")) & F.rlike(body, F.lit(f"(?i)cc{BREAK}by{BREAK}nc")))
+
+    def passes(low: Column) -> Column:
+        gate = F.lit(False)
+        for word in GATE:
+            gate = gate | F.contains(low, F.lit(word))
+        # "cc by nc" with whatever stands between its words; the other two hold "licen".
+        return gate | (F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(f"cc{BREAK}by{BREAK}nc")))
+
+    # Bound to a variable, so that a text is lower-cased once for all keywords.
+    gate = F.exists(F.array(F.lower(body)), passes)
     trimmed = F.trim(F.regexp_replace(ascii_lower(F.col(text)), BREAK, "  "))
     spaced = F.when(gate & (trimmed != ""), F.concat(F.lit(" "), trimmed, F.lit(" "))).otherwise(F.lit(""))
     out = docs.withColumn("_n", F.regexp_count(body, F.lit(WORD)).cast("long")).withColumn("_s", spaced)

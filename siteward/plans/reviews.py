@@ -153,15 +153,15 @@ def replication(spark, d):
 
 @query(
     "spatial_leakage",
-    f"""WITH {stage2._FIT}, s AS (SELECT unit, n_regionkey AS region, string_agg(printf('%.3f', season_score), '|' ORDER BY month) AS sig FROM fit JOIN nation ON unit = n_nationkey WHERE bundle = '1-URGENT' GROUP BY 1, 2)
+    f"""WITH {stage2._FIT}, s AS (SELECT unit, n_regionkey AS region, string_agg(printf('%.3f', season_score), '|' ORDER BY bundle, month) AS sig FROM fit JOIN nation ON unit = n_nationkey GROUP BY 1, 2)
 SELECT region, count(*) AS units, count(DISTINCT sig) AS profiles FROM s GROUP BY 1""",
 )
 def leakage(spark, d):
     from siteward.sources.tables import table
 
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("unit"), F.col("n_regionkey").alias("region"))
-    rows = stage2._fit(spark, d).filter("bundle = '1-URGENT'").join(F.broadcast(n), "unit")
-    return R.profile_signatures(rows, "region", "unit", "month", "season_score")
+    rows = stage2._fit(spark, d).join(F.broadcast(n), "unit").withColumn("at", F.concat("bundle", F.lpad(F.col("month").cast("string"), 2, "0")))
+    return R.profile_signatures(rows, "region", "unit", "at", "season_score")
 
 
 _EXPO = stage3._EXP

@@ -80,12 +80,12 @@ def monotone(spark, d):
 
 @query(
     "union_coverage",
-    f"""{_B}, t AS (SELECT cell, max(weight) AS w, sum(weight) AS n FROM cover WHERE site % 3 = 0 GROUP BY 1)
+    f"""{_B}, t AS (SELECT cell, max(weight) AS w, sum(weight) AS n FROM cover WHERE site IN (SELECT site FROM sites QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, site) = 1) GROUP BY 1)
 SELECT count(*) AS cells, round(CAST(sum(w * population) AS DOUBLE), 4) AS unique_population, round(CAST(sum(n * population) AS DOUBLE), 4) AS naive_population, round(CAST(1 - sum(w * population) / sum(n * population) AS DOUBLE), 6) AS redundancy FROM t JOIN cells USING (cell)""",
 )
 def union(spark, d):
     s = sites(spark, d)
-    return X.union_coverage(cover(spark, d), s.filter(F.col("site") % 3 == 0), cells(spark, d))
+    return X.union_coverage(cover(spark, d), X.shortlist(s, "unit", "site", "score", 1), cells(spark, d))
 
 
 _PAIR = f"""{_B}, tt AS (SELECT site, count(*) AS n, sum(population) AS p FROM cover JOIN cells USING (cell) GROUP BY 1),

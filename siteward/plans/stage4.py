@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteward.operators import planning as P
+from siteward.operators import spatial as X
 from siteward.plans.roles import CELLS, COVER, SITES, cells, pct_sql, sites
 from siteward.plans.stage3 import cover
 from siteward.sources.tables import checkpointed, table
@@ -26,9 +27,9 @@ def query(name: str, sql: str | None):
 _B = f"WITH {SITES}, {CELLS}, {COVER}"
 
 
-def pool(spark, d):
-    """The first POOL sites by id: the candidates of the searches below (a candidate list is the feature)."""
-    return sites(spark, d).filter(F.col("site") <= POOL).withColumn("cluster", F.pmod(F.col("site"), F.lit(40))).withColumn("is_proxy", (F.col("site") % 5 == 0).cast("int")).withColumn("cost", F.pmod(F.col("site") * 11, F.lit(23)).cast("double"))
+def pool(spark, d, most=POOL):
+    """The candidates of the searches below: the best three of every unit, ``most`` in all."""
+    return checkpointed(P.reduced(sites(spark, d), "unit", "site", "score", 3, most)).withColumn("cluster", F.pmod(F.col("site"), F.lit(40))).withColumn("is_proxy", (F.col("site") % 5 == 0).cast("int")).withColumn("cost", F.pmod(F.col("site") * 11, F.lit(23)).cast("double"))
 
 
 @query("candidate_blend", f"WITH {SITES}, t AS (SELECT site, score AS a, x AS b, y AS c FROM sites) SELECT site, round(0.5 * {pct_sql('a')} + 0.3 * {pct_sql('b')} + 0.2 * {pct_sql('c')}, 6) AS score FROM t")
@@ -104,7 +105,7 @@ def swap(spark, d):
 
 @query("exact_plan", None)
 def exact(spark, d):
-    p = pool(spark, d).filter(F.col("site") <= 20)
+    p = pool(spark, d, 20)
     plan = P.plan_of(cover(spark, d).join(F.broadcast(p.select("site")), "site"), cells(spark, d), p, {"unit": 2})
     best, bound, proven = plan.exact(4)
     gap, good = P.gap_certification(plan.value(best), bound)
@@ -112,15 +113,16 @@ def exact(spark, d):
 
 
 def plans(spark, d):
-    """Three fixed plans: every seventh site, every eleventh, and the best ten by score."""
+    """Three plans: the best site of every unit, the best three of every region, the best ten by score."""
     s = sites(spark, d)
-    a, b = s.filter(F.col("site") % 7 == 0), s.filter(F.col("site") % 11 == 0)
+    a, b = X.shortlist(s, "unit", "site", "score", 1), X.shortlist(s, "region", "site", "score", 3)
     c = s.orderBy(F.col("score").desc(), "site").limit(VISITS)
     named = lambda x, n: x.select(F.lit(n).alias("plan"), "site")
-    return named(a, "seven").union(named(b, "eleven")).union(named(c, "top"))
+    return named(a, "unit").union(named(b, "region")).union(named(c, "top"))
 
 
-_PL = "pl AS (SELECT 'seven' AS plan, site FROM sites WHERE site % 7 = 0 UNION ALL SELECT 'eleven', site FROM sites WHERE site % 11 = 0 UNION ALL SELECT 'top', site FROM (SELECT site FROM sites ORDER BY score DESC, site LIMIT 10))"
+_PL = """pl AS (SELECT 'unit' AS plan, site FROM (SELECT site FROM sites QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, site) = 1)
+UNION ALL SELECT 'region', site FROM (SELECT site FROM sites QUALIFY row_number() OVER (PARTITION BY region ORDER BY score DESC, site) <= 3) UNION ALL SELECT 'top', site FROM (SELECT site FROM sites ORDER BY score DESC, site LIMIT 10))"""
 
 
 @query(
@@ -159,12 +161,12 @@ def contribution(spark, d):
 
 @query(
     "equity_kpis",
-    f"""{_B}, {_PL}, k AS (SELECT DISTINCT cell FROM pl JOIN cover USING (site) WHERE plan = 'seven'), g AS (SELECT region, coalesce(sum(population) FILTER (k.cell IS NOT NULL), 0) AS covered, sum(population) AS total FROM cells c LEFT JOIN k ON k.cell = c.cell GROUP BY 1),
+    f"""{_B}, {_PL}, k AS (SELECT DISTINCT cell FROM pl JOIN cover USING (site) WHERE plan = 'unit'), g AS (SELECT region, coalesce(sum(population) FILTER (k.cell IS NOT NULL), 0) AS covered, sum(population) AS total FROM cells c LEFT JOIN k ON k.cell = c.cell GROUP BY 1),
 i AS (SELECT *, row_number() OVER (ORDER BY covered, region) AS i FROM g)
 SELECT count(*) AS regions, round(min(covered / total), 6) AS least_ratio, round(avg(covered / total), 6) AS mean_ratio, round(2 * sum(i * covered) / (count(*) * sum(covered)) - (count(*) + 1) / count(*), 6) AS gini, round(sum(covered * covered) / (sum(covered) * sum(covered)), 6) AS hhi FROM i""",
 )
 def equity(spark, d):
-    k = plans(spark, d).filter("plan = 'seven'").join(cover(spark, d), "site").select("cell").distinct().withColumn("hit", F.lit(1))
+    k = plans(spark, d).filter("plan = 'unit'").join(cover(spark, d), "site").select("cell").distinct().withColumn("hit", F.lit(1))
     g = cells(spark, d).join(k, "cell", "left").groupBy("region").agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("population"))), F.lit(0.0)).alias("covered"), F.sum("population").alias("total"))
     return P.equity_kpis(g)
 
@@ -184,7 +186,7 @@ def top1(spark, d):
 
 @query("bundle_assignment_min1", None)
 def assignment(spark, d):
-    return P.bundle_assignment(values(spark, d).filter(F.col("site") <= POOL))
+    return P.bundle_assignment(values(spark, d).join(F.broadcast(pool(spark, d).select("site")), "site"))
 
 
 _ROAD = "rd AS (SELECT n_nationkey AS u, CAST((n_nationkey * 7 + k.k * 3 + 1) % 25 AS INTEGER) AS w, CAST((n_nationkey * 13 + k.k * 5) % 11 + 2 AS DOUBLE) AS minutes FROM nation CROSS JOIN range(3) k(k))"
@@ -215,7 +217,8 @@ def speed(spark, d):
 
 @query(
     "submodular_bound",
-    f"""{_B}, g AS (SELECT site, sum(population) AS g FROM cover JOIN cells USING (cell) WHERE site <= {POOL} GROUP BY 1), t AS (SELECT g FROM g ORDER BY g DESC LIMIT {VISITS}) SELECT round(sum(g), 4) AS bound FROM t""",
+    f"""{_B}, k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, site) AS k FROM sites QUALIFY k <= 3), po AS (SELECT site FROM k QUALIFY row_number() OVER (ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, score DESC, site) <= {POOL}),
+g AS (SELECT site, sum(population) AS g FROM cover JOIN cells USING (cell) JOIN po USING (site) GROUP BY 1), t AS (SELECT g FROM g ORDER BY g DESC LIMIT {VISITS}) SELECT round(sum(g), 4) AS bound FROM t""",
 )
 def bound(spark, d):
     p = pool(spark, d)
@@ -223,13 +226,11 @@ def bound(spark, d):
     return spark.createDataFrame([(round(plan.bound(VISITS), 4),)], "bound double")
 
 
-_T = "SELECT s_suppkey AS id, s_nationkey AS nation FROM supplier"
-
 
 @query(
     "operational_options",
     """WITH b AS (SELECT n_nationkey AS base, n_regionkey AS region FROM nation WHERE n_nationkey % 3 = 0), t AS (SELECT base, 'team' || base AS team, CAST(base % 4 AS BIGINT) AS skill FROM b), v AS (SELECT base, 'van' || base AS van FROM b WHERE base % 2 = 0),
-d AS (SELECT team, CAST(k.k AS BIGINT) AS day FROM t CROSS JOIN range(5) k(k) WHERE (skill + k.k) % 2 = 0), s AS (SELECT s_suppkey AS site, n_regionkey AS region, CAST(s_suppkey % 4 AS BIGINT) AS skill, CAST(s_suppkey % 5 AS BIGINT) AS day FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey <= 60)
+d AS (SELECT team, CAST(k.k AS BIGINT) AS day FROM t CROSS JOIN range(5) k(k) WHERE (skill + k.k) % 2 = 0), s AS (SELECT s_suppkey AS site, n_regionkey AS region, CAST(s_suppkey % 4 AS BIGINT) AS skill, CAST(s_suppkey % 5 AS BIGINT) AS day FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT DISTINCT s.site, t.team, v.van, d.day FROM s JOIN b ON b.region = s.region JOIN t ON t.base = b.base AND t.skill = s.skill JOIN v ON v.base = b.base JOIN d ON d.team = t.team AND d.day = s.day""",
 )
 def options(spark, d):
@@ -240,7 +241,7 @@ def options(spark, d):
     t = b.select("base", name("team").alias("team"), (F.col("base") % 4).cast("long").alias("skill"))
     v = b.filter(F.col("base") % 2 == 0).select("base", name("van").alias("van"))
     days = t.crossJoin(spark.range(5).withColumnRenamed("id", "day")).filter((F.col("skill") + F.col("day")) % 2 == 0).select("team", "day")
-    s = sites(spark, d).filter(F.col("site") <= POOL).select("site", "region", (F.col("site") % 4).cast("long").alias("skill"), (F.col("site") % 5).cast("long").alias("day"))
+    s = sites(spark, d).select("site", "region", (F.col("site") % 4).cast("long").alias("skill"), (F.col("site") % 5).cast("long").alias("day"))
     return s.join(b, "region").join(t, ["base", "skill"]).join(v, "base").join(days, ["team", "day"]).select("site", "team", "van", "day").dropDuplicates()
 
 

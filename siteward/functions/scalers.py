@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteward.functions.stats import clip, rank_percentile
+from siteward.functions.stats import clip, quantiles, rank_percentile
 
 SCALERS = ("rank_percentile", "winsorized_percentile", "robust_minmax", "robust_z")
 
@@ -34,14 +34,13 @@ def scaled(df: DataFrame, value: str, out: str, method: str = "winsorized_percen
         return rank_percentile(df, value, "_p").withColumn(out, turned(F.col("_p") * 100, direction)).drop("_p")
     x = F.col(value)
     if method == "robust_z":
-        centre = df.agg(F.median(value).alias("_m"), F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
-        df = df.crossJoin(F.broadcast(centre))
-        spread = df.agg(F.median(F.abs(x - F.col("_m"))).alias("_mad"))
-        df = df.crossJoin(F.broadcast(spread))
+        df = df.crossJoin(F.broadcast(quantiles(df, value, {"_m": 0.5, "_q1": 0.25, "_q3": 0.75})))
+        far = df.select(F.abs(x - F.col("_m")).alias("_far"))
+        df = df.crossJoin(F.broadcast(quantiles(far, "_far", {"_mad": 0.5})))
         width = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise((F.col("_q3") - F.col("_q1")) / 1.349)
         z = F.when(width > 0, clip((x - F.col("_m")) / width, -3.0, 3.0)).otherwise(0.0)
         return df.withColumn(out, turned((z + 3) / 6 * 100, direction)).drop("_m", "_q1", "_q3", "_mad")
-    bounds = df.agg(F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi"))
+    bounds = quantiles(df, value, {"_lo": low, "_hi": high})
     df = df.crossJoin(F.broadcast(bounds))
     if method == "winsorized_percentile":
         df = df.withColumn("_w", clip(x, F.col("_lo"), F.col("_hi")))
@@ -65,15 +64,15 @@ def scaled_long(long: DataFrame, method: str = "winsorized_percentile", low: flo
     All features are scaled in one job: bounds and ranks are grouped by feature."""
     x, by = F.col("value"), ["feature"]
     if method == "robust_z":
-        centre = long.groupBy(*by).agg(F.median("value").alias("_m"), F.percentile("value", 0.25).alias("_q1"), F.percentile("value", 0.75).alias("_q3"))
-        long = long.join(F.broadcast(centre), by)
-        long = long.join(F.broadcast(long.groupBy(*by).agg(F.median(F.abs(x - F.col("_m"))).alias("_mad"))), by)
+        long = long.join(F.broadcast(quantiles(long, "value", {"_m": 0.5, "_q1": 0.25, "_q3": 0.75}, by)), by)
+        far = long.select("feature", F.abs(x - F.col("_m")).alias("_far"))
+        long = long.join(F.broadcast(quantiles(far, "_far", {"_mad": 0.5}, by)), by)
         width = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise((F.col("_q3") - F.col("_q1")) / 1.349)
         score = (F.when(width > 0, clip((x - F.col("_m")) / width, -3.0, 3.0)).otherwise(0.0) + 3) / 6 * 100
         long = long.withColumn("_s", score).drop("_m", "_q1", "_q3", "_mad")
     else:
         if method != "rank_percentile":
-            bounds = long.groupBy(*by).agg(F.percentile("value", low).alias("_lo"), F.percentile("value", high).alias("_hi"))
+            bounds = quantiles(long, "value", {"_lo": low, "_hi": high}, by)
             long = long.join(F.broadcast(bounds), by).withColumn("value", clip(x, F.col("_lo"), F.col("_hi")))
         if method == "robust_minmax":
             span = F.col("_hi") - F.col("_lo")

@@ -6,7 +6,7 @@ approximate quantiles, ranked inside their range and shifted by the counts of th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +40,21 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), few: bool
     return out.withColumn("less", F.col("_before") + F.coalesce(F.sum("same").over(below), F.lit(0))).drop("_range", "_before")
 
 
+def quantiles(df: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """by and one column per point: exact quantiles with linear interpolation.
+
+    They are read off the ranked distinct values, so no task holds all values of a group, as an exact
+    percentile aggregate does; groups are few (features) or none."""
+    at = value_positions(df, value, by, few=True)
+    out = []
+    for name, p in points.items():
+        h = (F.col("total") - 1) * p
+        low, high = F.floor(h), F.ceil(h)
+        pick = lambda k: F.max(F.when((F.col("less") <= k) & (k < F.col("less") + F.col("same")), F.col(value)))
+        out.append((pick(low) + (pick(high) - pick(low)) * F.max(h - low)).alias(name))
+    return at.groupBy(*by).agg(*out)
+
+
 def rank_percentile(df: DataFrame, value: str, out: str, by: Sequence[str] = (), few: bool = False) -> DataFrame:
     """df with the average-rank percentile (0 to 1) of value; null where value is null."""
     at = value_positions(df, value, by, few)

@@ -83,14 +83,15 @@ NAMES = (
     ("proprietary", "reserved", r"all rights reserved", r"proprietary"),
 )
 GRANT = r"(?:licensed|released|distributed|available|provided|covered|governed|published|shared|offered)(?: [a-z]+){0,3} (?:under|by)(?: the)?(?: terms of)?(?: the)? "
-#: Each name gives a rule by each template: (priority, score, template of title t or identifier i, keyword or None for the name's own).
+#: Each name gives a rule by each template: (priority, score, template of title t or identifier i, keyword:
+#: a word, or None for the name's own, or "" for the first word of its identifier, which the rule can't do without).
 TEMPLATES = (
     (10, 1.0, "spdx license identifier {i}", "spdx"),
     (20, 0.95, GRANT + "{t}", None),
-    (25, 0.9, GRANT + "{i}(?: licen[cs]e)?", "under"),
-    (30, 0.9, "(?:opensource|gnu|apache|creativecommons) org licenses {i}", "org"),
+    (25, 0.9, GRANT + "{i}(?: licen[cs]e)?", ""),
+    (30, 0.9, "(?:opensource|gnu|apache|creativecommons) org licenses {i}", ""),
     (40, 0.8, "{t}", None),
-    (50, 0.7, "(?:{i} licen[cs]e|licen[cs]e {i})", "license"),
+    (50, 0.7, "(?:{i} licen[cs]e|licen[cs]e {i})", ""),
 )
 
 
@@ -98,13 +99,14 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, keyword, label, regex, score) in the order in which they run."""
     out = []
     for label, word, title, name in NAMES:
+        first = name.split(" ")[0].split("(")[0]
         specific = 0 if any(c.isdigit() for c in label) or label.count("-") > 1 else 1
         for priority, score, shape, keyword in TEMPLATES:
             regex = "(?<= )(?:" + shape.replace("{t}", title).replace("{i}", name) + ")(?= )"
-            out.append((priority * 1000 + specific * 500 - min(499, len(title)), keyword or word, label, regex, score))
+            out.append((priority * 1000 + specific * 500 - min(499, len(title)), word if keyword is None else keyword or first, label, regex, score))
         # Identifiers that stand for one licence wherever they are written.
         if label.startswith(("gpl-", "lgpl", "agpl", "cc-by", "mpl-", "bsd-", "cc0", "cddl", "eupl", "odbl", "sspl", "wtfpl")):
-            out.append((60_000 + specific * 500 - min(499, len(name)), name.split(" ")[0].split("(")[0], label, f"(?<= )(?:{name})(?= )", 0.6))
+            out.append((60_000 + specific * 500 - min(499, len(name)), first, label, f"(?<= )(?:{name})(?= )", 0.6))
     return sorted(out, key=lambda r: (r[0], r[2], r[3]))
 
 

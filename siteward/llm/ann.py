@@ -3,16 +3,17 @@
 Equal vectors are one node (the smallest id stands for it, with the few smallest ids that a
 result can need).  The graph starts from leaves of random hyperplane trees, in which all pairs of
 a bounded chunk are compared.  Each round joins every node's neighbours and reverse neighbours
-with their vectors and compares neighbours of neighbours; nodes are dealt into parts of about
-``PART`` nodes and a part gets each vector that it needs once.  Rounds are written to the shared
+with their vectors and compares neighbours of neighbours; nodes are dealt into parts of at
+most about ``PART`` nodes and a part gets each vector that it needs once: a vector travels at most as
+often as it has neighbours, and a part's memory is bounded.  Rounds are written to the shared
 folder, and end when few edges change.  A query starts at its own node and expands the nearest
 nodes that are not expanded yet, step by step; distances of what it found are recomputed on the
 original vectors in double precision.
 
 All vectors are indexed; recall is measured against brute force in the tests.  Rows whose vector
 is null, zero, or holds null or non-finite components, or isn't as long as most others, take no
-part.  Repeated ids: the rows count as separate vectors of that id.  Ties go to the smaller id;
-an empty table gives no rows; other columns play no part.
+part.  Repeated rows (equal id and vector) count once; an id with several vectors is each of them.
+Ties go to the smaller id; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def nodes_of(rows: DataFrame, keep: int) -> DataFrame:
     """One row per different vector: id (the smallest), v, ids (the ``keep`` smallest)."""
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("k") <= keep)
+    first = rows.groupBy("v", "vec_id").agg(F.lit(1).alias("one")).withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("k") <= keep)
     return first.groupBy("v").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids")).select("id", "v", "ids")
 
 

@@ -308,7 +308,7 @@ def test_neighbours_recall_and_ties(spark):
 
 
 def test_few_vectors_and_copies(spark):
-    rows = [(i, [float(i == 0), 1.0]) for i in range(20)]
+    rows = [(i, [float(i == 0), 1.0]) for i in range(20)] + [(10, [0.0, 1.0])] * 30
     out = sorted(ann.neighbours_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), divisor=10).collect(), key=lambda a: (a["query_id"], a["rank"]))
     assert [a["vec_id"] for a in out if a["query_id"] == 10] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 11]
     assert ann.neighbours_of(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -101,16 +101,26 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks_of(benchmark: DataFrame, size: int, block_bytes: int) -> list[Index]:
-    """Indexes of at most about ``block_bytes`` of text each; collected one block at a time."""
+def blocks_of(benchmark: DataFrame, size: int, block_bytes: int) -> Iterator[Index]:
+    """Indexes of at most about ``block_bytes`` of text each; the driver holds one block at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    out = []
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().collect()
-        out.append(Index(sorted((r["i"], r["t"]) for r in rows), size))
-    return out
+        yield Index(sorted((r["i"], r["t"]) for r in rows), size)
+
+
+def _opened(indexes: list, kept: dict) -> Iterator[Index]:
+    """The blocks one after another; a task keeps a single block, and of several one at a time."""
+    for x in indexes:
+        if len(indexes) == 1:
+            if not kept:
+                kept[0] = pickle.loads(x.value)
+            yield kept[0]
+        else:
+            yield pickle.loads(x.value)
+            x.__dict__.pop("_value", None)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -161,11 +171,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
     indexes = [shipped(docs.sparkSession, x) for x in blocks_of(benchmark, size, block_bytes)]
 
     def keep(batches):
-        held = [pickle.loads(x.value) for x in indexes]
+        kept: dict = {}
         for batch in batches:
             hits: list[list] = [[] for _ in range(batch.num_rows)]
             n = [0] * batch.num_rows
-            for index in held:
+            for index in _opened(indexes, kept):
                 for i, (words, _, spans) in enumerate(_find(index, batch.column(text))):
                     n[i] = words
                     hits[i].extend(spans)
@@ -179,11 +189,11 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", siz
     indexes = [shipped(docs.sparkSession, x) for x in blocks_of(benchmark, size, block_bytes)]
 
     def cut(batches):
-        held = [pickle.loads(x.value) for x in indexes]
+        kept: dict = {}
         for batch in batches:
             at = batch.schema.get_field_index(text)
             hits: list[list] = [[] for _ in range(batch.num_rows)]
-            for index in held:
+            for index in _opened(indexes, kept):
                 for i, (_, _, spans) in enumerate(_find(index, batch.column(at))):
                     hits[i].extend(spans)
             texts = batch.column(at).to_pylist()
@@ -191,11 +201,11 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", siz
                 if h:
                     raw = texts[i].encode()
                     words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    end, kept = 0, []
+                    end, rest = 0, []
                     for a, b in merged(h):
-                        kept.append(raw[end : words.starts[a]])
+                        rest.append(raw[end : words.starts[a]])
                         end = int(words.ends[b - 1])
-                    texts[i] = b"".join([*kept, raw[end:]]).decode()
+                    texts[i] = b"".join([*rest, raw[end:]]).decode()
             columns = batch.columns
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
@@ -207,12 +217,12 @@ def digest(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int
     indexes = [shipped(docs.sparkSession, x) for x in blocks_of(benchmark, size, BLOCK_BYTES)]
 
     def scan(batches):
-        held = [pickle.loads(x.value) for x in indexes]
+        kept: dict = {}
         for batch in batches:
             n = [0] * batch.num_rows
             items: list[set] = [set() for _ in n]
             hits: list[list] = [[] for _ in n]
-            for index in held:
+            for index in _opened(indexes, kept):
                 for i, (words, found, spans) in enumerate(_find(index, batch.column("text"))):
                     n[i] = words
                     items[i].update(found)

@@ -30,7 +30,7 @@ from siteward.llm.io import stored
 NEIGHBOURS = 40
 TREES = 6
 CHUNK = 128
-ROUNDS = 8
+ROUNDS = 6
 SAMPLE = 16
 REVERSE = 24
 PART = 16384

@@ -12,8 +12,11 @@ A link thus always means that the sets reach ``LEAST``.  Classes are the connect
 Candidates of a sketch are never all paired.  First each text meets the text of its sketch that
 shares most sketches with others (a group's original stands out so); classes are formed, and
 what is still apart meets all others of a sketch of up to NEAR + 1 texts, and in larger ones its
-``NEAR_LARGE`` neighbours in the order of another sketch, in each of its SKETCHES sketches; pairs
-grow in proportion to the texts.  Exact copies are one node throughout.
+``NEAR_LARGE`` neighbours in the order of another sketch, in each of its SKETCHES sketches.  The
+texts of larger sketches that still hold several classes are then joined exactly: two sets reach
+``LEAST`` only if they share one of their rarest k-mers (prefix filter), and have fitting lengths and
+places there.  Every such pair of different classes is compared; groups of a common k-mer are dealt
+out block by block.  Exact copies are one node throughout.
 
 Defined results: a null text counts as empty; equal texts, empty ones among them, are one class;
 a text of fewer than five words has one k-mer, of all its words, and one without words none;
@@ -42,6 +45,7 @@ NEAR = 12
 NEAR_LARGE = 4
 BAND = 0.25
 SALT_ROWS = 4096
+BLOCK = 1024
 NODE = "binary"
 
 
@@ -202,6 +206,111 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def kmer_sets(texts: DataFrame) -> DataFrame:
+    """node, kmers: the different k-mers of every text, sorted."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, words in chunks(batch.column(1), 1 << 20):
+                kmers, _, first, begin = labelled(words)
+                sets = [np.sort(kmers[a:b][first[a:b]]).view(np.int64) for a, b in zip(begin[:-1], begin[1:])]
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["node", "kmers"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, kmers array<long>")
+
+
+def _needed(m):
+    """The least shared k-mers of a set of m and any set that it is alike."""
+    return np.ceil(LEAST * m - 1e-6).astype(np.int64)
+
+
+def rare_pairs(sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes that can be alike, by one of their rarest k-mers.  sets: node, comp, kmers."""
+    rows = sets.select("node", "comp", F.size("kmers").alias("m"), F.explode("kmers").alias("kmer"))
+    often = rows.groupBy("kmer").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "kmer")
+    ranked = rows.join(often, "kmer").withColumn("at", F.row_number().over(order))
+    prefix = stored(ranked.filter(F.col("at") <= F.col("m") - F.ceil(F.col("m") * LEAST - 1e-6) + 1).filter("n > 1").select("kmer", "node", "comp", "m", "at"))
+    mixed = prefix.groupBy("kmer").agg(F.count("*").alias("g"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+    dealt = prefix.join(mixed.select("kmer", blocks.alias("blocks")), "kmer").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("kmer", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "node", "comp", "m", "at")
+    dealt = dealt.repartition("kmer", "i", "j").sortWithinPartitions("kmer", "i", "j")
+
+    def met(cell, held):
+        own, node, comp, m, at = (list(x) for x in zip(*held, strict=True))
+        names, of = np.unique(np.array(comp, dtype=object), return_inverse=True)
+        if len(names) == 1:
+            return
+        own, m, at = np.array(own), np.array(m), np.array(at)
+        one, two = cell[1:]
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        for x in left.tolist():
+            ys = right[right > x] if one == two else right
+            both = np.minimum(m[x] - at[x], m[ys] - at[ys]) + 1
+            fits = (of[ys] != of[x]) & (both >= np.maximum(_needed(m[x] + m[ys] - both), _needed(np.maximum(m[x], m[ys]))))
+            for y in ys[fits].tolist():
+                yield (node[x], node[y]) if node[x] < node[y] else (node[y], node[x])
+
+    def run(batches):
+        now, held, out = None, [], set()
+
+        def flush():
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        def closed():
+            for pair in met(now, held):
+                out.add(pair)
+                if len(out) >= 1 << 16:
+                    yield flush()
+
+        for batch in batches:
+            for kmer, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if (kmer, i, j) != now:
+                    if held:
+                        yield from closed()
+                    now, held = (kmer, i, j), []
+                held.append(row)
+        if held:
+            yield from closed()
+        yield flush()
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def alike_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of k-mers reach LEAST."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("kmers").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("kmers").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                kept[k] = shared >= LEAST * (len(x) + len(y) - shared)
+            yield batch.select([0, 1]).filter(pa.array(kept))
+
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def rest_of_large(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between classes of ``links`` that share a sketch of more than NEAR + 1 texts: all of them."""
+    comp = components(links).withColumnRenamed("node", "m")
+    large = members.filter(F.col("n") > NEAR + 1).select("sketch", "node")
+    placed = stored(large.join(comp, F.col("node") == F.col("m"), "left").select("sketch", "node", F.coalesce("comp", "node").alias("comp")))
+    mixed = placed.groupBy("sketch").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("sketch")
+    left = placed.join(mixed, "sketch").select("node", "comp").distinct()
+    sets = stored(kmer_sets(texts.join(left.select("node"), "node", "left_semi")).join(left, "node"))
+    return alike_sets(rare_pairs(sets), sets)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: key, node of every document; nodes: node, class_id, whether it stands for its class)."""
     rows = stored(sketched(docs, key, text))
@@ -223,6 +332,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     placed = members.join(first.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("sketch", "other", "node", F.coalesce("comp", "node").alias("comp"), "n")
     pairs = near_pairs(placed).join(stars, ["a", "b"], "left_anti")
     links = links.union(stored(verified(pairs, texts)))
+    links = links.union(stored(rest_of_large(members, links, texts)))
     comp = components(links)
     named = nodes.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     chosen = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))

@@ -141,6 +141,22 @@ def test_large_group_around_a_hub_is_one_class(spark):
     assert [out[i] for i in range(len(texts))] == want and len(set(want)) < 30
 
 
+def test_large_sketches_are_compared_whole(spark, monkeypatch):
+    r = random.Random(21)
+    whole = neardup.sketched
+    same = F.array(*[F.lit(k).cast("long") for k in range(neardup.SKETCHES)])
+    monkeypatch.setattr(neardup, "sketched", lambda *a: whole(*a).withColumn("sketches", same))  # all texts share all sketches
+    monkeypatch.setattr(neardup, "BLOCK", 16, raising=False)
+    parts = [prose(r, 25) for _ in range(14)]
+    texts = []
+    for _ in range(60):
+        own = sorted(r.sample(range(14), 9))
+        texts += [" ".join(parts[p] for p in own), " ".join(parts[p] for p in own if p != own[r.randrange(9)])]
+    want = brute_classes(texts)
+    out = {x["doc_id"]: x["class_id"] for x in neardup.digest(docs(spark, texts)).collect()}
+    assert [out[i] for i in range(len(texts))] == want and 1 < len(set(want)) < 100
+
+
 def test_dropping_copies_keeps_all_columns_and_one_row(spark):
     d = docs(spark, ["a b c d e f", "a b c d e f", "x y"]).withColumn("node", F.lit(1)).withColumn("row", F.lit(2))
     out = neardup.without_copies(d.union(d)).collect()

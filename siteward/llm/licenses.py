@@ -2,7 +2,8 @@
 
 A text is lower-cased (A-Z) and cut into words; rules are regexes over the words joined by
 single spaces.  A document is looked at by the rules only if it passes ``GATE``, and a rule
-only if its keyword is one of the document's words.  Rules run in order of priority, and what
+only if its keyword is one of the document's words (a rule of two keywords is held once for each: what
+one run accepts is cut out, so the other finds nothing more).  Rules run in order of priority, and what
 one accepts is cut out of the text that later ones see: a detection inside the interval of an
 accepted one of higher priority is suppressed.  No shuffle, no Python on the executors.
 
@@ -25,8 +26,9 @@ V = r"(?: version| v| ver)? ?v?"
 L = r"licen[cs]e"
 CC = r"(?:cc|creative commons)"
 #: (label, keyword, title, identifier): fixed names of public licences, as regexes over words.
+#: Every match of the title holds the keyword, or one of several, as a whole word.
 NAMES = (
-    ("mit", "mit", rf"(?:mit|expat) {L}", r"mit"),
+    ("mit", "mit|expat", rf"(?:mit|expat) {L}", r"mit"),
     ("mit-0", "mit", rf"mit no attribution(?: {L})?", r"mit 0"),
     ("x11", "x11", rf"x11 {L}", r"x11"),
     ("apache-2", "apache", rf"apache(?: software)? {L}{V}2(?: 0)?", r"apache 2(?: 0)?"),
@@ -41,10 +43,10 @@ NAMES = (
     ("agpl-3", "gnu", rf"gnu (?:affero general public {L}|agpl){V}3(?: 0)?", r"agpl v?3(?: 0)?(?: only| or later)?"),
     ("agpl", "gnu", rf"gnu (?:affero general public {L}|agpl)", r"agpl"),
     ("gfdl", "gnu", rf"gnu free documentation {L}(?:{V}1 [1-3])?", r"gfdl(?: 1 [1-3])?"),
-    ("bsd-2", "bsd", rf"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) {L}", r"bsd 2 clause"),
+    ("bsd-2", "bsd|freebsd", rf"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd) {L}", r"bsd 2 clause"),
     ("bsd-3", "bsd", rf"(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd) {L}", r"bsd 3 clause"),
     ("bsd-4", "bsd", rf"(?:bsd 4 clause|4 clause bsd|original bsd) {L}", r"bsd 4 clause"),
-    ("bsd-0", "bsd", rf"(?:bsd zero clause|zero clause bsd|0bsd) {L}", r"0bsd"),
+    ("bsd-0", "bsd|0bsd", rf"(?:bsd zero clause|zero clause bsd|0bsd) {L}", r"0bsd"),
     ("bsd", "bsd", rf"bsd(?: style)? {L}", r"bsd"),
     ("mpl-2", "mozilla", rf"mozilla public {L}{V}2(?: 0)?", r"mpl v?2(?: 0)?"),
     ("mpl-1.1", "mozilla", rf"mozilla public {L}{V}1 1", r"mpl v?1 1"),
@@ -52,7 +54,7 @@ NAMES = (
     ("epl-2", "eclipse", rf"eclipse public {L}{V}2(?: 0)?", r"epl 2(?: 0)?"),
     ("epl-1", "eclipse", rf"eclipse public {L}{V}1(?: 0)?", r"epl 1(?: 0)?"),
     ("epl", "eclipse", rf"eclipse public {L}", r"epl"),
-    ("cddl", "cddl", rf"common development and distribution {L}", r"cddl(?: 1 [01])?"),
+    ("cddl", "distribution", rf"common development and distribution {L}", r"cddl(?: 1 [01])?"),
     ("cpl", "common", rf"common public {L}", r"cpl(?: 1 0)?"),
     ("isc", "isc", rf"isc {L}", r"isc"),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense"),
@@ -60,19 +62,19 @@ NAMES = (
     ("libpng", "libpng", rf"libpng {L}", r"libpng"),
     ("bsl", "boost", rf"boost software {L}", r"bsl 1 0"),
     ("busl", "business", rf"business source {L}", r"busl 1 1"),
-    ("sspl", "sspl", rf"server side public {L}", r"sspl(?: 1 0)?"),
+    ("sspl", "side", rf"server side public {L}", r"sspl(?: 1 0)?"),
     ("artistic-2", "artistic", rf"artistic {L}{V}2(?: 0)?", r"artistic 2(?: 0)?"),
     ("artistic", "artistic", rf"artistic {L}", r"artistic"),
-    ("eupl", "eupl", rf"european union public {L}", r"eupl(?: 1 [12])?"),
-    ("ofl", "ofl", rf"(?:sil )?open font {L}", r"ofl(?: 1 1)?"),
-    ("odbl", "odbl", rf"open (?:data commons open )?database {L}", r"odbl(?: 1 0)?"),
+    ("eupl", "union", rf"european union public {L}", r"eupl(?: 1 [12])?"),
+    ("ofl", "font", rf"(?:sil )?open font {L}", r"ofl(?: 1 1)?"),
+    ("odbl", "database", rf"open (?:data commons open )?database {L}", r"odbl(?: 1 0)?"),
     ("python", "python", rf"python software foundation {L}", r"psf(?: 2 0)?"),
     ("php", "php", rf"php {L}", r"php 3 0"),
     ("openssl", "openssl", rf"openssl {L}", r"openssl"),
-    ("wtfpl", "wtfpl", r"do what the fuck you want to public licen[cs]e", r"wtfpl"),
+    ("wtfpl", "fuck", r"do what the fuck you want to public licen[cs]e", r"wtfpl"),
     ("postgresql", "postgresql", rf"postgresql {L}", r"postgresql"),
     ("ncsa", "ncsa", rf"(?:university of illinois )?ncsa(?: open source)? {L}", r"ncsa"),
-    ("cc0", "cc0", rf"(?:{CC} zero|cc0)(?: 1 0)?(?: universal)?", r"cc0(?: 1 0)?"),
+    ("cc0", "zero|cc0", rf"(?:{CC} zero|cc0)(?: 1 0)?(?: universal)?", r"cc0(?: 1 0)?"),
     ("cc-by", "attribution", rf"creative commons attribution(?: [1-4] [05])?(?: international| generic| unported)?(?: {L})?", r"cc by [1-4] [05]"),
     ("cc-by-sa", "attribution", rf"creative commons attribution share ?alike(?: [1-4] [05])?", r"cc by sa(?: [1-4] [05])?"),
     ("cc-by-nd", "attribution", r"creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?", r"cc by nd(?: [1-4] [05])?"),
@@ -120,7 +122,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     text = "text"
     table = rules()
-    words = sorted({r[1] for r in table})
+    words = sorted({w for r in table for w in r[1].split("|")})
     body = F.coalesce(F.col(text), F.lit(""))
 
     def passes(low: Column) -> Column:
@@ -147,7 +149,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     out = out.withColumn("_b", F.when(F.col("_s") != "", F.filter(F.array(*struct), lambda b: b["n"] > 0)))
     one = F.replace(F.col("_s"), F.lit("  "), F.lit(" "))
     seen = F.array_distinct(F.regexp_extract_all(one, F.lit("(?<= )(" + "|".join(words) + ")(?= )"), F.lit(1)))
-    held = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(l).alias("label"), F.lit(x).alias("regex"), F.lit(s).alias("score")) for _, w, l, x, s in table])
+    held = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(l).alias("label"), F.lit(x).alias("regex"), F.lit(s).alias("score")) for _, ws, l, x, s in table for w in ws.split("|")])
 
     def fold(acc: Column, rule: Column) -> Column:
         hit = F.rlike(acc["text"], rule["regex"])

@@ -190,6 +190,52 @@ def test_rules_are_many_and_valid():
     assert len(table) > 200 and all(re.compile(r[3]) for r in table) and table == sorted(table, key=lambda r: (r[0], r[2], r[3]))
 
 
+def sampled(r, parsed):
+    """A random text that a regex (parsed by ``re``) accepts; looks around it are left out."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, what = r.choice(arg)
+            out += chr(what) if str(kind) == "LITERAL" else chr(r.randint(*what))
+        elif op == "BRANCH":
+            out += sampled(r, r.choice(arg[1]))
+        elif op == "SUBPATTERN":
+            out += sampled(r, arg[3])
+        elif op == "MAX_REPEAT":
+            out += "".join(sampled(r, arg[2]) for _ in range(r.randint(arg[0], min(int(arg[1]), 3))))
+        else:
+            assert op == "ASSERT"
+    return out
+
+
+def ungated(text):
+    """Labels and score of all rules in order, none of them gated."""
+    text, labels, score = f" {text} ", set(), 0.0
+    for _, _, label, regex, s in licenses.rules():
+        if re.search(regex, text):
+            text, labels, score = re.sub(regex, "|", text), labels | {label}, max(score, s)
+    return labels, score
+
+
+def scanned_as_ungated(spark, texts):
+    out = {x["doc_id"]: x for x in licenses.digest(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        labels, score = ungated(" ".join(words(t)))
+        x = out[i]
+        base = {b for b in x["base_labels"].split(",") if b}
+        assert labels and {b for b in x["labels"].split(",") if b} == labels | base, (t, x["labels"], labels)
+        assert x["score"] == (1.0 if base else score), t
+
+
+def test_every_title_is_found_by_itself(spark):
+    r = random.Random(31)
+    texts = sorted({"copyright notice " + sampled(r, re._parser.parse(title)) for _, _, title, _ in licenses.NAMES for _ in range(12)})
+    scanned_as_ungated(spark, texts)
+
+
 # ---- 5 language --------------------------------------------------------------------------
 
 

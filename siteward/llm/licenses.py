@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter, DataFrame functions only.
 
 A text is lower-cased (A-Z) and cut into words; rules are regexes over the words joined by
-single spaces.  A document is looked at by the rules only if it passes ``GATE``, and a rule
+single spaces.  A document is looked at by the rules only if it passes ``GATE``, which every match of a rule does, and a rule
 only if its keyword is one of the document's words (a rule of two keywords is held once for each: what
 one run accepts is cut out, so the other finds nothing more).  Rules run in order of priority, and what
 one accepts is cut out of the text that later ones see: a detection inside the interval of an
@@ -21,7 +21,6 @@ from siteward.llm.io import ascii_lower
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-GATE = ("licen", "spdx", " cc ", "cc by", "cc-by", "cc0", "creative commons", "public domain", "gnu ", "gpl", "copyleft", "all rights reserved", "copyright")
 V = r"(?: version| v| ver)? ?v?"
 L = r"licen[cs]e"
 CC = r"(?:cc|creative commons)"
@@ -97,17 +96,37 @@ TEMPLATES = (
 )
 
 
+#: Labels whose identifiers stand for one licence wherever they are written.
+BARE = ("gpl-", "lgpl", "agpl", "cc-by", "mpl-", "bsd-", "cc0", "cddl", "eupl", "odbl", "sspl", "wtfpl")
+
+
+def first_word(name: str) -> str:
+    return name.split(" ")[0].split("(")[0]
+
+
+#: What every match of any rule holds: one of the parts, or else the regex (over a text as it is, whatever stands
+#: between its words): a bare identifier's first word, a title without "licen", or a grant's end and an identifier's first word.
+GATE_PARTS = ("licen", "spdx", "attribution", "gpl")
+GATE = (
+    f"(?<!{WORD[:-1]})(?:"
+    + "|".join(sorted({first_word(n) for label, _, _, n in NAMES if label.startswith(BARE)}))
+    + f"|commons{BREAK}zero|public{BREAK}domain|rights{BREAK}reserved"
+    + f"|(?:under|by)(?:{BREAK}the)?(?:{BREAK}terms{BREAK}of)?(?:{BREAK}the)?{BREAK}(?:"
+    + "|".join(sorted({first_word(n) for _, _, _, n in NAMES}))
+    + f"))(?!{WORD[:-1]})"
+)
+
+
 def rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, keyword, label, regex, score) in the order in which they run."""
     out = []
     for label, word, title, name in NAMES:
-        first = name.split(" ")[0].split("(")[0]
+        first = first_word(name)
         specific = 0 if any(c.isdigit() for c in label) or label.count("-") > 1 else 1
         for priority, score, shape, keyword in TEMPLATES:
             regex = "(?<= )(?:" + shape.replace("{t}", title).replace("{i}", name) + ")(?= )"
             out.append((priority * 1000 + specific * 500 - min(499, len(title)), word if keyword is None else keyword or first, label, regex, score))
-        # Identifiers that stand for one licence wherever they are written.
-        if label.startswith(("gpl-", "lgpl", "agpl", "cc-by", "mpl-", "bsd-", "cc0", "cddl", "eupl", "odbl", "sspl", "wtfpl")):
+        if label.startswith(BARE):
             out.append((60_000 + specific * 500 - min(499, len(name)), first, label, f"(?<= )(?:{name})(?= )", 0.6))
     return sorted(out, key=lambda r: (r[0], r[2], r[3]))
 
@@ -127,12 +146,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def passes(low: Column) -> Column:
         gate = F.lit(False)
-        for word in GATE:
-            gate = gate | F.contains(low, F.lit(word))
-        # "cc by nc" with whatever stands between its words; the other two hold "licen".
-        return gate | (F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(f"cc{BREAK}by{BREAK}nc")))
+        for part in GATE_PARTS:
+            gate = gate | F.contains(low, F.lit(part))
+        return gate | F.rlike(low, F.lit(GATE))
 
-    # Bound to a variable, so that a text is lower-cased once for all keywords.
+    # Bound to a variable, so that a text is lower-cased once for the whole gate.
     gate = F.exists(F.array(F.lower(body)), passes)
     trimmed = F.trim(F.regexp_replace(ascii_lower(F.col(text)), BREAK, "  "))
     spaced = F.when(gate & (trimmed != ""), F.concat(F.lit(" "), trimmed, F.lit(" "))).otherwise(F.lit(""))

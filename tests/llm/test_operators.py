@@ -236,6 +236,15 @@ def test_every_title_is_found_by_itself(spark):
     scanned_as_ungated(spark, texts)
 
 
+def test_every_rule_is_reached_without_other_words(spark):
+    r = random.Random(32)
+    texts = ["Released under MPL 2.0", "available for all under the terms of the\nApache 2.0", "released under BSD 3-Clause", "EUPL 1.2", "CDDL 1.0", "SSPL", "ODbL", "WTFPL", "0BSD"]
+    texts += ["creative\ncommons zero", "in the public\n domain", "all rights\treserved", "cc\nzero", "cc.by.nc"]
+    made = {sampled(r, re._parser.parse(rule[3])) for rule in licenses.rules() for _ in range(3)}
+    texts += sorted("\n".join(t.upper().split(" ")) if len(t) % 2 else t.replace(" ", ", ") for t in made)
+    scanned_as_ungated(spark, texts)
+
+
 # ---- 5 language --------------------------------------------------------------------------
 
 

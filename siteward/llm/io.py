@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import Broadcast, cloudpickle
@@ -15,7 +14,7 @@ ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of a few MB, so that a Python worker's memory doesn't follow the length of texts;
-    what the session sets itself stays."""
+    what the session sets itself stays.  Queries call this once, before they build their plan."""
     for key, value, default in (("maxRecordsPerBatch", ARROW_ROWS, 10_000), ("maxBytesPerBatch", ARROW_BYTES, (1 << 31) - 1)):
         name = f"spark.sql.execution.arrow.{key}"
         if str(spark.conf.get(name, str(default))).rstrip("bB") in (str(default), str(1 << 31)):
@@ -28,13 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session names none (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.  Where it is unset, a folder of the
+    warehouse stands in on a local master; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
     return at
 
 
@@ -43,7 +43,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``stored`` wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:

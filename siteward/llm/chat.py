@@ -105,7 +105,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             if not n:
                 continue
             ids = batch.column(0)
-            changed = pc.not_equal(pc.fill_null(ids.slice(1), 0), pc.fill_null(ids.slice(0, n - 1), 0)).to_numpy(zero_copy_only=False).astype(bool)
+            changed = pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, n - 1)), False).to_numpy(zero_copy_only=False).astype(bool)
             nulls = pc.is_null(ids).to_numpy(zero_copy_only=False)
             cuts = np.concatenate(([0], np.flatnonzero(changed | (nulls[1:] != nulls[:-1])) + 1, [n]))
             strings, loss = assemble(batch.column(2), batch.column(3), cuts)

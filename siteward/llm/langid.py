@@ -1,12 +1,14 @@
 """Language identification by compression: the language whose zstandard dictionary codes a text
 in the fewest bytes.
 
-A dictionary is raw content: pieces of ``PIECE_BYTES`` of at most about ``ROWS`` different labelled
-texts of a language (a documented bound), picked by the hash of the text, ``DICT_BYTES`` in all.
+A dictionary is raw content: pieces from all over about ``ROWS`` different labelled texts of a language
+(a documented bound; at most ``PIECE_CHARS`` of each), picked by the hash of the text, with equal shares
+of ``DICT_BYTES``.  As many further labelled texts set the margin.
 Every text is classified whole, in blocks of ``BLOCK_BYTES`` that are coded one by one by a greedy
 coder; where that leaves less than ``CLOSE`` between the best two, by an optimal one.  A language
-costs its code and its share of the learned texts, both in bits.  A text is rejected if the best
-two differ by less than ``MARGIN_BITS`` or the share ``MARGIN`` of the best.
+costs its code and its share of the learned texts, both in bits.  A text is rejected if the second
+best code is longer by no more than the margin: the greatest lead up to which labelled texts that
+taught nothing are more often wrong than right, ``MOST_MARGIN`` at most.
 
 Defined results: ``und`` for a null text, one without letters, or if there are no labelled rows
 (score 0, rejected); a language without letters in its labelled texts is not learned; ties go to
@@ -16,6 +18,7 @@ the language that sorts first; repeated rows get equal results; other columns pl
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard as zstd
@@ -23,12 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS = 400
-PIECE_BYTES = 600
+PIECES, PIECE_CHARS = 4, 2000
 DICT_BYTES = 96 << 10
 BLOCK_BYTES = 32 << 10
 CLOSE = 0.02
-MARGIN = 0.0002
-MARGIN_BITS = 1.0
+MOST_MARGIN = 0.05
 _FRAME = {"window_log": 19, "hash_log": 17, "chain_log": 17, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 GREEDY = {"strategy": zstd.STRATEGY_GREEDY, "min_match": 4, "search_log": 4}
 OPTIMAL = {"strategy": zstd.STRATEGY_BTLAZY2, "min_match": 3, "search_log": 5, "target_length": 16}
@@ -45,31 +47,69 @@ def held_out(key: str, divisor: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(divisor)) == remainder, F.lit(False))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[bytes, float]]:
+def _cuts(text: Column) -> Column:
+    """PIECES pieces of a text, spread over all of it; a short text is one piece."""
+    n, size = F.length(text), PIECE_CHARS // PIECES
+    cut = [F.substr(text, (F.floor((n - size) * i / (PIECES - 1)) + 1).cast("int"), F.lit(size)) for i in range(PIECES)]
+    return F.when(n <= PIECE_CHARS, F.array(text)).otherwise(F.array(*cut))
+
+
+def _filled(sizes: list[int], room: int) -> int:
+    """The greatest share such that min(size, share) summed over all fits in the room."""
+    low, high = 0, max(sizes, default=0)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if sum(min(s, mid) for s in sizes) <= room else (low, mid - 1)
+    return low
+
+
+class Model(NamedTuple):
+    languages: dict[str, tuple[bytes, float]]  # the dictionary and its share of the labelled texts
+    margin: float = 0.0  # a relative lead below which a text is rejected
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Of each language of docs a dictionary and its share of the texts; equal texts count once."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
-        return {}
-    # One entry for each language; texts whose hash lies in a share of all values are kept.
-    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (ROWS << 30) // max(1, n)))])
-    picked = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < most[F.col("lang")])
-    picked = picked.groupBy("lang", "h").agg(F.max("text").alias("text"))
-    pieces: dict[str, list[bytes]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        if (b := plain(r["text"])) and any(map(str.isalpha, r["text"])):
-            pieces.setdefault(r["lang"], []).append(b)
+        return Model({})
+    # One entry for each language; texts whose hash lies in a share of all values are kept, half of them to learn from.
+    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (2 * ROWS << 30) // max(1, n)))])
+    place = F.pmod(F.col("h"), F.lit(1 << 30))
+    picked = rows.filter(place < most[F.col("lang")]).withColumn("teaches", (place % 2 == 0) | (most[F.col("lang")] == 1 << 30))
+    picked = picked.groupBy("lang", "h", "teaches").agg(F.max(_cuts(F.col("text"))).alias("cuts"))
+    pieces: dict[str, list[list[bytes]]] = {}
+    tried: list[tuple[str, str]] = []
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["cuts"])):
+        if any(map(str.isalpha, "".join(r["cuts"]))):
+            if r["teaches"]:
+                pieces.setdefault(r["lang"], []).append([plain(c) for c in r["cuts"]])
+            else:
+                tried.append((r["lang"], " ".join(r["cuts"])))
     out = {}
     for name, texts in pieces.items():
-        each = max(PIECE_BYTES, DICT_BYTES // len(texts))
-        out[name] = b" ".join(b[:each] for b in texts)[-DICT_BYTES:], counts[name] / sum(counts.values())
-    return out
+        each = _filled([sum(map(len, t)) + len(t) for t in texts], DICT_BYTES)
+        out[name] = b" ".join(b" ".join(c[: max(1, each // len(t))] for c in t) for t in texts)[:DICT_BYTES], counts[name] / sum(counts.values())
+    return Model(out, narrowest(out, tried))
+
+
+def narrowest(languages: dict[str, tuple[bytes, float]], tried: list[tuple[str, str]]) -> float:
+    """The greatest relative lead up to which labelled texts that taught nothing are more often wrong than right."""
+    classify_ = Classifier(Model(languages))
+    found = sorted((lead, name == lang) for lang, (name, lead) in ((lang, classify_.lead(t)) for lang, t in tried))
+    margin, right = 0.0, 0
+    for n, (lead, good) in enumerate(found, 1):
+        right += good
+        if right < n - right:
+            margin = lead
+    return min(margin, MOST_MARGIN)
 
 
 class Classifier:
-    def __init__(self, learned: dict[str, tuple[bytes, float]]):
-        """learned: of each language the dictionary and its share of the learned rows."""
+    def __init__(self, model: Model):
+        learned, self.margin = model
         self.names = sorted(learned)
         self.prior = [-math.log2(max(learned[n][1], 1e-6)) for n in self.names]
         self.greedy, self.optimal = ([self.coder(learned[n][0], kind) for n in self.names] for kind in (GREEDY, OPTIMAL))
@@ -85,22 +125,31 @@ class Classifier:
         out = [8 * sum(len(c.compress(x)) for x in blocks) + p for c, p in zip(coders, self.prior, strict=True)]
         return out, sorted(range(len(out)), key=lambda i: (out[i], i))
 
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score, rejected."""
-        if not text or not self.names or not any(map(str.isalpha, text)):
-            return "und", 0.0, True
+    def coded(self, text: str) -> tuple[list[float], list[int]]:
         b = plain(text)
         blocks = [b[i : i + BLOCK_BYTES] for i in range(0, len(b), BLOCK_BYTES)]
         bits, order = self.bits(self.greedy, blocks)
         if len(order) > 1 and bits[order[1]] - bits[order[0]] < CLOSE * bits[order[0]] + 32:
             bits, order = self.bits(self.optimal, blocks)
+        return bits, order
+
+    def lead(self, text: str) -> tuple[str, float]:
+        """Language and how much longer, in share, the second best code is."""
+        bits, order = self.coded(text)
+        return self.names[order[0]], (bits[order[1]] - bits[order[0]]) / bits[order[0]] if len(order) > 1 else 1.0
+
+    def __call__(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, rejected."""
+        if not text or not self.names or not any(map(str.isalpha, text)):
+            return "und", 0.0, True
+        bits, order = self.coded(text)
         best = bits[order[0]]
         score = 1 / sum(2.0 ** max(-60.0, (best - x) / 8) for x in bits)
-        narrow = len(order) > 1 and bits[order[1]] - best < max(MARGIN_BITS, MARGIN * best)
+        narrow = len(order) > 1 and bits[order[1]] - best <= self.margin * best
         return self.names[order[0]], score, narrow
 
 
-def classify(docs: DataFrame, learned: dict[str, tuple[bytes, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, learned: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score, rejected of every row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(learned)
 
@@ -117,7 +166,7 @@ def classify(docs: DataFrame, learned: dict[str, tuple[bytes, float]], key: str
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double, rejected boolean")
 
 
-def accepted(docs: DataFrame, learned: dict[str, tuple[bytes, float]], text: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, learned: Model, text: str = "text") -> DataFrame:
     """docs without the rows that are rejected."""
     held = docs.sparkSession.sparkContext.broadcast(learned)
 

@@ -1,32 +1,40 @@
 """Near-copies by order MinHash, verified by banded alignment.
 
-Of every text the five-word k-mers, labelled by occurrence, are hashed; a sketch is the
-``SAMPLED`` smallest under one of ``SKETCHES`` hash functions, kept in text order.  Two texts that
-share a sketch are candidates: with a similarity s they do so with a chance of about
-1 - (1 - s**SAMPLED)**SKETCHES, 0.99997 at 0.8.  A candidate pair is aligned: its shared k-mers, each
-where it occurs first, are chained in order within a diagonal band, and it is linked if the chain
-is at least ``LEAST`` of all different k-mers of the two.  An exact check follows for pairs that
-fail: passages may have moved out of the band, so the sets of k-mers are compared (Jaccard index).
-A link thus always means that the sets reach ``LEAST``.  Classes are the connected components.
+Of every text the five-word k-mers, labelled by occurrence, are hashed; a sketch is the ``SAMPLED``
+smallest under one of ``SKETCHES`` hash functions, kept in text order.  They are taken of first
+occurrences, and, where k-mers repeat, of all labelled ones too; texts of at most ``SHORT`` k-mers
+also have sketches of ``SAMPLED_SHORT``.  Two texts that share a sketch are candidates.
+
+The alignment decides: the different k-mers that two texts share, each where it first stands, are
+chained in order within a diagonal band; what is left over is chained again, as passages that moved, as long as
+a chain holds ``PASSAGE`` k-mers.  Texts are linked if the chained k-mers are at least ``LEAST`` of
+all different k-mers of the two.  K-mers that only recur here and there, out of every order, don't
+count; a link thus always means a Jaccard index of ``LEAST`` or more.  Classes are the connected components.
 
 Candidates of a sketch are never all paired.  First each text meets the text of its sketch that
 shares most sketches with others (a group's original stands out so); classes are formed, and
 what is still apart meets all others of a sketch of up to NEAR + 1 texts, and in larger ones its
-``NEAR_LARGE`` neighbours in the order of another sketch, in each of its SKETCHES sketches.  The
-texts of larger sketches that still hold several classes are then joined exactly: two sets reach
+``NEAR_LARGE`` neighbours in the order of another sketch.  The texts of larger sketches that still
+hold several classes are then joined exactly: two sets reach
 ``LEAST`` only if they share one of their rarest k-mers (prefix filter), and have fitting lengths and
-places there.  Every such pair of different classes is compared; groups of a common k-mer are dealt
+places there.  Every such pair of different classes is aligned; groups of a common k-mer are dealt
 out block by block.  Exact copies are one node throughout.
 
+What order costs: two texts of 0.8 share an ordered sketch with a chance of about 0.8 ** SAMPLED each,
+so one pair in 30,000 is not a candidate; if long passages have changed places, sketches agree only where
+all sampled k-mers lie in one of them.
+
 Defined results: a null text counts as empty; equal texts, empty ones among them, are one class;
 a text of fewer than five words has one k-mer, of all its words, and one without words none;
 ``class_id`` is the smallest doc_id of the class (null if it has none); repeated rows get equal
-results, and one row stays of a class when copies are dropped; other columns play no part.
+results, and one row stays of a class when copies are dropped; an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +42,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.llm.components import components
-from siteward.llm.io import stored
+from siteward.llm.io import forget, stored
 from siteward.llm.words import U64, chunks, mix, text_bytes
 
 WORDS = 5
 SAMPLED = 4
 SKETCHES = 20
 LEAST = 0.8
+SHORT, SHORT_ONLY, SAMPLED_SHORT = 24, 16, 2
+PASSAGE = 8
 NEAR = 12
 NEAR_LARGE = 4
 BAND = 0.25
-SALT_ROWS = 4096
+SALT_ROWS = 2048
+HUB_ROWS = 512
 BLOCK = 1024
 NODE = "binary"
 
@@ -78,15 +89,16 @@ def labelled(words, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return mix(plain + occurrence.astype(U64) * U64(0x9E3779B97F4A7C15), 3), plain, occurrence == 0, begin
 
 
-_SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=U64), 5)
-_ODD = mix(np.arange(101, 101 + SKETCHES, dtype=U64), 9) | U64(1)
+_SEEDS = mix(np.arange(1, 3 * SKETCHES + 1, dtype=U64), 5)
+_ODD = mix(np.arange(101, 101 + 3 * SKETCHES, dtype=U64), 9) | U64(1)
 
 
-def _some(kmers: np.ndarray, which: slice) -> np.ndarray:
+def _some(kmers: np.ndarray, family: int, sampled: int) -> np.ndarray:
+    which = slice(family * SKETCHES, (family + 1) * SKETCHES)
     v = (kmers[None] ^ _SEEDS[which, None]) * _ODD[which, None]
     v ^= v >> U64(31)
     v *= U64(0xBF58476D1CE4E5B9)
-    k = min(SAMPLED, len(kmers))
+    k = min(sampled, len(kmers))
     least = np.argpartition(v, k - 1, axis=1)[:, :k] if k < len(kmers) else np.tile(np.arange(k), (len(v), 1))
     least.sort(axis=1)
     out = _SEEDS[which].copy()
@@ -96,12 +108,17 @@ def _some(kmers: np.ndarray, which: slice) -> np.ndarray:
 
 
 def sketches(kmers: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The order MinHash sketches of one document's labelled k-mers, as hashes that name the sketch.
-    Half of them sample first occurrences alone, so that a line repeated often doesn't outweigh the rest."""
-    if first.all():
-        return _some(kmers, slice(0, SKETCHES))
-    half = SKETCHES // 2
-    return np.concatenate((_some(kmers, slice(0, half)), _some(kmers[first], slice(half, SKETCHES))))
+    """The order MinHash sketches of one document's labelled k-mers, as hashes that name the sketch, in
+    families of SKETCHES: of first occurrences, of all labelled ones, and smaller ones of short texts."""
+    once = kmers if first.all() else kmers[first]
+    out = []
+    if len(once) > SHORT_ONLY:
+        out.append(_some(once, 0, SAMPLED))
+    if len(once) <= SHORT:
+        out.append(_some(once, 1, SAMPLED_SHORT))
+    if len(once) < len(kmers):
+        out.append(_some(kmers, 2, SAMPLED))
+    return np.concatenate(out)
 
 
 def node_of(text: Column) -> Column:
@@ -121,9 +138,10 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             for _, _, words in chunks(batch.column(1)):
                 kmers, _, first, begin = labelled(words)
                 for a, b in zip(begin[:-1], begin[1:]):
-                    counts.append(SKETCHES if b > a else 0)
+                    own = sketches(kmers[a:b], first[a:b]) if b > a else ()
+                    counts.append(len(own))
                     if b > a:
-                        flat.append(sketches(kmers[a:b], first[a:b]))
+                        flat.append(own)
             values = pa.array(np.concatenate(flat)) if flat else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), lists], names=["key", "node", "sketches"])
@@ -131,60 +149,90 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, node binary, sketches array<long>")
 
 
-def _chain(a: np.ndarray, b: np.ndarray) -> int:
-    """Most shared k-mers that stand in the same order in both, within the band."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    inside = np.abs(i - j) <= abs(len(a) - len(b)) + BAND * max(len(a), len(b))
-    order = np.argsort(i[inside])
-    j = j[inside][order]
+def _longest(j: np.ndarray) -> np.ndarray:
+    """Which of j make up a longest rising run of choices."""
     if len(j) < 2 or (j[1:] > j[:-1]).all():
-        return len(j)
-    from bisect import bisect_left
-
-    tails: list[int] = []
-    for x in j.tolist():
+        return np.ones(len(j), bool)
+    tails, at, before = [], [], np.full(len(j), -1)
+    for n, x in enumerate(j.tolist()):
         k = bisect_left(tails, x)
         if k == len(tails):
             tails.append(x)
+            at.append(n)
         else:
-            tails[k] = x
-    return len(tails)
+            tails[k], at[k] = x, n
+        before[n] = at[k - 1] if k else -1
+    kept, n = np.zeros(len(j), bool), at[-1]
+    while n >= 0:
+        kept[n] = True
+        n = before[n]
+    return kept
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shared k-mers the alignment holds: a chain within the band, and chains of moved passages.
+    a, b: the different k-mers of two documents, in text order."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    most = (len(a) + len(b)) * LEAST / (1 + LEAST)
+    if len(i) < most - 1e-6:
+        return len(i)
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    inside = np.abs(i - j) <= abs(len(a) - len(b)) + BAND * max(len(a), len(b))
+    left = np.ones(len(i), bool)
+    left[np.flatnonzero(inside)[_longest(j[inside])]] = False
+    total = len(i) - int(left.sum())
+    while total < most - 1e-6 and left.sum() >= PASSAGE:
+        rest = np.flatnonzero(left)
+        # A moved passage lies on one diagonal, or close to it.
+        way = (j[rest] - i[rest]) // max(8, int(BAND * 32))
+        names, counts = np.unique(way, return_counts=True)
+        if 3 * counts.max() < PASSAGE:
+            break
+        common = rest[np.abs(way - names[np.argmax(counts)]) <= 1]
+        chain = common[_longest(j[common])]
+        left[common] = False
+        if len(chain) >= PASSAGE:
+            total += len(chain)
+    return total
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """a, b: the different k-mers of two documents, in text order."""
     if not len(a) or min(len(a), len(b)) < LEAST * max(len(a), len(b)):
         return False
-    shared = _chain(a, b)
-    if shared >= LEAST * (len(a) + len(b) - shared):
-        return True
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= LEAST * (len(a) + len(b) - shared)
+    held = aligned(a, b)
+    return held >= LEAST * (len(a) + len(b) - held) - 1e-9
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are alike."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are alike.  The k-mers of a ``b`` that many pairs name travel once for
+    every HUB_ROWS of them, and pairs of it are dealt over as many tasks."""
+    deals = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("deals"))
+    one = pairs.join(kmers.select(F.col("node").alias("a"), "kmers"), "a").join(deals, "b")
+    one = one.select("b", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int").alias("deal"), "a", "kmers")
+    hub = deals.join(kmers.select(F.col("node").alias("b"), "kmers"), "b")
+    hub = hub.select("b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.lit(None).cast("binary").alias("a"), "kmers")
+    dealt = hub.union(one).repartition("b", "deal").sortWithinPartitions("b", "deal", F.col("a").asc_nulls_first())
 
     def run(batches):
+        now = None
         for batch in batches:
             kept = np.zeros(batch.num_rows, bool)
-            for i, j, words in chunks(batch.column(3), 1 << 20):
-                _, right, first_y, by = labelled(words)
-                for p, q, other in chunks(batch.column(2).slice(i, j - i), 1 << 20):
-                    _, left, first_x, bx = labelled(other)
-                    for d in range(p, q):
-                        xs, ys = slice(bx[d - p], bx[d - p + 1]), slice(by[d], by[d + 1])
-                        kept[i + d] = alike(left[xs][first_x[xs]], right[ys][first_y[ys]])
-            yield batch.select([0, 1]).filter(pa.array(kept))
+            a, lists = batch.column(2), batch.column(3)
+            for k in range(batch.num_rows):
+                own = lists[k].values.to_numpy().view(U64)
+                if not a[k].is_valid:
+                    now = own.copy()
+                else:
+                    kept[k] = alike(own, now)
+            yield batch.select([2, 0]).filter(pa.array(kept))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of neighbours in a sketch, of different classes.  rows: sketch, other, node, comp, n."""
-    salt = F.when(F.col("n") <= SALT_ROWS, F.lit(0)).otherwise(F.pmod(F.col("other"), F.ceil(F.col("n") / (SALT_ROWS // 2)))).cast("int")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT_ROWS)).cast("int")
     dealt = rows.withColumn("salt", salt).select("sketch", "salt", "other", "node", "comp", F.when(F.col("n") <= NEAR + 1, NEAR).otherwise(NEAR_LARGE).alias("near")).repartition("sketch", "salt").sortWithinPartitions("sketch", "salt", "other", "node")
 
     def run(batches):
@@ -207,13 +255,13 @@ def near_pairs(rows: DataFrame) -> DataFrame:
 
 
 def kmer_sets(texts: DataFrame) -> DataFrame:
-    """node, kmers: the different k-mers of every text, sorted."""
+    """node, kmers: the different k-mers of every text, in text order."""
 
     def run(batches):
         for batch in batches:
             for i, j, words in chunks(batch.column(1), 1 << 20):
                 kmers, _, first, begin = labelled(words)
-                sets = [np.sort(kmers[a:b][first[a:b]]).view(np.int64) for a, b in zip(begin[:-1], begin[1:])]
+                sets = [kmers[a:b][first[a:b]].view(np.int64) for a, b in zip(begin[:-1], begin[1:])]
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["node", "kmers"])
@@ -232,7 +280,8 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
     often = rows.groupBy("kmer").agg(F.count("*").alias("n"))
     order = Window.partitionBy("node").orderBy("n", "kmer")
     ranked = rows.join(often, "kmer").withColumn("at", F.row_number().over(order))
-    prefix = stored(ranked.filter(F.col("at") <= F.col("m") - F.ceil(F.col("m") * LEAST - 1e-6) + 1).filter("n > 1").select("kmer", "node", "comp", "m", "at"))
+    prefix = (ranked.filter(F.col("at") <= F.col("m") - F.ceil(F.col("m") * LEAST - 1e-6) + 1).filter("n > 1").select("kmer", "node", "comp", "m", "at"))
+    prefix = stored(prefix)
     mixed = prefix.groupBy("kmer").agg(F.count("*").alias("g"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     dealt = prefix.join(mixed.select("kmer", blocks.alias("blocks")), "kmer").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -283,32 +332,17 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def alike_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of k-mers reach LEAST."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("kmers").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("kmers").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches):
-        for batch in batches:
-            kept = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                kept[k] = shared >= LEAST * (len(x) + len(y) - shared)
-            yield batch.select([0, 1]).filter(pa.array(kept))
-
-    return both.mapInArrow(run, "a binary, b binary")
-
-
-def rest_of_large(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+def rest_of_large(members: DataFrame, links: DataFrame, kmers: DataFrame) -> DataFrame:
     """Links between classes of ``links`` that share a sketch of more than NEAR + 1 texts: all of them."""
     comp = components(links).withColumnRenamed("node", "m")
     large = members.filter(F.col("n") > NEAR + 1).select("sketch", "node")
     placed = stored(large.join(comp, F.col("node") == F.col("m"), "left").select("sketch", "node", F.coalesce("comp", "node").alias("comp")))
     mixed = placed.groupBy("sketch").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("sketch")
     left = placed.join(mixed, "sketch").select("node", "comp").distinct()
-    sets = stored(kmer_sets(texts.join(left.select("node"), "node", "left_semi")).join(left, "node"))
-    return alike_sets(rare_pairs(sets), sets)
+    sets = stored(kmers.join(left, "node"))
+    found = stored(verified(rare_pairs(sets), sets))
+    forget(placed, sets)
+    return found
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -316,7 +350,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     rows = stored(sketched(docs, key, text))
     nodes = stored(rows.groupBy("node").agg(F.min("key").alias("id"), F.max("sketches").alias("sketches")))
     band = F.posexplode("sketches").alias("k", "sketch")
-    every = nodes.select("node", "sketches", band).select("node", "sketch", F.get("sketches", F.pmod(F.col("k") + 1, F.lit(SKETCHES))).alias("other"))
+    every = nodes.select("node", "sketches", band).select("node", "sketch", F.get("sketches", F.pmod(F.col("k") + 1, F.size("sketches"))).alias("other"))
     shared = every.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(every.join(shared, "sketch"))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -324,20 +358,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("id")), "node")
     source = docs.select(F.col(key).alias("id"), node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
     same = source["node"].eqNullSafe(wanted["node"]) & source["id"].eqNullSafe(wanted["id"])
-    texts = stored(source.join(wanted, same, "left_semi").groupBy("node", "id").agg(F.first("text").alias("text")).select("node", "text"))
+    # Equal texts of one node and id are one; k-mers are made once and travel instead of texts.
+    kmers = stored(kmer_sets(source.join(wanted, same, "left_semi").groupBy("node", "id").agg(F.first("text").alias("text")).select("node", "text")))
     stars = members.join(chief, "sketch").filter(F.col("node") != F.col("chief"))
-    stars = stars.select(F.least("node", "chief").alias("a"), F.greatest("node", "chief").alias("b")).distinct()
-    links = stored(verified(stars, texts))
+    stars = stars.select(F.col("node").alias("a"), F.col("chief").alias("b")).distinct()
+    links = stored(verified(stars, kmers))
     first = components(links)
     placed = members.join(first.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("sketch", "other", "node", F.coalesce("comp", "node").alias("comp"), "n")
-    pairs = near_pairs(placed).join(stars, ["a", "b"], "left_anti")
-    links = links.union(stored(verified(pairs, texts)))
-    links = links.union(stored(rest_of_large(members, links, texts)))
-    comp = components(links)
+    met = stars.union(stars.select("b", "a"))
+    pairs = near_pairs(placed).join(met, ["a", "b"], "left_anti")
+    near = stored(verified(pairs, kmers))
+    rest = rest_of_large(members, links.union(near), kmers)
+    comp = components(links.union(near).union(rest))
     named = nodes.join(comp.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     chosen = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
     named = named.join(chosen, "comp").select("node", F.col("best.id").alias("class_id"), (F.col("best.node") == F.col("node")).alias("stands"))
-    return rows.select("key", "node"), stored(named)
+    named = stored(named)
+    forget(nodes, members, kmers, links, near, rest)
+    return rows.select("key", "node"), named
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

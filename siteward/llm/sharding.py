@@ -1,7 +1,7 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
 DataFrame functions only.  Rows get global numbers 0..N-1 in the order of
-(bucket of the key, key, size, checksum); a keyed permutation of 0..N-1 shuffles them; the
+(bucket of the hash, key, size, checksum, piece); a keyed permutation of 0..N-1 shuffles them; the
 permuted number p gives shard ``p mod shards`` and slot ``p div shards``, so shard sizes differ
 by one row at most and a row's place can be computed without moving any other row.
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from siteward.llm.io import stored
 
 OVERHEAD = 16
-BUCKETS = 1024
+PIECE = 1 << 14
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
 ROUNDS = 6
 WALK = 32
 
@@ -59,8 +60,9 @@ def permuted(number: Column, total: int, seed: int) -> Column:
 
 
 def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = 20240) -> DataFrame:
-    """Columns: key, size, text_crc32, row_number, shard, slot.  Equal rows are counted before
-    the shuffle, so a key or row that makes up a third of the table is one row of it."""
+    """Columns: key, size, text_crc32, row_number, shard, slot.  Equal rows are counted before the
+    shuffle and travel as pieces of at most ``PIECE`` rows, each in a bucket of its own, so a row that
+    makes up a third of the table is the work of many tasks."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).alias("k"),
@@ -68,23 +70,19 @@ def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "t
         F.crc32(body).alias("text_crc32"),
     )
     rows = rows.groupBy("k", "size", "text_crc32").agg(F.count("*").alias("n"))
-    rows = stored(rows.withColumn("bucket", F.pmod(F.xxhash64("k", "size", "text_crc32"), F.lit(BUCKETS)).cast("int")))
-    # At most BUCKETS rows, whatever the table's size.
-    held = sorted((r["bucket"], r["rows"]) for r in rows.groupBy("bucket").agg(F.sum("n").alias("rows")).collect())
-    total = sum(n for _, n in held)
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PIECE).cast("long"))))
+    rows = stored(rows.select("k", "size", "text_crc32", "piece", F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("piece") * PIECE).alias("m"), F.xxhash64("k", "size", "text_crc32", "piece").alias("h")))
+    pieces, total = rows.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).collect()[0]
     if not total:
         return rows.select(F.col("k").alias(key), "size", "text_crc32", *[F.lit(None).cast(t).alias(c) for c, t in (("row_number", "long"), ("shard", "int"), ("slot", "long"))]).limit(0)
-    spark = docs.sparkSession
-    start, base = 0, []
-    for bucket, n in held:
-        base.append((bucket, start))
-        start += n
-    base = spark.createDataFrame(base, "bucket int, base long")
-    order = Window.partitionBy("bucket").orderBy(F.col("k").asc_nulls_first(), "size", "text_crc32")
-    rows = rows.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(F.broadcast(base), "bucket")
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(max(LEAST_BUCKETS, -(-pieces // BUCKET_ROWS)))))
+    # One row a bucket; its own task adds them up.
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("bucket").agg(F.sum("m").alias("rows")).select("bucket", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("base"))
+    order = Window.partitionBy("bucket").orderBy(F.col("k").asc_nulls_first(), "size", "text_crc32", "piece")
+    rows = rows.withColumn("before", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1))).join(base, "bucket")
     first = F.col("base") + F.coalesce("before", F.lit(0))
-    rows = rows.select("k", "size", "text_crc32", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("row_number"))
+    rows = rows.select("k", "size", "text_crc32", F.explode(F.sequence(first, first + F.col("m") - 1)).alias("row_number"))
     rows = rows.withColumn("p", permuted(F.col("row_number"), total, seed))
     rows = rows.withColumn("p", F.when(F.col("p") < total, F.col("p")).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long")))
     return rows.select(

@@ -8,8 +8,9 @@ found (exact, beginning, misspelled), by the odds of its term in the labels, and
 reporting verb less, next to second-person words more.
 
 Labels are learned from at most about ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled
-documents (a documented bound), equal texts once.  Defined results: null and empty texts score
-``score_of(0)``; a null label teaches nothing; without labels the plain list alone counts;
+documents (a documented bound), equal texts once: toxic if one of them is labelled so.  All terms
+that qualify in them are held.  Defined results: null and empty texts score
+``score_of(0)``; a null label teaches nothing; an empty table gives no rows; without labels the plain list alone counts;
 repeated rows get equal scores; other columns play no part.
 """
 
@@ -29,7 +30,6 @@ from siteward.llm.langid import held_out
 
 TOXIC_ROWS = 3000
 CLEAN_ROWS = 6000
-MOST_TERMS = 3000
 RATIO = 25.0
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -184,7 +184,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     picked = _rows_by_hash(known.filter("y = 1"), "doc_id", TOXIC_ROWS).union(_rows_by_hash(known.filter("y = 0"), "doc_id", CLEAN_ROWS))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
-    return rows.select("y", "text").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("y", "text")
+    return rows.groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, bool]]:
@@ -231,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, bool]]:
         whole = ~begun & (ratio >= RATIO) & (F.col("contexts") >= F.greatest(F.lit(least), F.col("toxic") * 0.5))
         begun = begun & (ratio >= 4 * RATIO) & (F.col("toxic") >= 2 * least) & (F.col("contexts") >= 3)
         weight = F.least(F.lit(1.8), F.greatest(F.lit(0.6), (F.log(ratio) - 3) / 2))
-        found = found.filter((F.col("toxic") >= least) & (whole | begun)).orderBy(F.col("toxic").desc(), "term").limit(MOST_TERMS)
+        found = found.filter((F.col("toxic") >= least) & (whole | begun))  # terms of the bounded sample alone
         terms |= {r["term"]: (r["weight"], not r["term"].endswith("*")) for r in found.withColumn("weight", weight).collect()}
     # Terms that clean texts hold misspelled are matched exactly alone.
     held = rows.sparkSession.sparkContext.broadcast(terms)

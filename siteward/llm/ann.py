@@ -36,10 +36,10 @@ from siteward.llm.io import forget, shipped, stored
 NEIGHBOURS = 40
 TREES = 5
 CHUNK = 128
-SAMPLE = 16
+SAMPLE = 40
 REVERSE = 24
 HUB = 8192
-PART_BYTES = 64 << 20
+PART_BYTES, LEAST_PARTS = 256 << 20, 8
 SAMPLE_BYTES, SAMPLE_ROWS = 8 << 20, 8192
 STOP = 0.01
 BEAM = 128
@@ -103,7 +103,7 @@ class Tree:
 
     def grow(self, x: np.ndarray, cell: int | None) -> int:
         size = len(x) * self.each
-        if cell is None and size <= self.part_rows:
+        if cell is None and size <= 1.1 * self.part_rows:
             cell, self.cells = self.cells, self.cells + 1
         me = len(self.w)
         self.w.append(np.zeros(x.shape[1]))
@@ -160,7 +160,7 @@ class Tree:
 def planted(nodes: DataFrame, total: int) -> tuple[list[Tree], int]:
     """Trees over a bounded sample, and how many nodes a part holds."""
     dim = nodes.select(F.size("v").alias("n")).limit(1).collect()[0]["n"]
-    part_rows = max(64, PART_BYTES // (8 * max(1, dim) * 2 * NEIGHBOURS))
+    part_rows = max(64, min(PART_BYTES // (8 * max(1, dim) * 2 * NEIGHBOURS), -(-total // LEAST_PARTS)))
     most = min(SAMPLE_ROWS, max(512, SAMPLE_BYTES // (8 * max(1, dim))))
     share = min(1 << 30, int((most << 30) / total) + 1)
     held = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("id", "v").orderBy("id").limit(2 * most).collect()
@@ -183,7 +183,7 @@ def in_parts(nodes: DataFrame, trees: list[Tree], part_rows: int) -> DataFrame:
 
     kind = nodes.schema["v"].dataType.simpleString()
     rows = stored(nodes.select("id", "v", "ids").mapInArrow(run, f"id long, v {kind}, ids array<long>, cell long"))
-    pieces = rows.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).alias("pieces"))
+    pieces = rows.groupBy("cell").agg(F.ceil(F.count("*") / (1.5 * part_rows)).alias("pieces"))
     piece = F.pmod(F.xxhash64("id"), F.col("pieces"))
     return rows.join(pieces, "cell").select("id", F.xxhash64("cell", piece).alias("part"), "v", "ids")
 

@@ -49,7 +49,7 @@ WORDS = 5
 SAMPLED = 4
 SKETCHES = 20
 LEAST = 0.8
-SHORT, SHORT_ONLY, SAMPLED_SHORT = 24, 16, 2
+SHORT, SHORT_ONLY, SAMPLED_SHORT = 24, 16, 3
 PASSAGE = 8
 NEAR = 12
 NEAR_LARGE = 4

@@ -1,22 +1,29 @@
 """License scans: ordered signature rules behind a keyword prefilter, DataFrame functions only.
 
 A text is lower-cased (A-Z) and cut into words; rules are regexes over the words joined by
-single spaces.  A document is looked at by the rules only if it passes ``GATE``, which every match of a rule does, and a rule
-only if its keyword is one of the document's words (a rule of two keywords is held once for each: what
-one run accepts is cut out, so the other finds nothing more).  Rules run in order of priority, and what
-one accepts is cut out of the text that later ones see: a detection inside the interval of an
-accepted one of higher priority is suppressed.  No shuffle, no Python on the executors.
-
-Defined results: a null or empty text has no words, no labels and score 0; repeated rows each
-get their own result; other columns play no part.
+single spaces: hand-written signatures of licence texts and notices (``signatures``), and the titles and
+identifiers of licences in the phrases of ``TEMPLATES``.  A document is looked at by the rules only if it
+passes ``GATE``, which every match of a rule does, and a rule only if its keyword, which every match
+holds, is one of the document's words.
+
+A detection is an interval of words with the priority of its rule.  One that lies inside the interval of a
+detection of higher priority is suppressed; of equal intervals the higher priority stays; detections that
+overlap in part both stay.  No shuffle, no Python on the executors, time linear in the text and its detections.
+
+Defined results: a null or empty text has no words, no detections and score 0; repeated rows each
+get their own result; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteward.llm.io import ascii_lower
+from siteward.llm.signatures import SIGNATURES
+from siteward.llm.spans import each, highest, let, matches, text as quoted, those
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -104,30 +111,47 @@ def first_word(name: str) -> str:
     return name.split(" ")[0].split("(")[0]
 
 
+def by_letter(words: set[str]) -> str:
+    """The words as one regex, branched at the first letter."""
+    letters = sorted({w[0] for w in words})
+    return "|".join(c + "(?:" + "|".join(sorted(re.escape(w[1:]) for w in words if w[0] == c)) + ")" for c in letters)
+
+
+def _needs(signature: str) -> str:
+    """What is left of a signature without its optional parts."""
+    before = None
+    while before != signature:
+        before, signature = signature, re.sub(r"\((?:\?:)?[^()]*\)(?:\?|\{0,\d+\}\??)", "", signature)
+    return signature
+
+
 #: What every match of any rule holds: one of the parts, or else the regex (over a text as it is, whatever stands
-#: between its words): a bare identifier's first word, a title without "licen", or a grant's end and an identifier's first word.
+#: between its words): a bare identifier's first word, a title without "licen", a grant's end and an identifier's
+#: first word, or the keyword of a signature without "licen".
 GATE_PARTS = ("licen", "spdx", "attribution", "gpl")
+GATE_WORDS = {first_word(n) for label, _, _, n in NAMES if label.startswith(BARE)} | {k for _, k, r in SIGNATURES if "|" in _needs(r) or not any(p in _needs(r) for p in GATE_PARTS)}
 GATE = (
     f"(?<!{WORD[:-1]})(?:"
-    + "|".join(sorted({first_word(n) for label, _, _, n in NAMES if label.startswith(BARE)}))
+    + by_letter(GATE_WORDS)
     + f"|commons{BREAK}zero|public{BREAK}domain|rights{BREAK}reserved"
     + f"|(?:under|by)(?:{BREAK}the)?(?:{BREAK}terms{BREAK}of)?(?:{BREAK}the)?{BREAK}(?:"
-    + "|".join(sorted({first_word(n) for _, _, _, n in NAMES}))
+    + by_letter({first_word(n) for _, _, _, n in NAMES})
     + f"))(?!{WORD[:-1]})"
 )
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, keyword, label, regex, score) in the order in which they run."""
-    out = []
+    """(priority, keyword, label, regex, score), the highest priority first."""
+    shaped = lambda r: f"(?<= )(?:{r})(?= )"
+    out = [(15_000 - min(4999, 10 * len(r)), k, label, shaped(r), 0.97) for label, k, r in SIGNATURES]
     for label, word, title, name in NAMES:
         first = first_word(name)
         specific = 0 if any(c.isdigit() for c in label) or label.count("-") > 1 else 1
         for priority, score, shape, keyword in TEMPLATES:
-            regex = "(?<= )(?:" + shape.replace("{t}", title).replace("{i}", name) + ")(?= )"
-            out.append((priority * 1000 + specific * 500 - min(499, len(title)), word if keyword is None else keyword or first, label, regex, score))
+            regex = shape.replace("{t}", title).replace("{i}", name)
+            out.append((priority * 1000 + specific * 500 - min(499, len(title)), word if keyword is None else keyword or first, label, shaped(regex), score))
         if label.startswith(BARE):
-            out.append((60_000 + specific * 500 - min(499, len(name)), first, label, f"(?<= )(?:{name})(?= )", 0.6))
+            out.append((60_000 + specific * 500 - min(499, len(name)), first, label, shaped(name), 0.6))
     return sorted(out, key=lambda r: (r[0], r[2], r[3]))
 
 
@@ -136,8 +160,30 @@ def _count_words(spaced: Column) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+def _detections(body: str, rule: str) -> str:
+    """Intervals of words of a rule's matches, with its rank, label and score."""
+    spaces = lambda x: f"cast(length({x}) - length(replace({x}, ' ', '')) AS BIGINT)"
+
+    def made(start: str, end: str, match: str, gap: str) -> str:
+        return f"named_struct('start', {start}, 'back', -({end}), 'rank', {rule}.rank, 'end', {end}, 'label', {rule}.label, 'score', {rule}.score)"
+
+    return matches(body, f"{rule}.regex", lambda g: f"({spaces(g)} - 1L)", lambda m: f"({spaces(m)} + 1L)", made)
+
+
+def _kept(found: str, ranks: str) -> str:
+    """Detections outside the intervals of those of higher priority: for each rule the furthest end of what
+    starts no later and ranks before it."""
+
+    def of_rank(every: str, rank: str) -> str:
+        ends = each(every, lambda d, _: f"CASE WHEN {d}.rank < {rank} THEN {d}.end ELSE -1L END")
+        return let(highest(ends), lambda most: those(every, lambda d, i: f"{d}.rank = {rank} AND get({most}, {i}) < {d}.end"))
+
+    return let(f"array_sort({found})", lambda every: f"array_sort(flatten({each(ranks, lambda r, _: of_rank(every, r))}))")
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score."""
+    """key, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score, and detections: an
+    array of (start, end, label, score) of words."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     text = "text"
     table = rules()
@@ -166,20 +212,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         struct.append(F.struct(F.lit(label).alias("label"), n.alias("n"), first.alias("first"), last.alias("last")))
     out = out.withColumn("_b", F.when(F.col("_s") != "", F.filter(F.array(*struct), lambda b: b["n"] > 0)))
     one = F.replace(F.col("_s"), F.lit("  "), F.lit(" "))
-    seen = F.array_distinct(F.regexp_extract_all(one, F.lit("(?<= )(" + "|".join(words) + ")(?= )"), F.lit(1)))
-    held = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(l).alias("label"), F.lit(x).alias("regex"), F.lit(s).alias("score")) for _, ws, l, x, s in table for w in ws.split("|")])
-
-    def fold(acc: Column, rule: Column) -> Column:
-        hit = F.rlike(acc["text"], rule["regex"])
-        return F.when(hit, F.struct(
-            F.regexp_replace(acc["text"], rule["regex"], F.lit("|")).alias("text"),
-            F.array_append(acc["labels"], rule["label"]).alias("labels"),
-            F.greatest(acc["score"], rule["score"]).alias("score"),
-        )).otherwise(acc)
-
-    start = F.struct(one.alias("text"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-    found = F.aggregate(F.filter(held, lambda r: F.array_contains(F.col("_k"), r["word"])), start, fold, lambda a: F.struct(a["labels"].alias("labels"), a["score"].alias("score")))
-    out = out.withColumn("_k", F.when(F.col("_s") != "", seen))
+    words_of = lambda ws: "array(" + ", ".join(map(quoted, ws.split("|"))) + ")"
+    held = "array(" + ", ".join(f"named_struct('rank', {n}, 'words', {words_of(ws)}, 'label', {quoted(label)}, 'regex', {quoted(x)}, 'score', {s}D)" for n, (_, ws, label, x, s) in enumerate(table)) + ")"
+    out = out.withColumn("_one", one)
+    out = out.withColumn("_k", F.when(F.col("_s") != "", F.array_distinct(F.regexp_extract_all("_one", F.lit("(?<= )(" + by_letter(set(words)) + ")(?= )"), F.lit(1)))))
+    gated = those(held, lambda r, _: f"arrays_overlap({r}.words, _k) AND rlike(_one, {r}.regex)")
+    found = F.expr(let(gated, lambda own: _kept(f"flatten({each(own, lambda r, _: _detections('_one', r))})", each(own, lambda r, _: f"{r}.rank"))))
     out = out.withColumn("_f", F.when(F.size("_k") > 0, found))
     none = F.array().cast("array<string>")
     base = F.coalesce(F.array_sort(F.transform("_b", lambda b: b["label"])), none)
@@ -191,8 +229,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.array_min(F.transform("_b", lambda b: b["first"])).alias("first_word"),
         F.array_max(F.transform("_b", lambda b: b["last"])).alias("last_word"),
         F.col("_base").alias("base_labels"),
-        F.array_sort(F.array_union("_base", F.coalesce(F.col("_f.labels"), none))).alias("labels"),
-        F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.col("_f.score"), F.lit(0.0))).alias("score"),
+        F.array_sort(F.array_union("_base", F.coalesce(F.transform("_f", lambda d: d["label"]), none))).alias("labels"),
+        F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("_f", lambda d: d["score"])), F.lit(0.0))).alias("score"),
+        F.transform("_f", lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["label"].alias("label"), d["score"].alias("score"))).alias("detections"),
     )
 
 

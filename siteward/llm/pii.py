@@ -2,28 +2,35 @@
 
 DataFrame functions only.  Generators propose spans of each kind.  Those of the four base kinds
 that pass their rule (digits, Luhn, parts of at most 255) always stay; further candidates
-(telephone numbers without ``+``, social security numbers, IBANs, card-like numbers, secrets) are
-scored by boosted trees that are written as one SQL expression, and stay from the threshold of
-their kind on, where they don't overlap a base span.  A row is worked on where it lies: no
-shuffle, no Python on the executors.
+(telephone numbers of any national form, social security numbers, IBANs, card-like numbers, identity
+documents, dates of birth, secrets) are proposed freely, scored by boosted trees that are written as SQL
+expressions, and stay from the threshold of their kind on, where they don't overlap a base
+span.  A row is worked on where it lies: no
+shuffle, no Python on the executors, and time linear in the text and its spans.
 
 The trees are fitted at the start of a query on ``EXAMPLES`` made-up candidates a kind (fixed
 seed), whose features are computed by the very expressions that score documents; thresholds are
-set on examples held out from the fit.
+set on examples held out from the fit, so that of the examples kept at least ``PRECISION`` are right.
+There are no labels of personal data to learn from: names and addresses, which format and context can't
+tell, are not proposed.
 
 Defined results: a null text counts as empty and has no spans (and stays null when redacted);
 spans of one kind don't overlap, those of different kinds may, and are redacted as one stretch
-named by its first span; repeated rows get equal results; other columns play no part.
+named by its first span; repeated rows get equal results; an empty table gives no rows; other columns
+play no part.
 """
 
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteward.llm.spans import each, highest, let, matches, places, text as quoted, those
+
 #: The base kinds in their order.  Possessive and anchored at the start of a run, so
 #: that each takes linear time and no deep recursion, with the same leftmost matches.
 LOCAL = "A-Za-z0-9._%+-"
@@ -35,119 +42,134 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that the method adds: generator, context that speaks for it.
 ADDED = {
-    "tel": (r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])", "phone|tel|call|mobile|cell|fax|contact|dial"),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "iban|account|bank|transfer"),
-    "account": (r"(?<![0-9.])[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9.])", "card|visa|mastercard|amex|credit|debit|account"),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social|security"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "iban|account|bank|transfer|konto|cuenta|compte"),
+    "account": (r"(?<![0-9.])[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9.])", "card|visa|mastercard|amex|credit|debit|account|carte|tarjeta|karte"),
+    "birth": (r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9./-])", "born|birth|dob|birthday|geboren|naissance|nacido|nacida|nacimiento|geburtsdatum"),
+    "identity": (r"(?<![A-Za-z0-9-])[A-Z]{1,3}[ -]?[0-9]{6,9}[A-Z]?(?![A-Za-z0-9-])", "passport|identity|driver|drivers|licence|license|ausweis|pasaporte|passeport|dni|nie|national"),
+    "tel": (
+        r"(?<![0-9A-Za-z+./-])(?:00[1-9][0-9]{0,2}[ ./-]?)?(?:\([0-9]{1,5}\)[ ./-]?|[0-9]{2,5}[ ./-])[0-9]{2,8}(?:[ ./-][0-9]{2,6}){0,4}(?![0-9A-Za-z/-]|\.[0-9])",
+        "phone|telephone|tel|call|mobile|cell|fax|contact|dial|whatsapp|sms|number is|number|telefon|rufnummer|handy|telefono|movil|llame|portable",
+    ),
     "secret": (r"(?i)(?<![A-Za-z0-9])(?:token|password|passwd|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+", "token|password|passwd|secret|key|login"),
 }
-AGAINST = r"(?:order|item|part|ref|page|isbn|doi|version|serial|invoice|sku|lot|model|room|table|row|no|nr|id)[^a-z]{0,4}$"
+AGAINST = r"(?:order|item|part|ref|reference|page|pages|isbn|doi|version|serial|invoice|sku|lot|model|room|table|row|no|nr|id|ticket|chapter|section|score|results?|range|between|from|years?|in|on|of|code|build|figure|fig|released|published|dated|since|until)[^a-z0-9]{0,4}$"
 KINDS = (*BASE, *ADDED)
 CONTEXT = 28
+BLOCK = 4096
 EXAMPLES = 400
 TREES, DEPTH_RATE, PRECISION = 24, 0.3, 0.98
-FEATURES = ("kind", "digits", "letters", "length", "distinct", "luhn", "speaks_for", "speaks_against", "hex", "mixed")
-_CHUNK = 128
-
-
-def _before(a: Column) -> Column:
-    """Sums of what stands before each element, in blocks: n * _CHUNK steps at most."""
-    zero = F.lit(0).cast("long")
-    total = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _CHUNK).cast("int")), lambda j: total(F.slice(a, j * _CHUNK + 1, F.lit(_CHUNK))))
-    start = F.struct(zero.alias("s"), F.array().cast("array<bigint>").alias("o"))
-    sums = F.aggregate(blocks, start, lambda s, v: F.struct((s["s"] + v).alias("s"), F.array_append(s["o"], s["s"]).alias("o")), lambda s: s["o"])
-    return F.transform(
-        F.sequence(F.lit(0), F.size(a) - 1),
-        lambda i: F.get(sums, F.floor(i / _CHUNK).cast("int")) + total(F.slice(a, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, F.pmod(i, F.lit(_CHUNK)))),
-    )
+FEATURES = ("digits", "letters", "length", "distinct", "luhn", "speaks_for", "speaks_against", "hex", "mixed", "groups", "leads", "year", "ends")
+SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string,before:string>>"
 
 
-def _spans(df: DataFrame, name: str, text: str, regex: str, gate: Column, order: int) -> DataFrame:
-    """df with an array column: (start, ord, end, kind, value) of every match, in code points."""
-    m, g, a, s = (f"_{x}_{name}" for x in "mgas")
-    df = df.withColumn(m, F.when(gate, F.regexp_extract_all(text, F.lit(regex), F.lit(0))))
-    df = df.withColumn(g, F.when(F.size(m) > 0, F.transform(F.split(text, regex, -1), lambda x: F.length(x).cast("long"))))
-    df = df.withColumn(a, F.when(F.col(g).isNotNull(), F.zip_with(F.slice(g, F.lit(1), F.size(m)), F.transform(m, lambda x: F.length(x).cast("long")), lambda x, y: x + y)))
-    df = df.withColumn(s, F.when(F.col(a).isNotNull(), _before(F.col(a))))
-    made = F.transform(
-        s,
-        lambda v, i: F.struct(
-            (v + F.get(g, i)).alias("start"), F.lit(order).alias("ord"), (v + F.get(a, i)).alias("end"), F.lit(name).alias("kind"), F.get(m, i).alias("value")
-        ),
-    )
-    none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string,value:string>>")
-    return df.withColumn(f"_{name}", F.coalesce(made, none)).drop(m, g, a, s)
+def _spans(body: str, name: str, regex: str, gate: str, order: int) -> str:
+    """(start, ord, end, kind, value, before) of every match, in code points; before: what stands ahead of it."""
+    size = lambda x: f"cast(length({x}) AS BIGINT)"
 
+    def made(start: str, end: str, match: str, gap: str) -> str:
+        return f"named_struct('start', {start}, 'ord', {order}, 'end', {end}, 'kind', '{name}', 'value', {match}, 'before', substring({gap}, -{CONTEXT}, {CONTEXT}))"
 
-def _digits(v: Column) -> Column:
-    return F.regexp_replace(v, "[^0-9]", "")
+    return f"coalesce(CASE WHEN {gate} THEN {matches(body, quoted(regex), size, size, made)} END, cast(array() AS {SPAN}))"
 
 
-def luhn(digits: Column) -> Column:
-    back = F.reverse(digits)
+def _digits(v: str) -> str:
+    return f"regexp_replace({v}, '[^0-9]', '')"
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.ascii(F.substr(back, i, F.lit(1))) - 48
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when(F.pmod(i, F.lit(2)) == 0, twice).otherwise(d)
 
-    return F.pmod(F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add), F.lit(10)) == 0
+def luhn(digits: str) -> str:
+    """Whether a string of digits has the check digit of payment cards."""
+    back = f"reverse({digits})"
+    worth = lambda d, i: f"CASE WHEN {i} % 2 = 0 THEN CASE WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END ELSE {d} END"
+    return f"aggregate(sequence(1, length({digits})), 0, (total, place) -> total + {let(f'ascii(substring({back}, place, 1)) - 48', lambda d: worth(d, 'place'))}) % 10 = 0"
 
 
-def _holds(name: str, v: Column) -> Column:
+def _holds(name: str, v: str) -> str:
     if name == "ip":
-        return F.rlike(v, F.lit(rf"^{BYTE}(?:\.{BYTE}){{3}}$"))
-    n = F.length(_digits(v))
+        return f"rlike({v}, {quoted(rf'^{BYTE}(?:[.]{BYTE}){{3}}$')})"
+    n = f"length({_digits(v)})"
     if name == "card":
-        return F.when(n.between(14, 19), luhn(_digits(v))).otherwise(False)
-    return n.between(10, 15) if name == "phone" else F.lit(True)
-
-
-def features(kind: str, value: Column, before: Column) -> list[Column]:
-    """FEATURES of a candidate, as numbers."""
-    digits = _digits(value)
-    body = F.regexp_extract(value, r"[A-Za-z0-9+/_-]+$", 0) if kind == "secret" else value
-    letters = F.length(F.regexp_replace(body, "[^A-Za-z]", ""))
-    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    n = F.length(digits)
-    return [
-        F.lit(float(list(ADDED).index(kind))), n.cast("double"), letters.cast("double"), F.length(body).cast("double"),
-        F.size(F.array_distinct(F.split(F.substr(body, F.lit(1), F.lit(40)), ""))).cast("double"),
-        flag(F.when(n.between(12, 19), luhn(digits)).otherwise(False)),
-        flag(F.rlike(F.lower(before), F.lit(rf"(?:{ADDED[kind][1]})[^a-z]{{0,8}}$"))) if kind != "secret" else F.lit(1.0),
-        flag(F.rlike(F.lower(before), F.lit(AGAINST))),
-        flag(F.rlike(body, F.lit("^[0-9a-fA-F]{12,}$"))), flag((F.length(_digits(body)) > 1) & (letters > 1)),
-    ]
+        return f"CASE WHEN {n} BETWEEN 14 AND 19 THEN {luhn(_digits(v))} ELSE false END"
+    return f"{n} BETWEEN 10 AND 15" if name == "phone" else "true"
+
+
+def features(kind: str, value: str, ahead: str) -> str:
+    """FEATURES of a candidate, as an array of numbers.  Each value that several of them use is bound once."""
+    flag = lambda c: f"CASE WHEN {c} THEN 1D ELSE 0D END"
+    number = lambda c: f"cast({c} AS DOUBLE)"
+    body = f"regexp_extract({value}, '[A-Za-z0-9+/_-]+$', 0)" if kind == "secret" else value
+    speaks = quoted(rf"(?<![a-z])(?:{ADDED[kind][1]})(?:[^a-z]{{0,8}}| (?:is|at|me at|us at|on|no|nr|number|at the|date|of birth|id|card)[^a-z]{{0,6}})$")
+
+    def made(body: str, digits: str, low: str) -> str:
+        n, letters = f"length({digits})", f"length(regexp_replace({body}, '[^A-Za-z]', ''))"
+        year = f"regexp_extract({body}, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:$|[^0-9])', 1)"
+        return ", ".join((
+            number(n), number(letters), number(f"length({body})"), number(f"size(array_distinct(split(substring({body}, 1, 40), '')))"),
+            flag(f"CASE WHEN {n} BETWEEN 12 AND 19 THEN {luhn(digits)} ELSE false END"),
+            flag(f"rlike({low}, {speaks})") if kind != "secret" else "1D",
+            flag(f"rlike({low}, {quoted('(?<![a-z])' + AGAINST)})"),
+            flag(f"rlike({body}, '^[0-9a-fA-F]{{12,}}$')"), flag(f"{n} > 1 AND {letters} > 1"),
+            number(f"regexp_count({body}, '[0-9]+')"), flag(f"rlike({body}, {quoted(r'^(?:0|[(]0|[(][0-9]{3}[)])')})"), flag(f"{year} <> ''"), number(f"length(regexp_extract({body}, '[0-9]+$', 0))"),
+        ))
+
+    return let(body, lambda b: let(_digits(b), lambda d: let(f"lower({ahead})", lambda low: f"array({made(b, d, low)})")))
+
+
+#: Phrases before made-up candidates, for and against, and ones that say nothing.
+SPEAKS = {
+    "tel": ("call me at ", "phone: ", "tel ", "Tel.: ", "mobile ", "contact ", "my number is ", "fax: ", "Telefon ", "whatsapp ", "Handy: ", "call "),
+    "ssn": ("ssn ", "SSN: ", "social security: ", "social security number "), "iban": ("iban: ", "IBAN ", "account ", "bank account "),
+    "account": ("card ", "visa: ", "credit card no. ", "account ", "debit card: "), "birth": ("born on ", "date of birth: ", "DOB ", "birthday ", "geboren "),
+    "identity": ("passport ", "passport no. ", "national id ", "driver license ", "Ausweis "), "secret": ("",),
+}
+DENIES = ("order ", "part no. ", "ref: ", "isbn ", "serial ", "invoice ", "version ", "item ", "released on ", "pages ", "score ", "ticket ", "from ", "in ", "model ", "published ")
+SILENT = ("the ", "and then ", "was ", "of about ", "", "with the ", "after ", "are ")
 
 
 def examples() -> list[tuple[str, str, str, int]]:
-    """(kind, value, before, label): made-up candidates, the same each time."""
+    """(kind, value, ahead, label): made-up candidates, the same each time."""
     r = random.Random(20240)
     num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    for_ = {"tel": ["call me at ", "phone: ", "tel ", "mobile ", "contact "], "ssn": ["ssn ", "social security: "], "iban": ["iban: ", "account ", "bank "], "account": ["card ", "visa: ", "credit card no. ", "account "], "secret": [""]}
-    against = ["order ", "part no. ", "ref: ", "isbn ", "serial ", "invoice ", "version ", "item "]
-    plain = ["the ", "and then ", "was ", "of about ", ""]
+    cap = lambda n: "".join(r.choice("ABCDEFGHKLMNPRSTXYZ") for _ in range(n))
+
+    def date() -> str:
+        d, m, y = r.randint(1, 28), r.randint(1, 12), r.randint(1930, 2024)
+        return r.choice([f"{d:02}.{m:02}.{y}", f"{d}/{m}/{y}", f"{y}-{m:02}-{d:02}"])
+
+    def telephone() -> str:
+        shape = r.choice(["({3}) {3}-{4}", "{3}-{3}-{4}", "{3}.{3}.{4}", "0{3} {8}", "0{2} {8}", "0{4}/{6}", "0{1} {2} {2} {2} {2}", "00{2} {3} {7}", "{3} {3} {3}", "0{3}-{7}"])
+        for n in range(1, 9):
+            while "{%d}" % n in shape:
+                shape = shape.replace("{%d}" % n, num(n), 1)
+        return shape
+
+    def numbers() -> str:
+        return r.choice([f"{num(2)} {num(3)}", f"{num(3)} {num(3)}", f"{num(2)}-{num(2)}", f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", f"{num(2)}/{num(4)}", f"{num(2)} {num(2)} {num(2)}", f"{num(2)}.{num(3)}.{num(3)}", f"{num(4)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(2)}.{num(2)}.{r.randint(1950, 2030)}"])
+
     out = []
     for kind in ADDED:
         for i in range(EXAMPLES):
             yes = i % 2
+            ahead = r.choice(SPEAKS[kind]) if yes else r.choice(DENIES + SILENT)
             if kind == "tel":
-                value = r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(num(3), num(3), num(4))
-                before = r.choice(for_[kind] + plain[:2]) if yes else r.choice(against)
+                value = telephone() if yes else r.choice([telephone, numbers, numbers])()
             elif kind == "ssn":
-                value, before = f"{num(3)}-{num(2)}-{num(4)}", r.choice(for_[kind]) if yes else r.choice(against + plain)
+                value = f"{num(3)}-{num(2)}-{num(4)}"
             elif kind == "iban":
-                value = r.choice(["DE", "FR", "ES", "GB"]) + num(2) + "".join(f" {num(4)}" for _ in range(4))
-                before = r.choice(for_[kind] + plain[:1]) if yes else r.choice(against)
+                value = r.choice(["DE", "FR", "ES", "GB"]) + num(2) + "".join(f" {num(4)}" for _ in range(4)) if yes else cap(2) + num(2) + "".join(r.choice([num(4), cap(4)]) for _ in range(r.randint(3, 5)))
+                ahead = r.choice(SPEAKS[kind] + SILENT[:2]) if yes else r.choice(DENIES)
             elif kind == "account":
-                value, before = num(r.choice([13, 15, 16, 16, 19])), r.choice(for_[kind]) if yes else r.choice(against + plain + plain)
+                value = num(r.choice([13, 15, 16, 16, 19]))
+            elif kind == "birth":
+                value = date()
+            elif kind == "identity":
+                value = cap(r.choice([1, 2])) + num(r.choice([6, 7, 8, 9]))
             else:
                 body = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([16, 18, 20, 32]))) if r.random() < 0.6 else "".join(r.choice("ABCDEFGHabcdefgh0123456789") for _ in range(r.randint(12, 30)))
                 word = "".join(r.choice(["the", "ra", "tion", "er", "on", "in"]) for _ in range(r.randint(4, 6)))
                 value = r.choice(["token = ", "password=", 'secret: "', "api_key="]) + (body if yes else word)
-                before = r.choice(plain)
-            out.append((kind, value, before, yes))
+                ahead = r.choice(SILENT)
+            out.append((kind, value, ahead, yes))
     return out
 
 
@@ -156,15 +178,20 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     start = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     f, trees = np.full(len(y), start), []
 
+    cuts, place = zip(*(np.unique(x[:, k], return_inverse=True) for k in range(x.shape[1])))
+
     def best(rows: np.ndarray, grad: np.ndarray, hess: np.ndarray):
-        found = None
-        for k in range(x.shape[1]):
-            for cut in np.unique(x[rows, k])[:-1]:
-                left = x[rows, k] <= cut
-                gl, hl, g, h = grad[rows][left].sum(), hess[rows][left].sum(), grad[rows].sum(), hess[rows].sum()
-                gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
-                if found is None or gain > found[0] + 1e-9:
-                    found = (gain, k, float(cut))
+        """The split of greatest gain: sums up to each cut of each feature."""
+        found, g, h = None, grad[rows].sum(), hess[rows].sum()
+        for k, (values, at) in enumerate(zip(cuts, place, strict=True)):
+            if len(values) < 2:
+                continue
+            gl = np.bincount(at[rows], grad[rows], len(values)).cumsum()[:-1]
+            hl = np.bincount(at[rows], hess[rows], len(values)).cumsum()[:-1]
+            gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+            n = int(np.argmax(gain))
+            if found is None or gain[n] > found[0] + 1e-9:
+                found = (float(gain[n]), k, float(values[n]))
         return found
 
     for _ in range(TREES):
@@ -187,94 +214,124 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     return start, trees
 
 
-def margin(model: tuple[float, list], x: list[Column]) -> Column:
-    """The trees as one sum of CASE expressions."""
-    total = F.lit(model[0])
+def margin(model: tuple[float, list], x: str) -> str:
+    """The sum of the trees over an array of features: a fold over a table of them."""
 
-    def side(s) -> Column:
-        return F.lit(s[1]) if s[0] is None else F.when(x[s[0][0]] <= s[0][1], s[1]).otherwise(s[2])
+    def row(tree) -> str:
+        (k, cut), *sides = tree
+        parts = [f"{k}, {cut!r}D"]
+        for s in sides:  # a side without a split of its own has the same value twice
+            parts.append(f"{0 if s[0] is None else s[0][0]}, {0.0 if s[0] is None else s[0][1]!r}D, {s[1]!r}D, {s[2]!r}D")
+        return "struct(" + ", ".join(parts) + ")"
 
-    for (k, cut), left, right in model[1]:
-        total = total + F.when(x[k] <= cut, side(left)).otherwise(side(right))
-    return total
+    side = lambda k, cut, low, high: f"CASE WHEN get({x}, t.col{k}) <= t.col{cut} THEN t.col{low} ELSE t.col{high} END"
+    step = f"m + CASE WHEN get({x}, t.col1) <= t.col2 THEN {side(3, 4, 5, 6)} ELSE {side(7, 8, 9, 10)} END"
+    return f"aggregate(array({', '.join(map(row, model[1]))}), {model[0]!r}D, (m, t) -> {step})" if model[1] else f"{model[0]!r}D"
 
 
-def learned(spark: SparkSession) -> tuple[tuple[float, list], dict[str, float]]:
-    """The trees and the threshold of each kind (on the margin), from made-up candidates alone."""
-    made = spark.createDataFrame(examples(), "kind string, value string, before string, y int").coalesce(1)
-    whole = F.lit(None).cast("array<double>")
-    for kind in ADDED:
-        whole = F.when(F.col("kind") == kind, F.array(*features(kind, F.col("value"), F.col("before")))).otherwise(whole)
-    rows = made.select("kind", "y", whole.alias("x")).collect()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], dtype=float)
-    kinds, part = np.array([r["kind"] for r in rows]), np.arange(len(rows)) % 10 < 7
-    model = fit(x[part], y[part])
-    f = np.full(len(y), model[0])
+def valued(model: tuple[float, list], x: np.ndarray) -> np.ndarray:
+    f = np.full(len(x), model[0])
     for (k, cut), *sides in model[1]:
         for here, s in zip((x[:, k] <= cut, x[:, k] > cut), sides, strict=True):
             f += here * (s[1] if s[0] is None else np.where(x[:, s[0][0]] <= s[0][1], s[1], s[2]))
-    thresholds = {}
+    return f
+
+
+@lru_cache(maxsize=1)  # the examples are fixed
+def learned(spark: SparkSession) -> dict[str, tuple[tuple[float, list], float]]:
+    """Of each kind its trees and the threshold on their margin, from made-up candidates alone."""
+    made = spark.createDataFrame(examples(), "kind string, value string, ahead string, y int").coalesce(1)
+    whole = "CASE kind " + " ".join(f"WHEN '{kind}' THEN {features(kind, 'value', 'ahead')}" for kind in ADDED) + " END"
+    rows = made.select("kind", "y", F.expr(whole).alias("x")).collect()
+    out = {}
     for kind in ADDED:
-        own = (kinds == kind) & ~part
-        cuts = [c for c in np.unique(f[own]) if y[own][f[own] >= c].mean() >= PRECISION]
-        thresholds[kind] = float(max(0.0, min(cuts))) - 1e-9 if cuts else float("inf")
-    return model, thresholds
+        own = [r for r in rows if r["kind"] == kind]
+        x, y, part = np.array([r["x"] for r in own]), np.array([r["y"] for r in own], dtype=float), np.arange(len(own)) % 10 < 7
+        model = fit(x[part], y[part])
+        f, y = valued(model, x)[~part], y[~part]
+        cuts = [c for c in np.unique(f) if y[f >= c].mean() >= PRECISION]
+        out[kind] = model, float(max(0.0, min(cuts))) - 1e-9 if cuts else float("inf")
+    return out
+
+
+_BARE = "named_struct('start', {0}.start, 'ord', {0}.ord, 'end', {0}.end, 'kind', {0}.kind)"
+_FAR = 1 << 40
+
+
+def _clear(base: str, more: str) -> str:
+    """The base spans, and the candidates that meet none of them: in order of start, each against the furthest base
+    end before it and, from behind, the nearest base start after it."""
+
+    def pick(every: str) -> str:
+        ours = lambda s: f"{s}.ord < {len(BASE)}"
+        ends = each(every, lambda s, _: f"CASE WHEN {ours(s)} THEN {s}.end ELSE -1L END")
+        starts = each(f"reverse({every})", lambda s, _: f"CASE WHEN {ours(s)} THEN {_FAR}L - {s}.start ELSE -1L END")
+        free = lambda e, b, s, i: f"{ours(s)} OR (get({e}, {i}) <= {s}.start AND {_FAR}L - get({b}, {i}) >= {s}.end)"
+        return let(highest(ends), lambda e: let(f"reverse({highest(starts)})", lambda b: those(every, lambda s, i: free(e, b, s, i))))
+
+    both = f"array_sort(concat({base}, {each(more, lambda s, _: _BARE.format(s))}))"
+    return f"CASE WHEN size({more}) > 0 THEN {let(both, pick)} ELSE {base} END"
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``_base`` and ``_all``: sorted arrays of (start, ord, end, kind) in code points."""
-    model, thresholds = learned(docs.sparkSession)
+    """docs with ``_t`` (the text, not null), ``_base`` and ``_all``: sorted arrays of (start, ord, end, kind) in code points."""
+    models = learned(docs.sparkSession)
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    digit = F.rlike("_t", F.lit("[0-9]"))
-    df = df.withColumn("_d", digit)
-    gates = {
-        "email": F.contains("_t", F.lit("@")), "ip": F.col("_d"), "card": F.col("_d"), "phone": F.contains("_t", F.lit("+")) & F.col("_d"),
-        "tel": F.col("_d"), "ssn": F.col("_d"), "iban": F.col("_d"), "account": F.col("_d"),
-        "secret": F.rlike("_t", F.lit("[=:]")),
-    }
+    df = df.withColumn("_d", F.rlike("_t", F.lit("[0-9]")))
+    gates = {"email": "contains(_t, '@')", "phone": "contains(_t, '+') AND _d", "secret": "rlike(_t, '[=:]')"}
     regexes = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE} | {k: v[0] for k, v in ADDED.items()}
-    for order, name in enumerate(KINDS):
-        df = _spans(df, name, "_t", regexes[name], gates[name], order)
-    plain = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
-    kept = lambda name: F.filter(f"_{name}", lambda s: _holds(name, s["value"]))
-    base = [kept(name) for name in BASE]
-    df = df.withColumn("_base", F.array_sort(plain(F.concat(*base))))
+    spans = {name: _spans("_t", name, regexes[name], gates.get(name, "_d"), order) for order, name in enumerate(KINDS)}
 
-    def scored(name: str) -> Column:
-        def good(s: Column) -> Column:
-            first = F.greatest(F.lit(1).cast("long"), s["start"] - CONTEXT + 1)
-            before = F.substr("_t", first.cast("int"), (s["start"] - first + 1).cast("int"))
-            return margin(model, features(name, s["value"], before)) >= thresholds[name]
+    def held(name: str) -> str:
+        return each(those(spans[name], lambda s, _: _holds(name, f"{s}.value")), lambda s, _: _BARE.format(s))
 
-        return F.filter(f"_{name}", good)
+    def good(name: str) -> str:
+        model, least = models[name]
+        return those(spans[name], lambda s, _: f"{let(features(name, f'{s}.value', f'{s}.before'), lambda x: margin(model, x))} >= {least!r}D" if np.isfinite(least) else "false")
 
-    more = [scored(name) for name in ADDED]
-    clear = F.filter(plain(F.concat(*more)), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("_all", F.array_sort(F.concat("_base", clear))).drop("_d", *[f"_{n}" for n in KINDS])
+    base, more = ", ".join(map(held, BASE)), ", ".join(map(good, ADDED))
+    df = df.withColumns({"_base": F.expr(f"array_sort(concat({base}))"), "_more": F.expr(f"concat({more})")})
+    return df.withColumn("_all", F.expr(_clear("_base", "_more"))).drop("_d", "_more")
 
 
 def written(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _piece(blocks: str, start: str, end: str) -> str:
+    """Code points start to end of a text that is cut into blocks, so that no piece is searched from the text's start."""
+    first, last = f"({start}) div {BLOCK}", f"(({end}) - 1) div {BLOCK}"
+    cut = lambda x, i: (
+        f"substring({x}, cast(CASE WHEN {i} = 0 THEN ({start}) % {BLOCK} + 1 ELSE 1 END AS INT), "
+        f"cast(least(({end}) - ({first} + {i}) * {BLOCK}, {BLOCK}) - CASE WHEN {i} = 0 THEN ({start}) % {BLOCK} ELSE 0 END AS INT))"
+    )
+    parts = each(f"slice({blocks}, cast({first} + 1 AS INT), cast({last} - {first} + 1 AS INT))", cut)
+    return f"CASE WHEN {end} > {start} THEN array_join({parts}, '') ELSE '' END"
+
+
+def _redacted(body: str, spans: str) -> str:
+    """Spans that meet make one stretch: it begins where nothing before reaches, and ends at the furthest end before the next."""
+
+    def written_(most: str, size: str) -> str:
+        opens = those(places(spans), lambda i, _: f"CASE WHEN {i} = 0 THEN true ELSE get({spans}, {i}).start >= get({most}, {i} - 1) END")
+
+        def joined(opens: str, blocks: str) -> str:
+            behind = lambda i, k: f"CASE WHEN {k} > 0 THEN get({most}, {i} - 1) ELSE 0L END"
+            part = lambda i, k: let(behind(i, k), lambda b: let(f"get({spans}, {i})", lambda s: f"concat({_piece(blocks, b, f'{s}.start')}, '[', upper({s}.kind), ']')"))
+            tail = let(f"get({most}, size({spans}) - 1)", lambda b: _piece(blocks, b, size))
+            return f"concat(array_join({each(opens, part)}, ''), {tail})"
+
+        return let(opens, lambda opens: let(f"regexp_extract_all({body}, {quoted('(?s).{1,%d}' % BLOCK)}, 0)", lambda blocks: joined(opens, blocks)))
+
+    return let(highest(each(spans, lambda s, _: f"{s}.end")), lambda most: let(f"cast(length({body}) AS BIGINT)", lambda size: written_(most, size)))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every found stretch replaced by the name of its first kind in brackets."""
     # The row is kept apart, so that no column of it meets those made here.
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     df = find(own, "text")
-    kind = "array<struct<start:bigint,end:bigint,kind:string>>"
-    last = lambda acc: F.try_element_at(acc, F.lit(-1))
-
-    def join(acc: Column, s: Column) -> Column:
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        grown = F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"), last(acc)["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (s["start"] < last(acc)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(own)))
-
-    df = df.withColumn("_m", F.when(F.size("_all") > 0, F.aggregate("_all", F.array().cast(kind), join)))
-    end = lambda i: F.when(i > 0, F.get("_m", i - 1)["end"]).otherwise(F.lit(0).cast("long"))
-    piece = lambda s, i: F.concat(F.substr("_t", (end(i) + 1).cast("int"), (s["start"] - end(i)).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    tail = F.substr("_t", (last(F.col("_m"))["end"] + 1).cast("int"))
-    new = F.when(F.col("_m").isNotNull(), F.concat(F.array_join(F.transform("_m", piece), ""), tail)).otherwise(F.col("text"))
+    new = F.expr(f"CASE WHEN size(_all) > 0 THEN {_redacted('_t', '_all')} ELSE text END")
     return df.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -53,6 +54,14 @@ def test_chat_round_trip(spark):
         assert x["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_chat_takes_ids_of_text_and_long_texts(spark):
+    rows = [("a", 0, "user", LONG), ("a", 1, "assistant", "ok"), (None, 0, "assistant", "x"), ("b", 0, "assistant", None)] + [("c", k, "assistant", f"{k};") for k in range(3000)]
+    d = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("part", F.lit(1)).withColumn("loss", F.lit("x"))
+    out = {x["conv_id"]: x for x in chat.digest(d).collect()}
+    assert {k: (x["n_turns"], x["loss_chars"]) for k, x in out.items()} == {"a": (2, 2), None: (1, 1), "b": (1, 0), "c": (3000, sum(len(f"{k};") for k in range(3000)))}
+    assert out["c"]["loss_sha256"] == hashlib.sha256("".join(f"{k};" for k in range(3000)).encode()).hexdigest()
+
+
 def test_chat_empty_table(spark):
     assert chat.digest(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -66,6 +75,34 @@ def test_automaton_finds_one_edit():
         assert a.match(w) == want, w
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row, last = [i], row
+        for j, e in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
+    return row[-1]
+
+
+def test_automaton_matches_brute_force():
+    r = random.Random(8)
+    terms = {"".join(r.choices("abc", k=r.randint(3, 8))): (1.0, True) for _ in range(60)}
+    a = toxicity.Automaton(terms)
+    for _ in range(4000):
+        w = "".join(r.choices("abc", k=r.randint(1, 9)))
+        near = [(edits(w, t), t) for t in terms if (w == t) or (len(t) >= toxicity.FUZZY_LENGTH and edits(w, t) <= 1)]
+        want = min(near, default=None)
+        assert a.match(w) == (want and (want[1], want[0])), w
+
+
+def test_labels_of_equal_texts_and_empty_tables(spark):
+    d = spark.createDataFrame([(k, "same words here") for k in range(6)] + [(9, None)], "doc_id long, text string").withColumn("y", F.lit(3)).withColumn("score", F.lit(1))
+    lab = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    assert {tuple(x) for x in toxicity.sample(d, lab).collect()} == {(1, "same words here")}
+    assert toxicity.digest(d.limit(0), lab).count() == 0
+    assert {x["predicted"] for x in toxicity.digest(d, lab.limit(0)).collect()} == {0}
+
+
 def test_quotation_counts_less():
     score = toxicity.Scorer({"idiot": (1.2, True), "moron": (1.2, True)})
     abuse, quoted = score.evidence("you idiot, what a moron you are")[0], score.evidence('the judge said "idiot" and wrote "moron" in the file')[0]
@@ -197,6 +234,8 @@ def sampled(r, parsed):
         op = str(op)
         if op == "LITERAL":
             out += chr(arg)
+        elif op == "NOT_LITERAL":
+            out += "w"
         elif op == "IN":
             kind, what = r.choice(arg)
             out += chr(what) if str(kind) == "LITERAL" else chr(r.randint(*what))
@@ -204,30 +243,38 @@ def sampled(r, parsed):
             out += sampled(r, r.choice(arg[1]))
         elif op == "SUBPATTERN":
             out += sampled(r, arg[3])
-        elif op == "MAX_REPEAT":
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
             out += "".join(sampled(r, arg[2]) for _ in range(r.randint(arg[0], min(int(arg[1]), 3))))
         else:
             assert op == "ASSERT"
     return out
 
 
+@cache
+def compiled():
+    return [(rank, label, re.compile(regex), score) for rank, (_, _, label, regex, score) in enumerate(licenses.rules())]
+
+
 def ungated(text):
-    """Labels and score of all rules in order, none of them gated."""
-    text, labels, score = f" {text} ", set(), 0.0
-    for _, _, label, regex, s in licenses.rules():
-        if re.search(regex, text):
-            text, labels, score = re.sub(regex, "|", text), labels | {label}, max(score, s)
-    return labels, score
+    """Detections (start, end, label, score) in words of all rules in order, none of them gated, without those
+    inside the interval of one of higher priority."""
+    text, found = f" {text} ", []
+    for rank, label, regex, score in compiled():
+        for m in regex.finditer(text):
+            start = text[: m.start()].count(" ") - 1
+            found.append((start, start + m[0].count(" ") + 1, rank, label, score))
+    kept = [d for d in found if not any(e[2] < d[2] and e[0] <= d[0] and d[1] <= e[1] for e in found)]
+    return sorted((a, b, label, score) for a, b, _, label, score in kept)
 
 
 def scanned_as_ungated(spark, texts):
-    out = {x["doc_id"]: x for x in licenses.digest(docs(spark, texts)).collect()}
+    out = {x["key"]: x for x in licenses.scan(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
-        labels, score = ungated(" ".join(words(t)))
+        want = ungated(" ".join(words(t)))
         x = out[i]
-        base = {b for b in x["base_labels"].split(",") if b}
-        assert labels and {b for b in x["labels"].split(",") if b} == labels | base, (t, x["labels"], labels)
-        assert x["score"] == (1.0 if base else score), t
+        assert want and sorted((d["start"], d["end"], d["label"], d["score"]) for d in x["detections"] or []) == want, t
+        assert x["labels"] == sorted({d[2] for d in want} | set(x["base_labels"])), t
+        assert x["score"] == (1.0 if x["base_labels"] else max(d[3] for d in want)), t
 
 
 def test_every_title_is_found_by_itself(spark):
@@ -236,11 +283,28 @@ def test_every_title_is_found_by_itself(spark):
     scanned_as_ungated(spark, texts)
 
 
+def test_contained_detections_yield_and_overlapping_stay(spark):
+    texts = ["licensed under the gnu general public license version 3", "the mit license apache 2 0", "see GNU General Public License, version 2; and the MIT license. " * 300]
+    scanned_as_ungated(spark, texts)
+    out = {x["doc_id"]: x["labels"] for x in licenses.digest(docs(spark, [*texts, None, ""])).collect()}
+    assert out[0] == "gpl-3" and out[1] == "apache-2,mit" and out[3] == out[4] == ""
+    assert licenses.digest(docs(spark, texts).limit(0)).count() == 0
+    d = docs(spark, texts[:2]).withColumn("key", F.lit(1)).withColumn("_s", F.lit("x"))
+    assert {x["doc_id"]: x["labels"] for x in licenses.digest(d).collect()} == {0: out[0], 1: out[1]}
+
+
+def test_signatures_hold_their_keyword():
+    r = random.Random(33)
+    for _, keyword, signature in licenses.SIGNATURES:
+        for _ in range(20):
+            assert keyword in sampled(r, re._parser.parse(signature)).split(" "), signature
+
+
 def test_every_rule_is_reached_without_other_words(spark):
     r = random.Random(32)
     texts = ["Released under MPL 2.0", "available for all under the terms of the\nApache 2.0", "released under BSD 3-Clause", "EUPL 1.2", "CDDL 1.0", "SSPL", "ODbL", "WTFPL", "0BSD"]
     texts += ["creative\ncommons zero", "in the public\n domain", "all rights\treserved", "cc\nzero", "cc.by.nc"]
-    made = {sampled(r, re._parser.parse(rule[3])) for rule in licenses.rules() for _ in range(3)}
+    made = {sampled(r, re._parser.parse(rule[3])) for rule in licenses.rules()}
     texts += sorted("\n".join(t.upper().split(" ")) if len(t) % 2 else t.replace(" ", ", ") for t in made)
     scanned_as_ungated(spark, texts)
 
@@ -260,6 +324,39 @@ def test_language_of_held_out_rows(spark):
     assert all(x["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, x in out.items())
 
 
+def test_language_equals_brute_classification(spark):
+    import zstandard as zstd
+
+    r = random.Random(12)
+    parts = {"aa": ["ra", "ne", "to"], "bb": ["sch", "ung", "zer"], "cc": ["ra", "ung", "lla"]}
+    rows = [(i, " ".join("".join(r.choices(parts[l], k=r.randint(1, 4))) for _ in range(r.randint(1, 80))), l) for i in range(200) for l in [r.choice(list(parts))]]
+    d = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string").withColumn("key", F.lit(1)).withColumn("rejected", F.lit("x"))
+    model = langid.learn(d)
+    out = {x["key"]: x for x in langid.classify(d.drop("key"), model).collect()}
+    for i, t, _ in rows:
+        bits = {}
+        for name, (held, share) in model.languages.items():
+            for kind in (langid.GREEDY, langid.OPTIMAL):
+                p = zstd.ZstdCompressionParameters(**langid._FRAME, **kind)
+                z = zstd.ZstdCompressor(compression_params=p, dict_data=zstd.ZstdCompressionDict(held.ljust(8), dict_type=zstd.DICT_TYPE_RAWCONTENT))
+                bits.setdefault(len(bits) % 1 or kind["min_match"], {})[name] = 8 * len(z.compress(langid.plain(t))) - math.log2(share)
+        greedy, optimal = bits[4], bits[3]
+        a, b = sorted(greedy.values())[:2]
+        use = optimal if b - a < langid.CLOSE * a + 32 else greedy
+        best = min(use, key=lambda n: (use[n], n))
+        a, b = sorted(use.values())[:2]
+        assert out[i]["lang_pred"] == best and out[i]["rejected"] == (b - a <= model.margin * a), t
+    assert langid.classify(d.drop("key").limit(0), model).count() == 0 == langid.accepted(d.limit(0), model).count()
+
+
+def test_narrow_margin_is_calibrated():
+    languages = {"aa": (b"ra ne to " * 50, 0.5), "bb": (b"sch ung zer " * 50, 0.5)}
+    clear = [("aa", "ra ne to ra"), ("bb", "ung zer sch")] * 20
+    mixed = [("aa", "ung zer ra ne to"), ("bb", "ra ne ung")] * 5
+    assert langid.narrowest(languages, clear) == 0.0
+    assert 0 <= langid.narrowest(languages, clear + mixed) <= langid.MOST_MARGIN
+
+
 def test_language_without_labels(spark):
     out = langid.digest(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).collect()
     assert out[0]["lang_pred"] == "und" and out[0]["rejected"]
@@ -329,7 +426,7 @@ def base_spans(t):
 
 PII_TEXTS = [
     None, "", "no data", "a@b.c_d@e.f x@y 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.004", "é😀 +1 (017) 555-7713, 4111 1111 1111 1111; 4111-1111-1111-1112", "é x@y.zz " * 300, "1 11 " * 3000, "a@b" + ".c" * 5000, "1" * 20000,
-    "call 555-123-4567, ssn 123-45-6789, order 555-123-4567", 'token = "04dbebab91ab85687d" password=required', "@a.b ++12 +1234567890 1.1.1.1@x.y",
+    "call 555-123-4567, ssn 123-45-6789, order 555-123-4567, tel: 0151 23456789 my number is 030 12345678", 'token = "04dbebab91ab85687d" password=required', "@a.b ++12 +1234567890 1.1.1.1@x.y",
 ]
 
 
@@ -345,6 +442,33 @@ def test_pii_base_spans_match_brute_force(spark):
     assert out[10]["spans"] == "secret:0:27"
 
 
+def test_pii_added_kinds_and_long_texts(spark):
+    texts = ["born on 03.04.1971, passport no. C1234567; version 555-123-4567", "IBAN DE89 3704 0044 0532 0130 00", "released on 03.04.2021 and item C1234567", "log 10.0.0.1 user a@b.cd ok\n" * 20_000]
+    out = {x["doc_id"]: x for x in pii.digest(docs(spark, texts)).collect()}
+    kinds = lambda i: [x.split(":")[0] for x in out[i]["spans"].split(",") if x]
+    assert kinds(0) == ["birth", "identity"] and kinds(1) == ["iban"] and kinds(2) == []
+    assert (out[3]["n_ip"], out[3]["n_email"]) == (20_000, 20_000)
+    cut = {x["doc_id"]: x["text"] for x in pii.redact(docs(spark, texts)).collect()}
+    assert cut[3] == "log [IP] user [EMAIL] ok\n" * 20_000 and cut[2] == texts[2]
+    assert pii.digest(docs(spark, texts).limit(0)).count() == 0 == pii.redact(docs(spark, texts).limit(0)).count()
+
+
+def test_pii_redaction_joins_spans_as_brute_force(spark):
+    texts = [t for t in PII_TEXTS if t and len(t) < 20_000] + ["é😀" * 3000 + " a@b.cd +1 (017) 555-7713 4111 1111 1111 1111" + "x" * 5000 + " 1.2.3.4"]
+    d = docs(spark, texts)
+    spans = {x["doc_id"]: [s.split(":") for s in x["spans"].split(",") if s] for x in pii.digest(d).collect()}
+    cut = {x["doc_id"]: x["text"] for x in pii.redact(d).collect()}
+    for i, t in enumerate(texts):
+        want, at, end = "", 0, -1
+        for kind, a, b in ((k, int(a), int(b)) for k, a, b in spans[i]):
+            if a >= end:
+                want += t[at:a] + f"[{kind.upper()}]"
+                end = b
+            end = max(end, b)
+            at = end
+        assert cut[i] == want + t[at:], t[:40]
+
+
 def test_pii_redaction(spark):
     d = docs(spark, [None, "mail a@b.cd or 1.2.3.4 now", "x"]).withColumn("_t", F.lit("kept")).withColumn("_all", F.lit(1))
     out = {x["doc_id"]: x for x in pii.redact(d).collect()}
@@ -378,6 +502,52 @@ def test_neighbours_recall_and_ties(spark):
     assert hits >= 0.9 * 150
 
 
+def clouds():
+    r = np.random.default_rng(23)
+    lone = r.standard_normal((1200, 16))
+    lone[100], lone[200] = 1000, -1000
+    far = r.standard_normal((1200, 24))
+    far[::2] += 1000
+    far[1::2] -= 1000
+    return {"outliers": lone, "positive": np.abs(r.standard_normal((1200, 24))) + 5, "two far clouds": far, "long vectors": r.standard_normal((700, 768)) * np.geomspace(1, 0.01, 768)}
+
+
+@pytest.mark.parametrize("name", ["outliers", "positive", "two far clouds", "long vectors"])
+def test_every_query_is_answered_whole(spark, name):
+    x = clouds()[name].astype("f4")
+    rows = [(i, [float(v) for v in x[i]], "q") for i in range(len(x))]
+    out = ann.neighbours_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string"), divisor=50).collect()
+    got = {}
+    for a in out:
+        got.setdefault(a["query_id"], set()).add(a["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 50):
+        assert len(got[q]) == 10, q
+        d = ((x.astype("f8") - x[q].astype("f8")) ** 2).sum(1)
+        hits += len(got[q] & {i for i in np.lexsort((np.arange(len(d)), d))[:11] if i != q})
+    assert hits >= 0.9 * 10 * len(range(0, len(x), 50))
+
+
+def test_short_answers_are_compared_with_all(spark):
+    x = np.random.default_rng(3).standard_normal((60, 4))
+    nodes = spark.createDataFrame([(i, i % 3, [float(v) for v in x[i]], [i]) for i in range(60)], "id long, part long, v array<double>, ids array<long>")
+    asked = spark.createDataFrame([(k,) for k in range(0, 60, 7)], "q long")
+    got = {}
+    for a in ann.compared_with_all(nodes, asked, 11).collect():
+        got.setdefault(a["q"], []).append((a["d"], a["w"]))
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        assert [w for _, w in sorted(found)] == np.lexsort((np.arange(60), d))[:11].tolist()
+    assert len(got) == 9
+
+
+def test_an_id_with_two_vectors_is_named_once(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(5, [0.5, 1.0]), (5, [5.0, 1.0])]
+    out = ann.neighbours_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), divisor=100).collect()
+    found = sorted((a["rank"], a["vec_id"]) for a in out)
+    assert [v for _, v in found] == [5, 1, 2, 3, 4, 6, 7, 8, 9, 10]
+
+
 def test_few_vectors_and_copies(spark):
     rows = [(i, [float(i == 0), 1.0]) for i in range(20)] + [(10, [0.0, 1.0])] * 30
     out = sorted(ann.neighbours_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), divisor=10).collect(), key=lambda a: (a["query_id"], a["rank"]))
@@ -458,3 +628,10 @@ def test_shards_are_even_and_reproducible(spark):
 def test_permutation_is_a_bijection(spark, total):
     out = [r[0] for r in spark.range(total).select(sharding.permuted(F.col("id"), total, 7)).collect()]
     assert sorted(out) == list(range(total))
+
+
+def test_a_row_repeated_a_million_times_is_dealt(spark):
+    d = spark.range(1_000_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")).union(docs(spark, [LONG, None]).select("doc_id", "text"))
+    out = sharding.digest(d).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(out) == 40 and sum(x["n"] for x in out) == 1_000_002
+    assert all(x["n"] == x["slots"] == x["last"] + 1 for x in out) and max(x["n"] for x in out) - min(x["n"] for x in out) <= 1

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteward.plans import handoff, reviews, stage1, stage2, stage3, stage4
+from siteward.plans import handoff, interface, reviews, stage1, stage2, stage3, stage4
 from siteward.streaming import windows
 
-MODULES = (stage1, stage2, stage3, stage4, reviews, handoff, windows)
+MODULES = (stage1, stage2, stage3, stage4, reviews, handoff, interface, windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

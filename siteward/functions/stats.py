@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteward.sources.tables import checkpointed
+
 RANGES = 64
 
 
@@ -29,6 +31,8 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), few: bool
     if by and not few:
         below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("less", F.coalesce(F.sum("same").over(below), F.lit(0))).withColumn("total", F.sum("same").over(Window.partitionBy(*by)))
+    # Written once: cuts, sums and ranks below read it, and not what it was made of.
+    counts = checkpointed(counts)
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"))
     spread = counts.join(F.broadcast(cuts), by) if by else counts.crossJoin(F.broadcast(cuts))
     spread = spread.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -45,7 +49,11 @@ def quantiles(df: DataFrame, value: str, points: Mapping[str, float], by: Sequen
 
     They are read off the ranked distinct values, so no task holds all values of a group, as an exact
     percentile aggregate does; groups are few (features) or none."""
-    at = value_positions(df, value, by, few=True)
+    return quantiles_at(value_positions(df, value, by, few=True), value, points, by)
+
+
+def quantiles_at(at: DataFrame, value: str, points: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """quantiles of values whose positions are known."""
     out = []
     for name, p in points.items():
         h = (F.col("total") - 1) * p
@@ -90,13 +98,16 @@ def safe_corr(x: str, y: str) -> Column:
 
 
 def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Gini coefficient of non-negative values; 0 for an empty or all-zero group."""
-    order = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    rows = df.select(*by, F.greatest(F.col(value), F.lit(0.0)).alias(value)).withColumn("_i", F.row_number().over(order))
-    n = F.count("*")
-    total = F.sum(value)
-    out = F.when(total > 0, 2 * F.sum(F.col("_i") * F.col(value)) / (n * total) - (n + 1) / n).otherwise(0.0)
-    return rows.groupBy(*by).agg(out.alias("gini"))
+    """Gini coefficient of non-negative values; 0 for an empty or all-zero group.
+
+    Equal values are counted, so that no task sorts a table: n rows of v behind ``less`` others hold the
+    places less + 1 to less + n."""
+    rows = df.select(*by, F.greatest(F.col(value), F.lit(0.0)).alias("_v"))
+    at = value_positions(rows, "_v", by)
+    s, less, v = F.col("same").cast("double"), F.col("less").cast("double"), F.col("_v")
+    n, total = F.sum(s), F.sum(v * s)
+    out = F.when(total > 0, 2 * F.sum(v * (s * less + s * (s + 1) / 2)) / (n * total) - (n + 1) / n).otherwise(0.0)
+    return at.groupBy(*by).agg(out.alias("gini"))
 
 
 def hhi(value: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.functions.stats import haversine_km, rank_percentile
+from siteward.operators.spatial import nearest
 from siteward.sources.tables import tri_state
 
 
@@ -44,20 +45,13 @@ def robust_core(frequency: DataFrame, least: float = 0.67) -> DataFrame:
 
 def proxy_resolution(sites: DataFrame, top: int = 2) -> DataFrame:
     """proxy, place, site: the nearest real sites of the same region for every proxy (``is_proxy`` = 1)."""
-    real = sites.filter("is_proxy = 0").select("site", "region", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    rows = sites.filter("is_proxy = 1").select(F.col("site").alias("proxy"), "region", "x", "y").join(real, "region")
-    d = F.round(F.sqrt((F.col("rx") - F.col("x")) * (F.col("rx") - F.col("x")) + (F.col("ry") - F.col("y")) * (F.col("ry") - F.col("y"))), 6)
-    order = Window.partitionBy("proxy").orderBy("distance", "site")
-    return rows.select("proxy", "site", d.alias("distance")).withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= top)
+    proxies = sites.filter("is_proxy = 1").select(F.col("site").alias("cell"), "x", "y", "region")
+    return nearest(proxies, sites.filter("is_proxy = 0"), top, ["region"]).withColumnRenamed("cell", "proxy")
 
 
 def nearest_k(cells: DataFrame, sites: DataFrame, k: int) -> DataFrame:
-    """cell, place, site, distance of the k nearest sites; sites are a dimension table."""
-    s = F.broadcast(sites.select("site", F.col("x").alias("sx"), F.col("y").alias("sy")))
-    d = F.sqrt((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y")))
-    rows = cells.select("cell", "x", "y").crossJoin(s).select("cell", "site", d.alias("d"))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("d", "site"))
-    return rows.withColumn("place", place.cast("long")).filter(F.col("place") <= k).select("cell", "place", "site", F.round("d", 6).alias("distance"))
+    """cell, place, site, distance of the k nearest sites."""
+    return nearest(cells, sites, k)
 
 
 def great_circle(points: DataFrame, key: str, lat0: float, lon0: float) -> DataFrame:

@@ -28,6 +28,7 @@ def feature_scores(units: DataFrame, features: Sequence[Feature], key: str = "un
     Features of the units are scaled over units; a feature that repeats on groups is scaled on one
     row per group and sent back.  Each kind is one job whatever the number of features."""
     spark = units.sparkSession
+    units = checkpointed(units)
     turn = F.broadcast(spark.createDataFrame([(f.name, f.direction) for f in features], "feature string, direction int"))
     parts = []
     for group in sorted({f.repeats_on for f in features}, key=lambda g: g or ""):
@@ -35,7 +36,8 @@ def feature_scores(units: DataFrame, features: Sequence[Feature], key: str = "un
         at = group or key
         rows = units.select(at, *[transformed(F.col(f.name), f.transform).alias(f.name) for f in mine])
         rows = rows.dropDuplicates([group]) if group else rows
-        long = rows.unpivot([at], [f.name for f in mine], "feature", "value").join(turn, "feature")
+        # The long matrix is written once; places, bounds and scores read it.
+        long = checkpointed(rows.unpivot([at], [f.name for f in mine], "feature", "value").join(turn, "feature"))
         part = scaled_long(long, scaler).select(at, "feature", "score")
         parts.append(units.select(key, group).join(part, group).select(key, "feature", "score") if group else part)
     out = parts[0]
@@ -77,10 +79,19 @@ def ablation(units: DataFrame, features: Sequence[Feature], weights: Mapping[str
     names = [f.name for f in features]
     plans = [("baseline", "none", None)] + [(f"{mode}_{n}", mode, n) for n in names for mode in ("renormalize", "neutral")]
     plan = spark.createDataFrame(plans, "scenario string, mode string, removed string")
-    every = long.join(F.broadcast(plan), F.lit(True) & ~((F.col("mode") == "renormalize") & (F.col("removed") == F.col("feature"))))
+    # A scenario changes the axis of the feature that it touches alone; the other axes stay as in the baseline.
+    spec = spec_frame(spark, features)
+    long = checkpointed(long.join(F.broadcast(spec), "feature").select(key, "feature", "grp", "axis", "score"))
+    axis_of = {f.name: f.axis for f in features}
+    touched = spark.createDataFrame([(s, m, n, axis_of[n]) for s, m, n in plans if n], "scenario string, mode string, removed string, axis string")
+    every = long.join(F.broadcast(touched), "axis").filter(~((F.col("mode") == "renormalize") & (F.col("removed") == F.col("feature"))))
     every = every.withColumn("score", F.when((F.col("mode") == "neutral") & (F.col("removed") == F.col("feature")), 50.0).otherwise(F.col("score")))
+    means = lambda rows, by: rows.groupBy(*by, "grp", "axis").agg(F.avg("score").alias("score")).groupBy(*by, "axis").agg(F.avg("score").alias("score"))
+    changed, base = means(every, ["scenario", key]), means(long, [key])
+    others = spark.createDataFrame([(s, a) for s, _, n in plans for a in sorted(set(axis_of.values())) if n is None or a != axis_of[n]], "scenario string, axis string")
+    axes = changed.unionByName(base.join(F.broadcast(others), "axis").select("scenario", key, "axis", "score"))
     w = spark.createDataFrame(list(weights.items()), "axis string, w double")
-    return weighted(axis_scores(every, spec_frame(spark, features), ["scenario", key]), w, ["scenario", key])
+    return weighted(axes, w, ["scenario", key])
 
 
 def top_jaccard(both: DataFrame, a: str, b: str, k: int) -> Column:

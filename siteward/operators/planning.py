@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.functions.stats import hhi, rank_percentile
+from siteward.sources.tables import checkpointed
 
 MOST_GROUPS = 2_000_000
+MOST_SITES = 5_000
+MOST_ASSIGNED = 5_000
 BLEND = {"need": 0.40, "population": 0.25, "access": 0.15, "bundle": 0.10, "readiness": 0.10}
 GAP_ACCEPTED = 0.005
 
@@ -30,8 +34,12 @@ def reduced(candidates: DataFrame, unit: str, key: str, score: str, per_unit: in
     """The first ``per_unit`` of each unit; of these, within ``most``, every unit's best and then the best others."""
     order = Window.partitionBy(unit).orderBy(F.col(score).desc(), key)
     top = candidates.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_unit)
-    rank = F.row_number().over(Window.orderBy(F.when(F.col("_k") == 1, 0).otherwise(1), F.col(score).desc(), key))
-    return top.withColumn("_g", rank).filter(F.col("_g") <= most).drop("_k", "_g")  # per_unit rows a unit at most
+    top = checkpointed(top)
+    units = top.filter("_k = 1").limit(most + 1).count()
+    if units > most:
+        raise ValueError(f"more than {most} units: the cap would drop a whole unit")
+    best = top.orderBy(F.when(F.col("_k") == 1, 0).otherwise(1), F.col(score).desc(), key).limit(most)
+    return best.drop("_k")
 
 
 def incidence_groups(cover: DataFrame, cells: DataFrame) -> DataFrame:
@@ -43,28 +51,41 @@ def incidence_groups(cover: DataFrame, cells: DataFrame) -> DataFrame:
 def equivalents(cover: DataFrame, sites: DataFrame, same: Sequence[str]) -> DataFrame:
     """Sites with equal coverage and constraints: the representative and how many it stands for.
 
-    ``is_proxy`` sites yield to real ones, then the smaller id."""
-    sets = cover.groupBy("site").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col("cell").cast("string"))), ","), 256).alias("signature"))
-    rows = sites.join(sets, "site").groupBy("signature", *same)
+    ``is_proxy`` sites yield to real ones, then the smaller id.  A set is known by its size and two sums of
+    hashes of its cells, so no task holds a site's cells."""
+    once = cover.select("site", "cell").distinct()
+    mark = lambda salt: F.sum(F.xxhash64("cell", F.lit(salt)).cast("decimal(38,0)"))
+    sets = once.groupBy("site").agg(F.count("*").alias("_n"), mark(1).alias("_a"), mark(2).alias("_b"))
+    rows = sites.join(sets, "site").groupBy("_n", "_a", "_b", *same)
     return rows.agg(F.min(F.struct("is_proxy", "site")).getField("site").alias("site"), F.count("*").alias("members")).select("site", "members", *same)
 
 
 def dominated(cover: DataFrame, sites: DataFrame, group: str, cost: str) -> DataFrame:
     """site, by: sites whose cells are a subset of another's of the same group that is no dearer
-    (smaller id first where both cover the same at the same cost)."""
-    sets = cover.groupBy("site").agg(F.collect_set("cell").alias("cells")).join(sites.select("site", group, cost), "site")
-    a = sets.select("site", group, F.col("cells").alias("mine"), F.col(cost).alias("own"))
-    b = sets.select(F.col("site").alias("by"), group, F.col("cells").alias("theirs"), F.col(cost).alias("other"))
-    both = a.join(b, group).filter((F.col("site") != F.col("by")) & (F.col("other") <= F.col("own")) & (F.size(F.array_except("mine", "theirs")) == 0))
-    same = (F.size("mine") == F.size("theirs")) & (F.col("own") == F.col("other"))
-    both = both.filter(~same | (F.col("by") < F.col("site")))
-    return both.groupBy("site").agg(F.min("by").alias("by"))
+    (smaller id first where both cover the same at the same cost).
+
+    A site meets only those that cover the cell of its own that fewest sites cover; cells shared are then counted."""
+    once = checkpointed(cover.select("site", "cell").distinct())
+    often = once.groupBy("cell").agg(F.count("*").alias("_often"))
+    sizes = once.groupBy("site").agg(F.count("*").alias("_n"))
+    rare = once.join(often, "cell").groupBy("site").agg(F.min(F.struct("_often", "cell")).getField("cell").alias("cell"))
+    facts = sites.select("site", group, F.col(cost).alias("_cost")).join(sizes, "site")
+    a = rare.join(facts, "site").select("site", "cell", group, F.col("_cost").alias("_own"), F.col("_n").alias("_mine"))
+    b = once.join(facts, "site").select(F.col("site").alias("by"), "cell", group, F.col("_cost").alias("_other"), F.col("_n").alias("_theirs"))
+    fits = (F.col("site") != F.col("by")) & (F.col("_other") <= F.col("_own")) & (F.col("_theirs") >= F.col("_mine"))
+    same = (F.col("_theirs") == F.col("_mine")) & (F.col("_own") == F.col("_other"))
+    pairs = a.join(b, ["cell", group]).filter(fits & (~same | (F.col("by") < F.col("site")))).select("site", "by", "_mine")
+    shared = pairs.join(once, "site").join(once.select(F.col("site").alias("by"), "cell"), ["by", "cell"])
+    held = shared.groupBy("site", "by", "_mine").agg(F.count("*").alias("_k")).filter("_k = _mine")
+    return held.groupBy("site").agg(F.min("by").alias("by"))
 
 
 def _instance(groups: DataFrame, sites: DataFrame):
     n = groups.count()
     if n > MOST_GROUPS:
         raise ValueError(f"{n} groups are too many for a search on the driver; reduce the candidates first")
+    if sites.limit(MOST_SITES + 1).count() > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} candidates; reduce them first")
     rows = groups.select("coverers", "population").collect()
     return [(set(r["coverers"]), r["population"]) for r in rows], {r["site"]: r for r in sites.collect()}
 
@@ -124,33 +145,47 @@ class Plan:
             now = [c for c in now if c != best[1]] + [best[2]]
         return now
 
-    def exact(self, visits: int, most_nodes: int = 200_000) -> tuple[list, float, bool]:
-        """Branch and bound with the submodular bound: plan, upper bound, whether it is proven best."""
-        order = sorted(self.sites, key=lambda s: (-self.gain(s, set()), s))
-        best = [c for c, _ in self.greedy(visits)]
-        top, nodes, proven = self.value(best), 0, True
-
-        def go(i: int, chosen: list, covered: set, value: float) -> None:
-            nonlocal best, top, nodes, proven
+    def exact(self, visits: int, most_nodes: int = 20_000) -> tuple[list, float, bool]:
+        """Branch and bound with the submodular bound: plan, upper bound, whether it is proven best.
+
+        Sites without a gain of their own are left out; a node holds the sites still free in the order of
+        their gains, and an open stack takes the place of recursion."""
+        names = [s for s in sorted(self.sites) if self.by_site.get(s)]
+        worth = np.array([p for _, p in self.groups], float)
+        covers = np.zeros((len(names), len(worth)), np.float32)
+        for k, s in enumerate(names):
+            covers[k, self.by_site[s]] = 1
+        best = self.swapped([c for c, _ in self.greedy(visits)])
+        top, nodes, open_bound = self.value(best), 0, 0.0
+        stack = [((), np.zeros(len(worth), bool), np.arange(len(names)), 0.0)]
+        while stack:
+            chosen, covered, free, value = stack.pop()
             nodes += 1
+            gains = covers[free].astype(float) @ np.where(covered, 0.0, worth) if len(free) else np.zeros(0)
+            order = np.argsort(-gains, kind="stable")
+            free, gains = free[order], gains[order]
+            left = visits - len(chosen)
+            bound = value + gains[:left].sum()
+            if bound <= top + 1e-9:
+                continue
             if nodes > most_nodes:
-                proven = False
-                return
-            if value > top + 1e-9:
-                best, top = list(chosen), value
-            if len(chosen) == visits or i == len(order):
-                return
-            gains = sorted((self.gain(s, covered) for s in order[i:]), reverse=True)[: visits - len(chosen)]
-            if value + sum(gains) <= top + 1e-9:
-                return
-            s = order[i]
-            if self.allowed(s, chosen):
-                new = [g for g in self.by_site.get(s, ()) if g not in covered]
-                go(i + 1, [*chosen, s], covered | set(new), value + sum(self.groups[g][1] for g in new))
-            go(i + 1, chosen, covered, value)
-
-        go(0, [], set(), 0.0)
-        return best, top if proven else max(top, self.bound(visits)), proven
+                open_bound = max(open_bound, bound)
+                continue
+            if left == 1:
+                for k, gain in zip(free, gains, strict=True):
+                    if value + gain <= top + 1e-9:
+                        break
+                    if self.allowed(names[k], [names[c] for c in chosen]):
+                        best, top = [names[c] for c in (*chosen, k)], value + gain
+                        break
+                continue
+            k = free[0]
+            stack.append((chosen, covered, free[1:], value))
+            if self.allowed(names[k], [names[c] for c in chosen]):
+                if value + gains[0] > top + 1e-9:
+                    best, top = [names[c] for c in (*chosen, k)], value + gains[0]
+                stack.append(((*chosen, k), covered | (covers[k] > 0), free[1:], value + gains[0]))
+        return best, max(top, open_bound), open_bound <= top + 1e-9
 
     def bound(self, visits: int, chosen: Sequence = ()) -> float:
         """Submodular bound: what is covered and the largest further gains."""
@@ -225,6 +260,8 @@ def bundle_assignment(values: DataFrame) -> DataFrame:
     """One bundle per site, every bundle used at least once, greatest total; plan-sized (driver).
 
     Starts from each site's best and moves, by cheapest augmenting loss, one site to each unused bundle."""
+    if values.limit(MOST_ASSIGNED + 1).count() > MOST_ASSIGNED:
+        raise ValueError(f"more than {MOST_ASSIGNED} values: an assignment is made for the sites of a plan")
     rows = values.collect()
     score = {(r["site"], r["bundle"]): r["value"] for r in rows}
     sites, bundles = sorted({r["site"] for r in rows}), sorted({r["bundle"] for r in rows})
@@ -247,8 +284,6 @@ def bundle_assignment(values: DataFrame) -> DataFrame:
 
 def shortest_minutes(edges: DataFrame, sources: DataFrame, limit: float, rounds: int) -> DataFrame:
     """source, vertex, minutes within ``limit`` over directed edges (u, w, minutes), by ``rounds`` relaxations."""
-    from siteward.sources.tables import checkpointed
-
     roads = edges.select(F.col("u").alias("_u"), F.col("w").alias("_w"), F.col("minutes").alias("_m"))
     now = sources.select(F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("minutes"))
     for r in range(rounds):

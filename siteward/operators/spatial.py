@@ -7,18 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteward.functions.stats import ordered_rank, quantiles
+from siteward.sources.tables import checkpointed
 
-def range_join(sites: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
-    """site, cell, distance of all pairs within radius (inclusive).
+
+def range_join(sites: DataFrame, cells: DataFrame, radius: float, within: Sequence[str] = ()) -> DataFrame:
+    """site, cell, distance of all pairs within radius (inclusive), and with equal values of the columns ``within``.
 
     Sites are copied to the 3 x 3 grid squares around them and meet cells by an equi-join on the
     square, so no pair further apart than three squares is ever made."""
     square = lambda c: F.floor(F.col(c) / radius).cast("long")
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    s = sites.select("site", F.col("x").alias("sx"), F.col("y").alias("sy")).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-    s = s.select("site", "sx", "sy", (F.floor(F.col("sx") / radius).cast("long") + F.col("_dx")).alias("_bx"), (F.floor(F.col("sy") / radius).cast("long") + F.col("_dy")).alias("_by"))
-    c = cells.select("cell", F.col("x").alias("cx"), F.col("y").alias("cy"), square("x").alias("_bx"), square("y").alias("_by"))
-    both = s.join(c, ["_bx", "_by"])
+    s = sites.select("site", *within, F.col("x").alias("sx"), F.col("y").alias("sy")).withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
+    s = s.select("site", *within, "sx", "sy", (F.floor(F.col("sx") / radius).cast("long") + F.col("_dx")).alias("_bx"), (F.floor(F.col("sy") / radius).cast("long") + F.col("_dy")).alias("_by"))
+    c = cells.select("cell", *within, F.col("x").alias("cx"), F.col("y").alias("cy"), square("x").alias("_bx"), square("y").alias("_by"))
+    both = s.join(c, ["_bx", "_by", *within])
     d2 = (F.col("sx") - F.col("cx")) * (F.col("sx") - F.col("cx")) + (F.col("sy") - F.col("cy")) * (F.col("sy") - F.col("cy"))
     return both.withColumn("distance", F.sqrt(d2)).filter(F.col("distance") <= radius + max(1e-9, 1e-12 * radius)).select("site", "cell", "distance")
 
@@ -41,7 +44,7 @@ def catchment(sites: DataFrame, cells: DataFrame, radius: float, kind: str = "ha
 def exposures(cover: DataFrame, sites: DataFrame, cells: DataFrame, high: float) -> DataFrame:
     """Per site: raw, need and high-need exposure, split by the cell's unit and region."""
     rows = cover.join(cells.select("cell", "population", "need", F.col("unit").alias("cu"), F.col("region").alias("cr")), "cell")
-    rows = rows.join(F.broadcast(sites.select("site", F.col("unit").alias("su"), F.col("region").alias("sr"))), "site")
+    rows = rows.join(sites.select("site", F.col("unit").alias("su"), F.col("region").alias("sr")), "site")
     raw = F.col("weight") * F.col("population")
     own, same = F.col("cu") == F.col("su"), (F.col("cu") != F.col("su")) & (F.col("cr") == F.col("sr"))
     total = lambda c, name: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 4).alias(name)
@@ -53,7 +56,7 @@ def exposures(cover: DataFrame, sites: DataFrame, cells: DataFrame, high: float)
 
 def union_coverage(cover: DataFrame, chosen: DataFrame, cells: DataFrame) -> DataFrame:
     """One row: population reached by the chosen sites once, summed naively, and the redundancy."""
-    picked = cover.join(F.broadcast(chosen.select("site")), "site")
+    picked = cover.join(chosen.select("site"), "site")
     once = picked.groupBy("cell").agg(F.max("weight").alias("w"), F.sum("weight").alias("n")).join(cells.select("cell", "population"), "cell")
     one, many = F.coalesce(F.sum(F.col("w") * F.col("population")), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("population")), F.lit(0.0))
     return once.agg(F.count("*").alias("cells"), F.round(one, 4).alias("unique_population"), F.round(many, 4).alias("naive_population"), F.round(F.when(many > 0, 1 - one / many).otherwise(0.0), 6).alias("redundancy"))
@@ -84,8 +87,6 @@ def edge_degrees(sites: DataFrame, edges: DataFrame, weight: str = "jaccard") ->
 def components(sites: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """site, cluster: the smallest site reached over edges; smallest labels with pointer jumping,
     checkpointed to the shared folder of ``spark.checkpoint.dir`` each round."""
-    from siteward.sources.tables import checkpointed
-
     both = checkpointed(edges.select(F.col("site_i").alias("u"), F.col("site_j").alias("w")).union(edges.select("site_j", "site_i")).distinct())
     label = checkpointed(sites.select("site", F.col("site").alias("cluster")))
     for _ in range(rounds):
@@ -170,38 +171,98 @@ def shortlist(df: DataFrame, unit: str, key: str, score: str, top: int) -> DataF
 
 def fallbacks(chosen: DataFrame, pool: DataFrame, top: int = 2) -> DataFrame:
     """For each chosen site the alternates of its cluster first, then of its unit, then of its region;
-    inside a class by score gap, then distance, then id.  Columns: site, unit, region, cluster, score, x, y."""
-    a = chosen.select(*[F.col(c).alias(f"_{c}") for c in ("site", "unit", "region", "cluster", "score", "x", "y")])
-    pairs = a.join(pool, (F.col("region") == F.col("_region")) & (F.col("site") != F.col("_site")))
-    grade = F.when(F.col("cluster") == F.col("_cluster"), 1).when(F.col("unit") == F.col("_unit"), 2).otherwise(3)
-    d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-    pairs = pairs.select(F.col("_site").alias("chosen"), F.col("site").alias("alternate"), grade.cast("long").alias("grade"), F.round(F.abs(F.col("_score") - F.col("score")), 6).alias("gap"), F.round(d, 6).alias("distance"))
+    inside a class by score gap, then distance, then id.  Columns: site, unit, region, cluster, score, x, y.
+
+    Three steps: what is found in the cluster isn't sought in the unit, and a region is looked through
+    only for the sites that still lack alternates."""
+    cols = ("site", "unit", "region", "cluster", "score", "x", "y")
+    lacking = checkpointed(chosen.select(*[F.col(c).alias(f"_{c}") for c in cols]).withColumn("_want", F.lit(top)))
+    parts = []
+    for grade, on in ((1, "cluster"), (2, "unit"), (3, "region")):
+        met = (F.col(on) == F.col(f"_{on}")) & (F.col("region") == F.col("_region")) & (F.col("site") != F.col("_site"))
+        if grade > 1:
+            met &= ~F.col("cluster").eqNullSafe(F.col("_cluster"))
+        if grade > 2:
+            met &= F.col("unit") != F.col("_unit")
+        pairs = lacking.join(pool.select(*cols), met)
+        d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+        pairs = pairs.select(F.col("_site").alias("chosen"), F.col("site").alias("alternate"), F.lit(grade).cast("long").alias("grade"), F.round(F.abs(F.col("_score") - F.col("score")), 6).alias("gap"), F.round(d, 6).alias("distance"), "_want")
+        order = Window.partitionBy("chosen").orderBy("gap", "distance", "alternate")
+        found = checkpointed(pairs.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("_want")).drop("_want"))
+        parts.append(found.select("chosen", "alternate", "grade", "gap", "distance"))
+        if grade < 3:
+            n = found.groupBy(F.col("chosen").alias("_site")).agg(F.count("*").alias("_n"))
+            lacking = checkpointed(lacking.join(n, "_site", "left").withColumn("_want", F.col("_want") - F.coalesce("_n", F.lit(0))).filter("_want > 0").drop("_n"))
+    every = parts[0].union(parts[1]).union(parts[2])
     order = Window.partitionBy("chosen").orderBy("grade", "gap", "distance", "alternate")
-    return pairs.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= top)
+    return every.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def nearest(points: DataFrame, sites: DataFrame, k: int = 1, within: Sequence[str] = ()) -> DataFrame:
+    """cell, place, site, distance of the k nearest sites of every point, ties to the smaller id; with ``within``
+    among those of equal values.  A point is done once k sites lie within the radius of its squares; the others
+    go on with twice the radius, so sites and points meet only in squares of about k sites."""
+    s = checkpointed(sites.select("site", "x", "y", *within))
+    box = s.agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).collect()[0]
+    left = checkpointed(points.select("cell", "x", "y", *within))
+    if within:
+        have = s.groupBy(*within).agg(F.least(F.count("*"), F.lit(k)).alias("_k"))
+        left = checkpointed(left.join(have, [*within]))
+    else:
+        left = left.withColumn("_k", F.lit(min(k, box["n"])))
+    out = None
+    radius = max(1e-9, max((box["b"] or 0) - (box["a"] or 0), (box["d"] or 0) - (box["c"] or 0)) * (max(1, k) / max(1, box["n"])) ** 0.5)
+    while box["n"]:
+        near = range_join(s, left, radius, within).filter(F.col("distance") <= radius)
+        place = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "site"))
+        near = near.withColumn("place", place.cast("long")).filter(F.col("place") <= k)
+        full = near.withColumn("_n", F.count("*").over(Window.partitionBy("cell"))).join(left.select("cell", "_k"), "cell").filter("_n >= _k")
+        found = checkpointed(full.select("cell", "place", "site", F.round("distance", 6).alias("distance")))
+        out = found if out is None else out.union(found)
+        left = checkpointed(left.join(found.select("cell").distinct(), "cell", "left_anti"))
+        if not left.limit(1).count():
+            return out
+        radius *= 2
+    return left.select("cell", F.lit(None).cast("long").alias("place"), F.lit(None).cast(sites.schema["site"].dataType).alias("site"), F.lit(None).cast("double").alias("distance")).limit(0)
 
 
 def nearest_site(cells: DataFrame, sites: DataFrame) -> DataFrame:
-    """cell, site, distance of the nearest site (ties: smaller id); sites are a dimension table."""
-    s = sites.select("site", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    d = F.sqrt((F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y")))
-    best = cells.select("cell", "x", "y").crossJoin(F.broadcast(s)).select("cell", F.struct(d.alias("distance"), "site").alias("b")).groupBy("cell").agg(F.min("b").alias("b"))
-    return best.select("cell", F.col("b.site").alias("site"), F.round("b.distance", 6).alias("distance"))
+    """cell, site, distance of the nearest site (ties: smaller id)."""
+    return nearest(cells, sites).select("cell", "site", "distance")
+
+
+def pairs_within(sites: DataFrame, radius: float) -> DataFrame:
+    """site_i < site_j at most radius apart, with their distance: a range self-join over grid squares."""
+    both = range_join(sites, sites.select(F.col("site").alias("cell"), "x", "y"), radius)
+    return both.filter(F.col("site") < F.col("cell")).select(F.col("site").alias("site_i"), F.col("cell").alias("site_j"), "distance")
+
+
+BANDS = 256
 
 
 def in_polygon(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """points with ``inside`` (0/1) by ray casting over polygon edges (x1, y1, x2, y2); the border counts."""
-    p, e = points.select("cell", "x", "y"), F.broadcast(edges)
-    rows = p.crossJoin(e)
+    """points with ``inside`` (0/1) by ray casting over polygon edges (x1, y1, x2, y2); the border counts.
+
+    Edges are copied to the bands of y that they cross; a point meets those of its own band."""
+    box = edges.agg(F.min(F.least("y1", "y2")).alias("a"), F.max(F.greatest("y1", "y2")).alias("b")).collect()[0]
+    if box["a"] is None:
+        return points.select("cell", F.lit(0).cast("long").alias("inside"))
+    height = max(1e-9, (box["b"] - box["a"]) / BANDS)
+    band = lambda y: F.floor((y - box["a"]) / height).cast("long")
+    e = edges.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")) - 1, band(F.greatest("y1", "y2")) + 1)))
+    rows = points.select("cell", "x", "y", band(F.col("y")).alias("_band")).join(e, "_band")
     cross = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
     hit = cross & (F.col("x") < F.try_divide((F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1"))
     area = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))
     on = (F.abs(area) < 1e-9) & F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    return rows.groupBy("cell").agg(F.when((F.pmod(F.count_if(hit), F.lit(2)) == 1) | (F.count_if(on) > 0), 1).otherwise(0).cast("long").alias("inside"))
+    found = rows.groupBy("cell").agg(F.when((F.pmod(F.count_if(hit), F.lit(2)) == 1) | (F.count_if(on) > 0), 1).otherwise(0).cast("long").alias("_in"))
+    return points.select("cell").join(found, "cell", "left").select("cell", F.coalesce("_in", F.lit(0).cast("long")).alias("inside"))
 
 
 def quadrants(df: DataFrame, key: str, need: str, exposure: str) -> DataFrame:
     """Q1 (both at or above the median) to Q4, by a split at the medians."""
-    mid = df.agg(F.median(need).alias("_mn"), F.median(exposure).alias("_me"))
+    df = checkpointed(df.select(key, need, exposure))
+    mid = quantiles(df, need, {"_mn": 0.5}).crossJoin(quantiles(df, exposure, {"_me": 0.5}))  # one row
     hi_n, hi_e = F.col(need) >= F.col("_mn"), F.col(exposure) >= F.col("_me")
     q = F.when(hi_n & hi_e, "Q1").when(hi_n, "Q2").when(hi_e, "Q3").otherwise("Q4")
     return df.crossJoin(F.broadcast(mid)).select(key, need, exposure, q.alias("quadrant"))
@@ -210,10 +271,14 @@ def quadrants(df: DataFrame, key: str, need: str, exposure: str) -> DataFrame:
 def hotspot_grid(sites: DataFrame, width: float, value: str) -> DataFrame:
     """Squares of the plane by summed value: gx, gy, n, total, place."""
     grid = sites.groupBy(F.floor(F.col("x") / width).cast("long").alias("gx"), F.floor(F.col("y") / width).cast("long").alias("gy")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
-    return grid.withColumn("place", F.row_number().over(Window.orderBy(F.col("total").desc(), "gx", "gy")).cast("long"))
+    grid = checkpointed(grid.withColumn("_k", F.struct("gx", "gy")).withColumnRenamed("total", "_sum"))
+    return ordered_rank(grid, "_sum", "_k", "place").drop("_k").withColumnRenamed("_sum", "total")
 
 
 def quantile_bins(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """Bin of each value: how many inner quantile cuts are at or below it."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_c"))
-    return df.crossJoin(F.broadcast(cuts)).select(key, value, F.size(F.filter("_c", lambda c: c <= F.col(value))).cast("long").alias("bin"))
+    df = checkpointed(df.select(key, value))
+    names = {f"_q{i}": i / bins for i in range(1, bins)}
+    cuts = quantiles(df, value, names)  # one row
+    bin_ = sum((F.when(F.col(n) <= F.col(value), 1).otherwise(0) for n in names), F.lit(0))
+    return df.crossJoin(F.broadcast(cuts)).select(key, value, bin_.cast("long").alias("bin"))

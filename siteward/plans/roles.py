@@ -41,7 +41,7 @@ def supply(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("item"))
     supp = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("unit"))
-    rows = lines.join(F.broadcast(supp), "l_suppkey").join(parts, "l_partkey")
+    rows = lines.join(supp, "l_suppkey").join(parts, "l_partkey")
     return rows.groupBy("unit", "item").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 

@@ -11,7 +11,7 @@ from siteward.plans.stage3 import cover
 from siteward.sources.tables import checkpointed, table
 
 QUERIES, SQL = {}, {}
-VISITS, POOL = 10, 60
+VISITS, POOL = 10, 600
 
 
 def query(name: str, sql: str | None):
@@ -28,7 +28,7 @@ _B = f"WITH {SITES}, {CELLS}, {COVER}"
 
 
 def pool(spark, d, most=POOL):
-    """The candidates of the searches below: the best three of every unit, ``most`` in all."""
+    """The candidates of the searches below: the best three of every unit, ``most`` in all; an error if that dropped a unit."""
     return checkpointed(P.reduced(sites(spark, d), "unit", "site", "score", 3, most)).withColumn("cluster", F.pmod(F.col("site"), F.lit(40))).withColumn("is_proxy", (F.col("site") % 5 == 0).cast("int")).withColumn("cost", F.pmod(F.col("site") * 11, F.lit(23)).cast("double"))
 
 
@@ -56,28 +56,23 @@ def compression(spark, d):
     return g.select("region", F.array_join(F.transform("coverers", lambda s: s.cast("string")), ",").alias("coverers"), "cells", "population")
 
 
-_COARSE = "cq AS (SELECT DISTINCT site, cell % 7 AS cell FROM cover)"
-
-
 @query(
     "candidate_equivalence",
-    f"""{_B}, {_COARSE}, s AS (SELECT site, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY CAST(cell AS VARCHAR)) AS sig FROM cq GROUP BY 1), r AS (SELECT s.site, sig, region, CASE WHEN site % 5 = 0 THEN 1 ELSE 0 END AS px FROM s JOIN sites USING (site))
+    f"""{_B}, s AS (SELECT site, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY cell) AS sig FROM cover GROUP BY 1), r AS (SELECT s.site, sig, region, CASE WHEN site % 5 = 0 THEN 1 ELSE 0 END AS px FROM s JOIN sites USING (site))
 SELECT site, region, members FROM (SELECT *, count(*) OVER (PARTITION BY sig, region) AS members, row_number() OVER (PARTITION BY sig, region ORDER BY px, site) AS k FROM r) WHERE k = 1""",
 )
 def equivalence(spark, d):
-    coarse = cover(spark, d).select("site", F.pmod(F.col("cell"), F.lit(7)).alias("cell")).distinct()
     s = sites(spark, d).withColumn("is_proxy", (F.col("site") % 5 == 0).cast("int"))
-    return P.equivalents(coarse, s, ["region"]).select("site", "region", "members")
+    return P.equivalents(cover(spark, d), s, ["region"]).select("site", "region", "members")
 
 
 @query(
     "candidate_dominance",
-    f"""{_B}, {_COARSE}, s AS (SELECT q.site, list(cell) AS c, min(region) AS region, CAST(min((q.site * 11) % 23) AS DOUBLE) AS cost FROM cq q JOIN sites USING (site) GROUP BY 1)
+    f"""{_B}, s AS (SELECT q.site, list(cell) AS c, min(region) AS region, CAST(min((q.site * 11) % 23) AS DOUBLE) AS cost FROM cover q JOIN sites USING (site) GROUP BY 1)
 SELECT a.site, min(b.site) AS by FROM s a JOIN s b ON a.region = b.region AND a.site <> b.site AND b.cost <= a.cost AND list_has_all(b.c, a.c) AND (len(a.c) < len(b.c) OR b.cost < a.cost OR b.site < a.site) GROUP BY 1""",
 )
 def dominance(spark, d):
-    coarse = cover(spark, d).select("site", F.pmod(F.col("cell"), F.lit(7)).alias("cell")).distinct()
-    return P.dominated(coarse, sites(spark, d).withColumn("cost", F.pmod(F.col("site") * 11, F.lit(23)).cast("double")), "region", "cost")
+    return P.dominated(cover(spark, d), sites(spark, d).withColumn("cost", F.pmod(F.col("site") * 11, F.lit(23)).cast("double")), "region", "cost")
 
 
 CAPS = {"unit": 2, "region": 4, "cluster": 1}
@@ -86,7 +81,7 @@ CAPS = {"unit": 2, "region": 4, "cluster": 1}
 @query("greedy_plan", None)
 def greedy(spark, d):
     p = pool(spark, d)
-    return P.greedy_plan(cover(spark, d).join(F.broadcast(p.select("site")), "site"), cells(spark, d), p, VISITS, CAPS)
+    return P.greedy_plan(cover(spark, d).join(p.select("site"), "site"), cells(spark, d), p, VISITS, CAPS)
 
 
 @query("frontier_marginals", None)
@@ -97,7 +92,7 @@ def frontier(spark, d):
 @query("swap_improve", None)
 def swap(spark, d):
     p = pool(spark, d)
-    plan = P.plan_of(cover(spark, d).join(F.broadcast(p.select("site")), "site"), cells(spark, d), p, CAPS)
+    plan = P.plan_of(cover(spark, d).join(p.select("site"), "site"), cells(spark, d), p, CAPS)
     start = [s for s, _ in plan.greedy(VISITS)]
     done = plan.swapped(start)
     return spark.createDataFrame([("greedy", len(start), round(plan.value(start), 4)), ("swapped", len(done), round(plan.value(done), 4)), ("bound", VISITS, round(plan.bound(VISITS), 4))], "plan string, visits long, covered double")
@@ -105,8 +100,8 @@ def swap(spark, d):
 
 @query("exact_plan", None)
 def exact(spark, d):
-    p = pool(spark, d, 20)
-    plan = P.plan_of(cover(spark, d).join(F.broadcast(p.select("site")), "site"), cells(spark, d), p, {"unit": 2})
+    p = pool(spark, d)
+    plan = P.plan_of(cover(spark, d).join(p.select("site"), "site"), cells(spark, d), p, {"unit": 2})
     best, bound, proven = plan.exact(4)
     gap, good = P.gap_certification(plan.value(best), bound)
     return spark.createDataFrame([(",".join(map(str, sorted(best))), round(plan.value(best), 4), round(bound, 4), round(gap, 6), int(good), int(proven))], "sites string, covered double, bound double, gap double, accepted long, proven long")
@@ -186,7 +181,7 @@ def top1(spark, d):
 
 @query("bundle_assignment_min1", None)
 def assignment(spark, d):
-    return P.bundle_assignment(values(spark, d).join(F.broadcast(pool(spark, d).select("site")), "site"))
+    return P.bundle_assignment(values(spark, d).join(pool(spark, d).select("site"), "site"))
 
 
 _ROAD = "rd AS (SELECT n_nationkey AS u, CAST((n_nationkey * 7 + k.k * 3 + 1) % 25 AS INTEGER) AS w, CAST((n_nationkey * 13 + k.k * 5) % 11 + 2 AS DOUBLE) AS minutes FROM nation CROSS JOIN range(3) k(k))"
@@ -222,7 +217,7 @@ g AS (SELECT site, sum(population) AS g FROM cover JOIN cells USING (cell) JOIN
 )
 def bound(spark, d):
     p = pool(spark, d)
-    plan = P.plan_of(cover(spark, d).join(F.broadcast(p.select("site")), "site"), cells(spark, d), p, CAPS)
+    plan = P.plan_of(cover(spark, d).join(p.select("site"), "site"), cells(spark, d), p, CAPS)
     return spark.createDataFrame([(round(plan.bound(VISITS), 4),)], "bound double")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,22 +28,64 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
     raise ValueError(f"no reader for {path}")
 
 
+CP949 = "x-windows-949"
+
+
 def read_korean_csv(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFrame:
-    """A CP949 file with columns renamed; the session must allow Java charsets."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = spark.read.option("header", True).option("encoding", "x-windows-949").csv(path)
-    missing = sorted(set(names) - set(df.columns))
+    """A CP949 file with columns renamed.  Spark reads it byte by byte as Latin-1 and decodes columns and header
+    itself, so no session setting is needed; bytes that are no CP949 fail."""
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    header = {c.encode("latin-1").decode("cp949"): c for c in raw.columns}
+    missing = sorted(set(names) - set(header))
     if missing:
         raise ValueError(f"columns are missing: {missing}")
-    return df.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+
+    def decode(batches):
+        for pdf in batches:
+            yield pdf.apply(lambda c: c.map(lambda v: v.encode("latin-1").decode("cp949"), na_action="ignore"))
+
+    picked = raw.select(*[F.col(f"`{header[a]}`").alias(b) for a, b in names.items()])
+    return picked.mapInPandas(decode, picked.schema)
+
+
+def monthly_utilisation(rows: DataFrame, province: str, regions: Mapping[str, str]) -> DataFrame:
+    """year, month, region, service, persons, visits: one province's districts merged into regions by the start of
+    their names; counts with thousands separators; any other text in a count fails."""
+    region = F.lit(None).cast("string")
+    for start, name in regions.items():
+        region = F.when(F.startswith(F.trim("district"), F.lit(start)), name).otherwise(region)
+    number = lambda c: F.regexp_replace(F.trim(c), ",", "").cast("long")
+    mine = rows.filter(F.trim("province") == province)
+    return mine.groupBy(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), region.alias("region"), F.trim("service").alias("service")).agg(F.sum(number("persons")).alias("persons"), F.sum(number("visits")).alias("visits"))
+
+
+HOLIDAYS = "response struct<body: struct<items: struct<item: array<struct<locdate: bigint, dateName: string, isHoliday: string>>>>>"
+
+
+def holidays(payloads: DataFrame, column: str) -> DataFrame:
+    """date, name of the public holidays in JSON answers (one a row); a day is listed once."""
+    item = F.explode(F.from_json(column, HOLIDAYS).getField("response").getField("body").getField("items").getField("item"))
+    rows = payloads.select(item.alias("i")).filter(F.upper("i.isHoliday") == "Y")
+    return rows.groupBy(F.to_date(F.col("i.locdate").cast("string"), "yyyyMMdd").alias("date")).agg(F.min("i.dateName").alias("name"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; where it is unset, a temporary folder on a local master alone."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, written where all executors can read it."""
+    """df with its lineage cut: a table written where all executors can read it, with statistics of its size."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    at = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def first_existing(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
@@ -75,3 +118,41 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     bad = df.groupBy(*keys).count().agg(F.max("count").alias("_n"))
     checked = bad.select(F.when(F.coalesce("_n", F.lit(0)) > 1, F.raise_error(F.lit(f"keys repeat: {list(keys)}")).cast("int")).otherwise(F.lit(1)).alias("_ok"))
     return df.crossJoin(F.broadcast(checked)).filter("_ok = 1").drop("_ok")
+
+
+def iso_date(x: Column) -> Column:
+    """A date in ISO form, with slashes or dots, or eight digits; null for anything else."""
+    plain = F.regexp_replace(F.trim(x.cast("string")), "[./]", "-")
+    return F.coalesce(F.try_to_date(plain, "yyyy-MM-dd"), F.try_to_date(plain, "yyyyMMdd"))
+
+
+def unit_interval(x: Column, low: Column, high: Column, invert: bool = False) -> Column:
+    """Min-max of x to 0..1; 0 where it is null or all are equal."""
+    share = F.when((high > low) & x.isNotNull(), (x - low) / (high - low)).otherwise(0.0)
+    return 1.0 - share if invert else share
+
+
+def korean_wgs84(lat: Column, lon: Column) -> Column:
+    """Whether a coordinate is finite and lies in the country's bounds."""
+    return F.coalesce(~F.isnan(lat) & ~F.isnan(lon) & lat.between(30.0, 40.0) & lon.between(120.0, 135.0), F.lit(False))
+
+
+def valid_address(x: Column) -> Column:
+    """Whether an address is written at all, and not one of the words for none."""
+    return F.coalesce(~F.lower(F.trim(x)).isin("", "unknown", "none", "n/a", "na", "nan", "null", "tbd"), F.lit(False))
+
+
+def field_status(x: Column) -> Column:
+    """Words of field notes as verified, not_verified or unknown; a word that isn't known is no evidence."""
+    word = F.regexp_replace(F.lower(F.trim(x.cast("string"))), "[- ]", "_")
+    good = word.isin("true", "yes", "y", "verified", "pass", "available", "1", "확인")
+    bad = word.isin("false", "no", "n", "not_verified", "fail", "unavailable", "0", "불가")
+    return F.when(good, "verified").when(bad, "not_verified").otherwise("unknown")
+
+
+def floor_share(value: Column, share: float) -> Column:
+    return F.floor(value * share + 1e-9).cast("long")
+
+
+def ceil_share(value: Column, share: float) -> Column:
+    return F.ceil(value * share - 1e-9).cast("long")

@@ -101,10 +101,10 @@ class Plan:
                 self.by_site.setdefault(s, []).append(g)
 
     def gain(self, site, covered: set) -> float:
-        return sum(self.groups[g][1] for g in self.by_site.get(site, ()) if g not in covered)
+        return float(sum(self.groups[g][1] for g in self.by_site.get(site, ()) if g not in covered))
 
     def value(self, chosen) -> float:
-        return sum(self.groups[g][1] for g in {g for s in chosen for g in self.by_site.get(s, ())})
+        return float(sum(self.groups[g][1] for g in {g for s in chosen for g in self.by_site.get(s, ())}))
 
     def allowed(self, site, chosen) -> bool:
         for column, cap in self.caps.items():
@@ -152,16 +152,16 @@ class Plan:
         their gains, and an open stack takes the place of recursion."""
         names = [s for s in sorted(self.sites) if self.by_site.get(s)]
         worth = np.array([p for _, p in self.groups], float)
-        covers = np.zeros((len(names), len(worth)), np.float32)
+        covers = np.zeros((len(names), len(worth)), bool)
         for k, s in enumerate(names):
-            covers[k, self.by_site[s]] = 1
+            covers[k, self.by_site[s]] = True
         best = self.swapped([c for c, _ in self.greedy(visits)])
         top, nodes, open_bound = self.value(best), 0, 0.0
         stack = [((), np.zeros(len(worth), bool), np.arange(len(names)), 0.0)]
         while stack:
             chosen, covered, free, value = stack.pop()
             nodes += 1
-            gains = covers[free].astype(float) @ np.where(covered, 0.0, worth) if len(free) else np.zeros(0)
+            gains = covers[free] @ np.where(covered, 0.0, worth) if len(free) else np.zeros(0)
             order = np.argsort(-gains, kind="stable")
             free, gains = free[order], gains[order]
             left = visits - len(chosen)
@@ -184,7 +184,7 @@ class Plan:
             if self.allowed(names[k], [names[c] for c in chosen]):
                 if value + gains[0] > top + 1e-9:
                     best, top = [names[c] for c in (*chosen, k)], value + gains[0]
-                stack.append(((*chosen, k), covered | (covers[k] > 0), free[1:], value + gains[0]))
+                stack.append(((*chosen, k), covered | covers[k], free[1:], value + gains[0]))
         return best, max(top, open_bound), open_bound <= top + 1e-9
 
     def bound(self, visits: int, chosen: Sequence = ()) -> float:

@@ -121,7 +121,13 @@ def comps(spark, d):
     return X.components(sites(spark, d), _edges(spark, d).filter(F.col("jaccard") >= LINK))
 
 
-@query("complete_link_clusters", None)
+@query(
+    "complete_link_clusters",
+    f"""{_COMPONENTS.replace(f"jaccard >= {LINK}", "jaccard >= 0.2")}, og AS (SELECT cluster, site, row_number() OVER (PARTITION BY cluster ORDER BY site) AS k, coalesce((SELECT list(site_i) FROM po WHERE site_j = co.site AND jaccard >= 0.2), []) AS near FROM co),
+cl AS (SELECT cluster, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(site BIGINT, clique BIGINT)[]) AS st UNION ALL SELECT cl.cluster, og.k, list_append(st, {{'site': og.site, 'clique': coalesce(list_min([c FOR c IN list_distinct([x.clique FOR x IN st]) IF list_has_all(near, [x.site FOR x IN st IF x.clique = c])]), og.site)}})
+  FROM cl JOIN og ON og.cluster = cl.cluster AND og.k = cl.k + 1)
+SELECT u.site, u.clique FROM (SELECT unnest(st) AS u FROM cl WHERE k = (SELECT max(k) FROM og WHERE og.cluster = cl.cluster))""".replace("cl AS (SELECT cluster, CAST(0", "cl AS (SELECT DISTINCT cluster, CAST(0").replace("[]) AS st UNION ALL", "[]) AS st FROM co UNION ALL"),
+)
 def cliques(spark, d):
     return X.complete_link_clusters(sites(spark, d), checkpointed(_edges(spark, d)), 0.2)
 
@@ -142,7 +148,11 @@ def dominance(spark, d):
     return X.dominance_counts(_objectives(spark, d), "unit", "site", ["score", "ready"], ["doubt"])
 
 
-@query("pareto_tiers", None)
+@query(
+    "pareto_tiers",
+    f"""WITH RECURSIVE {_OBJ}, dm AS (SELECT a.unit, a.site, o.site AS by FROM ob a JOIN ob o ON o.unit = a.unit AND o.site <> a.site AND {_GE} AND {_GT}),
+t AS (SELECT unit, site, CAST(1 AS BIGINT) AS tier FROM ob UNION SELECT dm.unit, dm.site, t.tier + 1 FROM t JOIN dm ON dm.by = t.site) SELECT unit, site, max(tier) AS tier FROM t GROUP BY 1, 2""",
+)
 def tiers(spark, d):
     return X.pareto_tiers(_objectives(spark, d), "unit", "site", ["score", "ready"], ["doubt"])
 

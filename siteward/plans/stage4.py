@@ -78,13 +78,24 @@ def dominance(spark, d):
 CAPS = {"unit": 2, "region": 4, "cluster": 1}
 
 
-@query("greedy_plan", None)
+_POOL = f"""k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, site) AS k FROM sites QUALIFY k <= 3),
+po AS (SELECT site, unit, region, site % 40 AS cluster FROM k QUALIFY row_number() OVER (ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, score DESC, site) <= {POOL})"""
+_TAKEN = lambda c: f"(SELECT count(*) FROM po c WHERE list_contains(st.chosen, c.site) AND c.{c} = po.{c}) < {CAPS[c]}"
+_GREEDY = f"""WITH RECURSIVE {SITES}, {CELLS}, {COVER}, {_POOL}, cv AS MATERIALIZED (SELECT po.site, cell, population FROM po JOIN cover USING (site) JOIN cells c USING (cell)),
+st AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS chosen, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS site, CAST(0 AS DOUBLE) AS gain
+UNION ALL SELECT step + 1, list_append(chosen, b.site), list_concat(held, b.new), b.site, b.gain FROM st, LATERAL (SELECT p.site, coalesce(g.gain, 0) AS gain, coalesce(g.new, []) AS new
+  FROM (SELECT * FROM po WHERE NOT list_contains(st.chosen, site) AND {_TAKEN('unit')} AND {_TAKEN('region')} AND {_TAKEN('cluster')}) p
+  LEFT JOIN (SELECT site, sum(population) AS gain, list(cell) AS new FROM cv WHERE NOT list_contains(st.held, cell) GROUP BY 1) g ON g.site = p.site ORDER BY round(coalesce(g.gain, 0), 6) DESC, p.site LIMIT 1) b WHERE step < {VISITS}),
+gr AS (SELECT step, site, round(gain, 4) AS gain, round(sum(gain) OVER (ORDER BY step), 4) AS covered FROM st WHERE step > 0)"""
+
+
+@query("greedy_plan", f"{_GREEDY} SELECT * FROM gr")
 def greedy(spark, d):
     p = pool(spark, d)
     return P.greedy_plan(cover(spark, d).join(p.select("site"), "site"), cells(spark, d), p, VISITS, CAPS)
 
 
-@query("frontier_marginals", None)
+@query("frontier_marginals", f"{_GREEDY} SELECT step AS visits, covered, round(covered - coalesce(lag(covered) OVER (ORDER BY step), 0), 4) AS marginal, round((covered - coalesce(lag(covered) OVER (ORDER BY step), 0)) / first(covered) OVER (ORDER BY step), 6) AS share_of_first FROM gr")
 def frontier(spark, d):
     return P.frontier_marginals(greedy(spark, d))
 
@@ -179,7 +190,8 @@ def top1(spark, d):
     return P.bundle_top1(values(spark, d))
 
 
-@query("bundle_assignment_min1", None)
+# What is best for each site alone is an upper bound; here each bundle is the best of some site, so it is the optimum.
+@query("bundle_assignment_min1", f"WITH {SITES}, {_VAL}, {_POOL} SELECT site, bundle, value FROM va JOIN po USING (site) QUALIFY row_number() OVER (PARTITION BY site ORDER BY value DESC, bundle) = 1")
 def assignment(spark, d):
     return P.bundle_assignment(values(spark, d).join(pool(spark, d).select("site"), "site"))
 

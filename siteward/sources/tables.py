@@ -156,3 +156,31 @@ def floor_share(value: Column, share: float) -> Column:
 
 def ceil_share(value: Column, share: float) -> Column:
     return F.ceil(value * share - 1e-9).cast("long")
+
+
+def read_coverage(spark: SparkSession, path: str, matrix: str, column: str = "matrix_id") -> DataFrame:
+    """One matrix of a coverage table (site, cell, weight): only its folder is read."""
+    return spark.read.parquet(path).filter(F.col(column) == matrix).drop(column)
+
+
+def checked_coverage(cover: DataFrame, sites: DataFrame, cells: DataFrame) -> DataFrame:
+    """cover, failing at run time on pairs that repeat, on ids that the two tables don't hold, and on weights that are
+    null or negative."""
+    s, c = sites.select("site", F.lit(1).alias("_s")).distinct(), cells.select("cell", F.lit(1).alias("_c")).distinct()
+    once = cover.groupBy("site", "cell").agg(F.count("*").alias("_n"), F.max("weight").alias("weight"))
+    rows = once.join(s, "site", "left").join(c, "cell", "left")
+    fault = F.when(F.col("_n") > 1, "repeated pair").when(F.col("_s").isNull(), "unknown site").when(F.col("_c").isNull(), "unknown cell").when(F.coalesce(F.col("weight") < 0, F.lit(True)), "bad weight")
+    good = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("coverage: "), fault)).cast("double")).otherwise(F.col("weight"))
+    return rows.select("site", "cell", good.alias("weight"))
+
+
+def read_folder(spark: SparkSession, folder: str, names: Mapping[str, Sequence[str]], suffix: str = "csv") -> dict[str, DataFrame]:
+    """The named tables of a folder, each with at least the given columns; all that is missing is told at once."""
+    out, missing = {}, []
+    for name, columns in names.items():
+        df = read_any(spark, f"{folder.rstrip('/')}/{name}.{suffix}")
+        missing += [f"{name}.{c}" for c in columns if c not in df.columns]
+        out[name] = df
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    return out

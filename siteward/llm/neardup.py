@@ -13,8 +13,8 @@ count; a link thus always means a Jaccard index of ``LEAST`` or more.  Classes a
 
 Candidates of a sketch are never all paired.  First each text meets the text of its sketch that
 shares most sketches with others (a group's original stands out so); classes are formed, and
-what is still apart meets all others of a sketch of up to NEAR + 1 texts, and in larger ones its
-``NEAR_LARGE`` neighbours in the order of another sketch.  The texts of larger sketches that still
+what is still apart meets all others of a sketch of up to NEAR + 1 texts, and in larger ones the
+leaders of the next ``LEADERS`` classes.  The texts of larger sketches that still
 hold several classes are then joined exactly: two sets reach
 ``LEAST`` only if they share one of their rarest k-mers (prefix filter), and have fitting lengths and
 places there.  Every such pair of different classes is aligned; groups of a common k-mer are dealt
@@ -52,9 +52,8 @@ LEAST = 0.8
 SHORT, SHORT_ONLY, SAMPLED_SHORT = 24, 16, 3
 PASSAGE = 8
 NEAR = 12
-NEAR_LARGE = 4
+LEADERS = 4
 BAND = 0.25
-SALT_ROWS = 2048
 HUB_ROWS = 512
 BLOCK = 1024
 NODE = "binary"
@@ -231,27 +230,35 @@ def verified(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of neighbours in a sketch, of different classes.  rows: sketch, other, node, comp, n."""
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALT_ROWS)).cast("int")
-    dealt = rows.withColumn("salt", salt).select("sketch", "salt", "other", "node", "comp", F.when(F.col("n") <= NEAR + 1, NEAR).otherwise(NEAR_LARGE).alias("near")).repartition("sketch", "salt").sortWithinPartitions("sketch", "salt", "other", "node")
+    """Pairs (a, b) of the texts of a small sketch that are of different classes.  rows: sketch, node, comp, n."""
+    small = rows.filter(F.col("n") <= NEAR + 1).select("sketch", "node", "comp").repartition("sketch").sortWithinPartitions("sketch", "node")
 
     def run(batches):
         now, held = None, []
         for batch in batches:
             a, b = [], []
-            for sketch, salt_, node, comp, near in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True):
-                if (sketch, salt_) != now:
-                    now, held = (sketch, salt_), []
+            for sketch, node, comp in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if sketch != now:
+                    now, held = sketch, []
                 for other, its in held:
                     if its != comp:
                         a.append(min(node, other))
                         b.append(max(node, other))
                 held.append((node, comp))
-                if len(held) > near:
-                    del held[0]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return small.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def leader_pairs(rows: DataFrame, weight: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text with the leaders b of its largest sketch: those of the next LEADERS heaviest classes
+    there after the one of the chief; a class's leader is its heaviest text.  rows: sketch, node, comp, n."""
+    large = rows.filter(F.col("n") > NEAR + 1).select("sketch", "node", "comp", "n")
+    heads = large.join(weight, "node").groupBy("sketch", "comp").agg(F.max(F.struct("weight", "node")).alias("head"))
+    place = F.row_number().over(Window.partitionBy("sketch").orderBy(F.col("head").desc()))
+    heads = heads.withColumn("k", place).filter(F.col("k").between(2, LEADERS + 1)).select("sketch", F.col("comp").alias("its"), F.col("head.node").alias("b"))
+    own = large.groupBy("node", "comp").agg(F.max(F.struct("n", "sketch")).getField("sketch").alias("sketch"))
+    return own.join(heads, "sketch").filter(F.col("comp") != F.col("its")).select(F.col("node").alias("a"), "b")
 
 
 def kmer_sets(texts: DataFrame) -> DataFrame:
@@ -349,8 +356,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """(rows: key, node of every document; nodes: node, class_id, whether it stands for its class)."""
     rows = stored(sketched(docs, key, text))
     nodes = stored(rows.groupBy("node").agg(F.min("key").alias("id"), F.max("sketches").alias("sketches")))
-    band = F.posexplode("sketches").alias("k", "sketch")
-    every = nodes.select("node", "sketches", band).select("node", "sketch", F.get("sketches", F.pmod(F.col("k") + 1, F.size("sketches"))).alias("other"))
+    every = nodes.select("node", F.explode("sketches").alias("sketch"))
     shared = every.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(every.join(shared, "sketch"))
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -364,9 +370,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     stars = stars.select(F.col("node").alias("a"), F.col("chief").alias("b")).distinct()
     links = stored(verified(stars, kmers))
     first = components(links)
-    placed = members.join(first.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("sketch", "other", "node", F.coalesce("comp", "node").alias("comp"), "n")
+    placed = members.join(first.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("sketch", "node", F.coalesce("comp", "node").alias("comp"), "n")
+    placed = stored(placed)
     met = stars.union(stars.select("b", "a"))
-    pairs = near_pairs(placed).join(met, ["a", "b"], "left_anti")
+    pairs = near_pairs(placed).union(leader_pairs(placed, weight)).join(met, ["a", "b"], "left_anti")
     near = stored(verified(pairs, kmers))
     rest = rest_of_large(members, links.union(near), kmers)
     comp = components(links.union(near).union(rest))
@@ -374,7 +381,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     chosen = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
     named = named.join(chosen, "comp").select("node", F.col("best.id").alias("class_id"), (F.col("best.node") == F.col("node")).alias("stands"))
     named = stored(named)
-    forget(nodes, members, kmers, links, near, rest)
+    forget(nodes, members, kmers, placed, links, near, rest)
     return rows.select("key", "node"), named
 
 

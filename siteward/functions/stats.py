@@ -17,8 +17,9 @@ RANGES = 64
 
 
 def clip(x: Column, low, high) -> Column:
+    """x within low..high; a null stays null (greatest and least alone would take the bound for it)."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.least(F.greatest(x, lit(low)), lit(high))
+    return F.when(x.isNotNull(), F.least(F.greatest(x, lit(low)), lit(high)))
 
 
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), few: bool = False) -> DataFrame:

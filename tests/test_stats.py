@@ -1,9 +1,10 @@
 """Ranks, scalers and sources on small frames."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from siteward.functions.scalers import scaled, scaled_by_group
-from siteward.functions.stats import average_rank, gini, ordered_rank, rank_percentile
+from siteward.functions.scalers import scaled, scaled_by_group, scaled_long
+from siteward.functions.stats import average_rank, gini, haversine_km, ordered_rank, rank_percentile
 from siteward.sources import tables as T
 
 
@@ -68,3 +69,19 @@ def test_stream_equals_batch(spark, tmp_path):
     done = {(r["start"], r["event_type"]): (r["n"], r["total"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     all_ = {(r["start"], r["event_type"]): (r["n"], r["total"]) for r in event_windows(rows).collect()}
     assert done and all(all_[k] == v for k, v in done.items())
+
+
+@pytest.mark.parametrize("method", ["rank_percentile", "winsorized_percentile", "robust_minmax", "robust_z"])
+def test_a_missing_value_has_no_score(spark, method):
+    """A null is neither the least value nor one of the ranked ones."""
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([3.0, None, 1.0, 7.0, 5.0])], "k long, v double")
+    full = {r["k"]: r["s"] for r in scaled(df.filter("v is not null"), "v", "s", method).collect()}
+    assert {r["k"]: r["s"] for r in scaled(df, "v", "s", method).collect()} == full | {1: None}
+    long = df.select("k", F.lit("f").alias("feature"), F.lit(1).alias("direction"), F.col("v").alias("value"))
+    found = {r["k"]: r["score"] for r in scaled_long(long, method).collect()}
+    assert found[1] is None and all(abs(found[k] - full[k]) < 1e-9 for k in full)
+
+
+def test_distance_to_a_missing_place_is_unknown(spark):
+    row = spark.createDataFrame([(37.0, None)], "lat double, lon double")
+    assert row.select(haversine_km(F.col("lat"), F.col("lon"), F.lit(1.0), F.lit(2.0)).alias("d")).collect() == [(None,)]

@@ -65,3 +65,14 @@ def ascii_lower(c: Column) -> Column:
 def shipped(spark: SparkSession, value: object) -> Broadcast:
     """value for all executors, its classes included; ``pickle.loads(x.value)`` gives it back."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+SALTS = 32
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """rows joined with a table of one row a key.  A key may hold any share of rows: they are dealt over ``salts`` tasks in
+    turn, and the table's rows go to each.  rows are read from tables, so that a task run again deals them alike."""
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")

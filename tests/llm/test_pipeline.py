@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,4 +42,5 @@ def test_matches_duckdb(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     mine, theirs = queries.queries()[name](spark, str(DATA)).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
-    assert sorted(map(repr, mine[sorted(mine)].values.tolist())) == sorted(map(repr, theirs[sorted(theirs)].values.tolist()))
+    rows = lambda df: sorted(repr([None if pd.isna(v) else v for v in r]) for r in df[sorted(df)].astype(object).values.tolist())
+    assert rows(mine) == rows(theirs)

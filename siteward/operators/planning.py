@@ -282,18 +282,6 @@ def bundle_assignment(values: DataFrame) -> DataFrame:
     return values.sparkSession.createDataFrame([(s, b, float(score[s, b])) for s, b in zip(sites, path, strict=True)], values.select("site", "bundle", F.col("value").cast("double")).schema)
 
 
-def shortest_minutes(edges: DataFrame, sources: DataFrame, limit: float, rounds: int) -> DataFrame:
-    """source, vertex, minutes within ``limit`` over directed edges (u, w, minutes), by ``rounds`` relaxations."""
-    roads = edges.select(F.col("u").alias("_u"), F.col("w").alias("_w"), F.col("minutes").alias("_m"))
-    now = sources.select(F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("minutes"))
-    for r in range(rounds):
-        step = now.join(roads, now["vertex"] == roads["_u"]).select("source", F.col("_w").alias("vertex"), (F.col("minutes") + F.col("_m")).alias("minutes")).filter(F.col("minutes") <= limit)
-        now = now.union(step).groupBy("source", "vertex").agg(F.min("minutes").alias("minutes"))
-        if r % 4 == 3:
-            now = checkpointed(now)
-    return now
-
-
 def speed_from_tags(df: DataFrame, maxspeed: str, highway: str, defaults: Mapping[str, float]) -> DataFrame:
     """km/h from a tag (mph converted; the smallest of several), within 5..120; else the class default, else 30."""
     numbers = F.transform(F.regexp_extract_all(F.col(maxspeed), F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))

@@ -198,32 +198,73 @@ def fallbacks(chosen: DataFrame, pool: DataFrame, top: int = 2) -> DataFrame:
     return every.withColumn("place", F.row_number().over(order).cast("long"))
 
 
+def placed(df: DataFrame) -> Column:
+    """Whether a row has finite coordinates x and y."""
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf"))
+    return good("x") & good("y")
+
+
+DOUBLINGS, SITE_BLOCK = 6, 4096
+
+
+def _spread(df: DataFrame) -> float:
+    """The longer side of the box of the inner nine tenths of x and of y."""
+    cuts = df.agg(*[F.percentile_approx(c, [0.05, 0.95], 1000).alias(c) for c in ("x", "y")]).collect()[0]
+    return max((v[1] - v[0] for v in cuts if v), default=0.0)
+
+
 def nearest(points: DataFrame, sites: DataFrame, k: int = 1, within: Sequence[str] = ()) -> DataFrame:
-    """cell, place, site, distance of the k nearest sites of every point, ties to the smaller id; with ``within``
-    among those of equal values.  A point is done once k sites lie within the radius of its squares; the others
-    go on with twice the radius, so sites and points meet only in squares of about k sites."""
-    s = checkpointed(sites.select("site", "x", "y", *within))
-    box = s.agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).collect()[0]
-    left = checkpointed(points.select("cell", "x", "y", *within))
-    if within:
-        have = s.groupBy(*within).agg(F.least(F.count("*"), F.lit(k)).alias("_k"))
-        left = checkpointed(left.join(have, [*within]))
-    else:
-        left = left.withColumn("_k", F.lit(min(k, box["n"])))
-    out = None
-    radius = max(1e-9, max((box["b"] or 0) - (box["a"] or 0), (box["d"] or 0) - (box["c"] or 0)) * (max(1, k) / max(1, box["n"])) ** 0.5)
-    while box["n"]:
+    """cell, place, site, distance of the k nearest sites of every point (fewer if there are fewer), ties to the smaller id;
+    with ``within`` among those of equal values.
+
+    Points are done once k sites lie within the radius of their squares; the others go on with twice the radius.  The
+    first radius follows the middle of sites and points, not their outliers.  What is left after DOUBLINGS rounds is
+    compared with all sites, in blocks of about SITE_BLOCK.  Sites in one place count as one of k ids.
+    A point with a missing or infinite coordinate has one row of nulls; such a site is none; a point without a site of
+    its values has no row."""
+    kind = sites.schema["site"].dataType
+    here = Window.partitionBy("x", "y", *within).orderBy("site")
+    s = sites.filter(placed(sites)).select("site", "x", "y", *within).withColumn("_i", F.row_number().over(here)).filter(F.col("_i") <= k).drop("_i")
+    s = checkpointed(s)
+    none = points.filter(~placed(points)).select("cell", F.lit(None).cast("long").alias("place"), F.lit(None).cast(kind).alias("site"), F.lit(None).cast("double").alias("distance"))
+    n = s.count()
+    if not n:
+        return none
+    left = points.filter(placed(points)).select("cell", "x", "y", *within)
+    have = s.groupBy(*within).agg(F.least(F.count("*"), F.lit(k)).alias("_k"))
+    left = checkpointed(left.join(have, [*within]) if within else left.withColumn("_k", F.lit(min(k, n))))
+    side = _spread(s) or _spread(left) or 1.0
+    radius = side * (max(1, k) / n) ** 0.5
+    order = Window.partitionBy("cell").orderBy("distance", "site")
+    parts = [none]
+    for _ in range(DOUBLINGS):
         near = range_join(s, left, radius, within).filter(F.col("distance") <= radius)
-        place = F.row_number().over(Window.partitionBy("cell").orderBy("distance", "site"))
-        near = near.withColumn("place", place.cast("long")).filter(F.col("place") <= k)
+        near = near.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= k)
         full = near.withColumn("_n", F.count("*").over(Window.partitionBy("cell"))).join(left.select("cell", "_k"), "cell").filter("_n >= _k")
-        found = checkpointed(full.select("cell", "place", "site", F.round("distance", 6).alias("distance")))
-        out = found if out is None else out.union(found)
+        found = checkpointed(full.select("cell", "place", "site", "distance"))
+        parts.append(found)
         left = checkpointed(left.join(found.select("cell").distinct(), "cell", "left_anti"))
-        if not left.limit(1).count():
-            return out
+        if left.isEmpty():
+            break
         radius *= 2
-    return left.select("cell", F.lit(None).cast("long").alias("place"), F.lit(None).cast(sites.schema["site"].dataType).alias("site"), F.lit(None).cast("double").alias("distance")).limit(0)
+    else:
+        parts.append(_in_blocks(left, s, n, k, within))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+def _in_blocks(left: DataFrame, sites: DataFrame, n: int, k: int, within: Sequence[str]) -> DataFrame:
+    """The k nearest of all n sites: each block of sites keeps k a point, then the blocks' best are merged."""
+    blocks = -(-n // SITE_BLOCK)
+    dealt = sites.select(*within, F.col("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.pmod(F.xxhash64("site"), F.lit(blocks)).alias("_b"))
+    asked = left.select("cell", *within, "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    d2 = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y"))
+    rows = asked.join(dealt, ["_b", *within]).select("cell", "_b", "site", F.sqrt(d2).alias("distance"))
+    for by in (("cell", "_b"), ("cell",)):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "site")).cast("long")).filter(F.col("place") <= k)
+    return checkpointed(rows.select("cell", "place", "site", "distance"))
 
 
 def nearest_site(cells: DataFrame, sites: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteward.operators import network as R
 from siteward.operators import planning as P
 from siteward.operators import spatial as X
 from siteward.plans.roles import CELLS, COVER, SITES, cells, pct_sql, sites
@@ -208,7 +209,7 @@ def isochrone(spark, d):
     n, k = table(spark, d, "nation"), spark.range(3).withColumnRenamed("id", "k")
     key = F.col("n_nationkey")
     roads = n.crossJoin(F.broadcast(k)).select(key.alias("u"), F.pmod(key * 7 + F.col("k") * 3 + 1, F.lit(25)).cast("int").alias("w"), (F.pmod(key * 13 + F.col("k") * 5, F.lit(11)) + 2).cast("double").alias("minutes"))
-    return P.shortest_minutes(checkpointed(roads), n.filter(key % 5 == 0).select(key.alias("vertex")), 15.0, 8)
+    return R.shortest_minutes(checkpointed(roads), n.filter(key % 5 == 0).select(key.alias("vertex")), 15.0)
 
 
 _TAG = "CASE s_suppkey % 4 WHEN 0 THEN '50' WHEN 1 THEN '30 mph;40 mph' WHEN 2 THEN 'none' ELSE '200' END"

@@ -59,14 +59,29 @@ def monthly_utilisation(rows: DataFrame, province: str, regions: Mapping[str, st
     return mine.groupBy(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), region.alias("region"), F.trim("service").alias("service")).agg(F.sum(number("persons")).alias("persons"), F.sum(number("visits")).alias("visits"))
 
 
-HOLIDAYS = "response struct<body: struct<items: struct<item: array<struct<locdate: bigint, dateName: string, isHoliday: string>>>>>"
+#: Where an answer may hold its items, and the names of their fields: fixed by the service.
+ITEM_PATHS = ("$.response.body.items.item", "$.items.item", "$")
+ITEM = "struct<locdate: string, date: string, dateName: string, name: string, isHoliday: string>"
 
 
 def holidays(payloads: DataFrame, column: str) -> DataFrame:
-    """date, name of the public holidays in JSON answers (one a row); a day is listed once."""
-    item = F.explode(F.from_json(column, HOLIDAYS).getField("response").getField("body").getField("items").getField("item"))
-    rows = payloads.select(item.alias("i")).filter(F.upper("i.isHoliday") == "Y")
-    return rows.groupBy(F.to_date(F.col("i.locdate").cast("string"), "yyyyMMdd").alias("date")).agg(F.min("i.dateName").alias("name"))
+    """date, name of the public holidays in JSON answers (one a row); a day is listed once.
+
+    An answer is the service's envelope, its ``items`` alone, or a bare list; items are a list or, where there is just
+    one, an object; an envelope without items has none.  Any other answer, and an item without a date, fails."""
+    text = F.trim(F.col(column))
+    whole = F.get_json_object(text, "$.response")
+    some = F.when(whole.isNotNull(), F.get_json_object(text, ITEM_PATHS[0])).when(F.get_json_object(text, "$.items").isNotNull(), F.get_json_object(text, ITEM_PATHS[1])).otherwise(text)
+    enveloped = whole.isNotNull() | F.get_json_object(text, "$.items").isNotNull()
+    form = F.when(F.startswith(some, F.lit("[")), "list").when(F.startswith(some, F.lit("{")) & (enveloped | F.get_json_object(text, "$.locdate").isNotNull() | F.get_json_object(text, "$.date").isNotNull()), "object")
+    form = form.when(enveloped & (F.coalesce(some, F.lit("")) == ""), "none")
+    bad = F.raise_error(F.concat(F.lit("an answer of unknown form: "), F.coalesce(F.substring(text, 1, 80), F.lit("null"))))
+    listed = F.when(form == "list", some).when(form == "object", F.concat(F.lit("["), some, F.lit("]"))).when(form == "none", "[]").otherwise(bad)
+    items = F.from_json(listed, f"array<{ITEM}>", {"mode": "FAILFAST"})
+    rows = payloads.select(F.explode(items).alias("i")).select(F.coalesce("i.locdate", "i.date").alias("day"), F.coalesce("i.dateName", "i.name", F.lit("official_holiday")).alias("name"), F.upper("i.isHoliday").alias("off"))
+    day = F.coalesce(F.try_to_date("day", "yyyyMMdd"), F.try_to_date("day", "yyyy-MM-dd"))
+    day = F.when(day.isNotNull(), day).otherwise(F.raise_error(F.concat(F.lit("an item's date is bad: "), F.coalesce("day", F.lit("null")))).cast("date"))
+    return rows.filter(F.coalesce(F.col("off") == "Y", F.lit(True))).groupBy(day.alias("date")).agg(F.min("name").alias("name"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,7 +100,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``checkpointed`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def first_existing(columns: Sequence[str], aliases: Sequence[str]) -> str | None:

@@ -22,13 +22,13 @@ def clip(x: Column, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, lit(low)), lit(high)))
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), few: bool = False) -> DataFrame:
-    """by, value, less (rows below it), same (rows at it), total; nulls are left out.
+def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), few: bool = False, weight: str | None = None) -> DataFrame:
+    """by, value, less (rows below it), same (rows at it), total; nulls are left out; a row counts ``weight`` times.
 
     Without ``by``, or with ``few`` large groups, values are dealt into RANGES ranges a group; many
     groups are ranked by one window each."""
     by = [*by]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("same"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("same"))
     if by and not few:
         below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("less", F.coalesce(F.sum("same").over(below), F.lit(0))).withColumn("total", F.sum("same").over(Window.partitionBy(*by)))

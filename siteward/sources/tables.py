@@ -157,18 +157,19 @@ def unit_interval(x: Column, low: Column, high: Column, invert: bool = False) ->
 
 
 def korean_wgs84(lat: Column, lon: Column) -> Column:
-    """Whether a coordinate is finite and lies in the country's bounds."""
+    """Whether a coordinate is finite and lies in the country's bounds (fixed values)."""
     return F.coalesce(~F.isnan(lat) & ~F.isnan(lon) & lat.between(30.0, 40.0) & lon.between(120.0, 135.0), F.lit(False))
 
 
 def valid_address(x: Column) -> Column:
-    """Whether an address is written at all, and not one of the words for none."""
+    """Whether an address is written at all, and not one of the words for none (fixed values)."""
     return F.coalesce(~F.lower(F.trim(x)).isin("", "unknown", "none", "n/a", "na", "nan", "null", "tbd"), F.lit(False))
 
 
 def field_status(x: Column) -> Column:
-    """Words of field notes as verified, not_verified or unknown; a word that isn't known is no evidence."""
+    """Words of field notes as verified, not_verified or unknown; all other words are unknown."""
     word = F.regexp_replace(F.lower(F.trim(x.cast("string"))), "[- ]", "_")
+    # The words of field forms.
     good = word.isin("true", "yes", "y", "verified", "pass", "available", "1", "확인")
     bad = word.isin("false", "no", "n", "not_verified", "fail", "unavailable", "0", "불가")
     return F.when(good, "verified").when(bad, "not_verified").otherwise("unknown")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteward.plans import contracts, correlation, exact, fieldwork, handoff, interface, nested, network, polygons, relaxation, reviews, skyline, stage1, stage2, stage3, stage4, universe
+from siteward.plans import contracts, correlation, exact, fieldwork, handoff, interface, lineage, nested, network, polygons, relaxation, reviews, skyline, stage1, stage2, stage3, stage4, universe
 from siteward.streaming import windows
 
-MODULES = (stage1, stage2, stage3, stage4, reviews, handoff, interface, universe, fieldwork, network, correlation, nested, polygons, exact, skyline, relaxation, contracts, windows)
+MODULES = (stage1, stage2, stage3, stage4, reviews, handoff, interface, universe, fieldwork, network, correlation, nested, polygons, exact, skyline, relaxation, contracts, lineage, windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

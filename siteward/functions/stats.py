@@ -77,11 +77,13 @@ def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), fe
     return df.join(at.select(*by, F.col(value), (F.col("less") + (F.col("same") + 1) / 2).alias(out)), [*by, value], "left")
 
 
-def ordered_rank(df: DataFrame, score: str, key: str, out: str = "rank", tied: str | None = None, size: str | None = None) -> DataFrame:
-    """df with its place by score, highest first, then key; and, if named, the tied rank and tie size."""
-    at = value_positions(df, score).select(score, (F.col("total") - F.col("less") - F.col("same")).alias("_above"), F.col("same").alias("_same"))
-    df = df.join(at, score)
-    place = F.row_number().over(Window.partitionBy(score).orderBy(key))
+def ordered_rank(df: DataFrame, score: str, key: str, out: str = "rank", tied: str | None = None, size: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """df with its place by score, highest first, then key; and, if named, the tied rank and tie size; in each of a few
+    large groups, if ``by`` names them."""
+    by = [*by]
+    at = value_positions(df, score, by, few=True).select(*by, score, (F.col("total") - F.col("less") - F.col("same")).alias("_above"), F.col("same").alias("_same"))
+    df = df.join(at, [*by, score])
+    place = F.row_number().over(Window.partitionBy(*by, score).orderBy(key))
     df = df.withColumn(out, (F.col("_above") + place).cast("long"))
     if tied:
         df = df.withColumn(tied, (F.col("_above") + 1).cast("long"))

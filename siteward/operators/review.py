@@ -7,15 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteward.functions.stats import safe_corr
+from siteward.functions.stats import ordered_rank, safe_corr
+from siteward.sources.tables import checkpointed
 
 
 def profile_runs(axes: DataFrame, profiles: Mapping[str, Mapping[str, float]], key: str = "unit") -> DataFrame:
-    """profile, key, score, rank: every weight profile as rows of one job over axis scores (key, axis, score)."""
+    """profile, key, score, rank: every weight profile as rows of one job over axis scores (key, axis, score).
+
+    Ranks come from counted scores, so that no task orders a whole profile; a null score has no rank."""
     rows = [(p, a, float(w) / sum(ws.values())) for p, ws in profiles.items() for a, w in ws.items()]
     weights = F.broadcast(axes.sparkSession.createDataFrame(rows, "profile string, axis string, w double"))
-    out = axes.join(weights, "axis").groupBy("profile", key).agg(F.round(F.sum(F.col("w") * F.col("score")), 6).alias("score"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("profile").orderBy(F.col("score").desc(), key)).cast("long"))
+    out = checkpointed(axes.join(weights, "axis").groupBy("profile", key).agg(F.round(F.sum(F.col("w") * F.col("score")), 6).alias("score")))
+    ranked = ordered_rank(out.filter("score IS NOT NULL"), "score", key, by=["profile"]).select("profile", key, "score", "rank")
+    return ranked.unionByName(out.filter("score IS NULL").withColumn("rank", F.lit(None).cast("long")))
 
 
 def certified(runs: DataFrame, base: str, most_shift: float, least_overlap: float, top: int, key: str = "unit") -> DataFrame:

@@ -73,9 +73,12 @@ def component_ablation(rows: DataFrame, weights: Mapping[str, float], keys: Sequ
 
 def prior_grid(rows: DataFrame, num: str, den: str, strengths: Sequence[float], by: Sequence[str]) -> DataFrame:
     """strength, by, share: empirical-Bayes shares for several prior strengths in one pass."""
-    over = Window.partitionBy(*by[1:]) if by[1:] else Window.partitionBy(F.lit(0))
-    mu = F.try_divide(F.sum(num).over(over).cast("double"), F.sum(den).over(over).cast("double"))
-    rows = rows.withColumn("_mu", F.coalesce(mu, F.lit(0.0)))
+    share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)).alias("_mu")
+    if by[1:]:
+        over = Window.partitionBy(*by[1:])
+        rows = rows.withColumn("_mu", share(F.sum(num).over(over), F.sum(den).over(over)))
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(share(F.sum(num), F.sum(den)))))  # one row
     shares = [F.struct(F.lit(float(s)).alias("strength"), F.round((F.col(num) + s * F.col("_mu")) / (F.col(den) + s), 6).alias("share")) for s in strengths]
     return rows.select(*by, F.explode(F.array(*shares)).alias("s")).select("s.strength", *by, "s.share")
 

@@ -9,7 +9,7 @@ from siteward.operators import planning as P
 from siteward.operators import spatial as X
 from siteward.plans.roles import CELLS, COVER, SITES, cells, pct_sql, sites
 from siteward.plans.stage3 import cover
-from siteward.sources.tables import checkpointed, table
+from siteward.sources.tables import checkpointed, fingerprint, table
 
 QUERIES, SQL = {}, {}
 VISITS, POOL = 10, 600
@@ -253,11 +253,18 @@ def options(spark, d):
     return s.join(b, "region").join(t, ["base", "skill"]).join(v, "base").join(days, ["team", "day"]).select("site", "team", "van", "day").dropDuplicates()
 
 
-@query("frame_fingerprint", "SELECT count(*) AS n, md5(string_agg(row, '|' ORDER BY row)) AS fingerprint FROM (SELECT concat_ws(',', n_nationkey, n_name, n_regionkey) AS row FROM nation)")
-def fingerprint(spark, d):
-    """Content hash of a dimension table, whatever the order of its rows."""
-    rows = table(spark, d, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).alias("row"))
-    return rows.agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("row")), "|")).alias("fingerprint"))
+_TEXT = lambda c: f"CASE WHEN {c} IS NULL THEN '~' ELSE length({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_HASHED = ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]
+
+
+@query(
+    "frame_fingerprint",
+    f"""WITH h AS (SELECT md5(concat_ws(',', {", ".join(map(_TEXT, _HASHED))})) AS h FROM orders)
+SELECT count(*) AS n, coalesce(sum(('0x' || h[1:15])::BIGINT), 0)::VARCHAR || '-' || coalesce(sum(('0x' || h[16:30])::BIGINT), 0)::VARCHAR AS fingerprint FROM h""",
+)
+def frame_fingerprint(spark, d):
+    """Content hash of a whole table, whatever the order of its rows."""
+    return fingerprint(table(spark, d, "orders"), _HASHED)
 
 
 @query(

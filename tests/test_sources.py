@@ -43,3 +43,24 @@ def test_folder_names_all_that_is_missing(spark, tmp_path):
 def test_dates_and_words(spark):
     d = spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("2024/01/05",), ("20240105",), ("soon",), (None,)], "w string")
     assert [str(r[0]) for r in d.select(T.iso_date(F.col("w"))).collect()] == ["2024-02-29", "None", "2024-01-05", "2024-01-05", "None", "None"]
+
+
+def test_fingerprints_count_rows_in_any_order(spark):
+    rows = [(1, "a", None), (2, "", "x,1:y"), (2, "", "x,1:y"), (3, None, "z")]
+    make = lambda r: spark.createDataFrame(r, "n long, a string, b string")
+    of = lambda df: tuple(T.fingerprint(df).collect()[0])
+    one = of(make(rows))
+    assert one[0] == 4 and one == of(make(rows[::-1]).repartition(3).select("b", "n", "a"))
+    others = [rows[:3], rows + rows[:1], [*rows[:3], (3, "", "z")], [*rows[:3], (3, "z", None)], [(1, "a", "~"), *rows[1:]]]
+    assert len({one, *[of(make(r)) for r in others]}) == 6
+    assert of(make([])) == (0, "0-0")
+
+
+def test_profile_ranks_and_shares_of_one_key(spark):
+    from siteward.operators import review, universe
+
+    axes = spark.createDataFrame([(u, a, s) for u, x, y in [(1, 10.0, 0.0), (2, 10.0, 0.0), (3, 0.0, 30.0), (4, None, None)] for a, s in (("x", x), ("y", y))], "unit long, axis string, score double")
+    got = {(r["profile"], r["unit"]): r["rank"] for r in review.profile_runs(axes, {"x": {"x": 1.0}, "both": {"x": 1.0, "y": 1.0}}).collect()}
+    assert got == {("x", 1): 1, ("x", 2): 2, ("x", 3): 3, ("x", 4): None, ("both", 3): 1, ("both", 1): 2, ("both", 2): 3, ("both", 4): None}
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 6.0)], "item string, n double, d double")
+    assert {(r["item"], r["share"]) for r in universe.prior_grid(rows, "n", "d", [2.0], ["item"]).collect()} == {("a", 0.5), ("b", 0.5)}

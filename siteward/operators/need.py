@@ -119,12 +119,39 @@ def compare_runs(base: DataFrame, other: DataFrame, key: str = "unit") -> DataFr
     )
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """tau-b over all pairs; for tables of up to some thousand rows (regions, items)."""
-    a, b = df.select(F.col(key).alias("i"), F.col(x).alias("xa"), F.col(y).alias("ya")), df.select(F.col(key).alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    pairs = a.join(b, F.col("i") < F.col("j")).select(F.signum(F.col("xa") - F.col("xb")).alias("dx"), F.signum(F.col("ya") - F.col("yb")).alias("dy"))
-    base = F.sqrt(F.sum(F.abs("dx"))) * F.sqrt(F.sum(F.abs("dy")))
-    return pairs.agg(F.when(base > 0, F.sum(F.col("dx") * F.col("dy")) / base).alias("tau"))
+def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
+    """tau: tau-b over all pairs of rows, without making the pairs; rows whose x or y is null or NaN take no part, and it is
+    null where a side is constant.
+
+    Pairs that are neither tied are all less the discordant ones.  These part at one bit of the place of x: among rows
+    whose places agree above it, a row with the bit set counts those without it that have a larger y.  Rows are first added
+    up by place of y, and sums run inside chunks of places and then over chunks, so no task holds more than about
+    the root of the number of rows."""
+    number = lambda c: F.col(c).cast("double")
+    rows = df.select(number(x).alias("x"), number(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    points = checkpointed(rows.groupBy("x", "y").agg(F.count("*").alias("w")))
+    at = {c: value_positions(points, c, weight="w").select(c, F.col("less").cast("long").alias(f"p{c}"), F.col("same").cast("long").alias(f"s{c}")) for c in ("x", "y")}
+    n = points.agg(F.coalesce(F.sum("w"), F.lit(0))).collect()[0][0]
+    bits = max(1, int(n).bit_length())
+    placed = points.join(at["x"], "x").join(at["y"], "y").select("w", "px", F.col("py").alias("py"), F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    placed = placed.withColumn("head", F.expr("shiftright(px, bit + 1)")).withColumn("one", F.expr("shiftright(px, bit) & 1"))
+    by = ["bit", "head", "chunk"]
+    sums = placed.groupBy("bit", "head", "py").agg(F.sum(F.when(F.col("one") == 0, F.col("w")).otherwise(0)).alias("less"), F.sum(F.when(F.col("one") == 1, F.col("w")).otherwise(0)).alias("more"))
+    sums = sums.withColumn("chunk", F.shiftright("py", bits // 2))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inner = sums.withColumn("_in", F.coalesce(F.sum("less").over(before(by, "py")), F.lit(0))).filter("more > 0")
+    outer = sums.groupBy(*by).agg(F.sum("less").alias("_all")).withColumn("_out", F.coalesce(F.sum("_all").over(before(by[:2], "chunk")), F.lit(0)))
+    big = lambda c: c.cast("decimal(19,0)")
+    against = inner.join(outer, by).agg(F.coalesce(F.sum(big(F.col("more")) * big(F.col("_in") + F.col("_out"))), F.lit(0)).alias("d"))
+    pairs = lambda c: F.coalesce(F.sum(big(F.col(c)) * big(F.col(c) - 1)), F.lit(0)) / 2
+    ties = against.crossJoin(points.agg(pairs("w").alias("both")))
+    for c in ("x", "y"):
+        ties = ties.crossJoin(at[c].agg(pairs(f"s{c}").alias(c)))  # one row each
+    whole = F.lit(n * (n - 1) // 2).cast("decimal(38,0)")
+    of = lambda c: (whole - F.col(c)).cast("double")
+    base = F.sqrt(of("x")) * F.sqrt(of("y"))
+    net = (whole - F.col("x") - F.col("y") + F.col("both") - 2 * F.col("d")).cast("double")
+    return ties.select(F.when(base > 0, net / base).alias("tau"))
 
 
 def region_distribution(df: DataFrame, region: str, value: str) -> DataFrame:

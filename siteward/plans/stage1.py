@@ -144,7 +144,17 @@ SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / (sqrt(sum(abs(sign(a.x - b
 )
 def kendall(spark, d):
     n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.sum("c_acctbal"), 2).alias("x"), F.count("*").alias("y"))
-    return N.kendall_tau_b(n, "x", "y", "k").select(F.round("tau", 6).alias("tau"))
+    return N.kendall_tau_b(n, "x", "y").select(F.round("tau", 6).alias("tau"))
+
+
+@query(
+    "kendall_tau_units",
+    f"""WITH {UNITS}, n AS (SELECT unit AS k, orders_n AS x, spend AS y FROM units)
+SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / (sqrt(sum(abs(sign(a.x - b.x)))) * sqrt(sum(abs(sign(a.y - b.y))))), 6) AS tau FROM n a JOIN n b ON a.k < b.k""",
+)
+def kendall_units(spark, d):
+    """All customers: number of orders against what they spent."""
+    return N.kendall_tau_b(units(spark, d), "orders_n", "spend").select(F.round("tau", 6).alias("tau"))
 
 
 @query(

@@ -85,3 +85,20 @@ def test_a_missing_value_has_no_score(spark, method):
 def test_distance_to_a_missing_place_is_unknown(spark):
     row = spark.createDataFrame([(37.0, None)], "lat double, lon double")
     assert row.select(haversine_km(F.col("lat"), F.col("lon"), F.lit(1.0), F.lit(2.0)).alias("d")).collect() == [(None,)]
+
+
+@pytest.mark.parametrize("n, values", [(0, 3), (1, 3), (60, 4), (300, 1000), (40, 1)])
+def test_kendall_matches_all_pairs(spark, n, values):
+    import random
+
+    from siteward.operators.need import kendall_tau_b
+
+    r = random.Random(n)
+    rows = [(float(r.randint(0, values)) if values > 1 else 5.0, float(r.randint(0, values))) for _ in range(n)]
+    odd = [(None, 1.0), (2.0, None), (float("nan"), 0.0)]
+    got = kendall_tau_b(spark.createDataFrame(rows + odd, "a double, b double").repartition(3), "a", "b").collect()
+    sign = lambda v: (v > 0) - (v < 0)
+    pairs = [(sign(p[0] - q[0]), sign(p[1] - q[1])) for i, p in enumerate(rows) for q in rows[:i]]
+    base = sum(abs(a) for a, _ in pairs) ** 0.5 * sum(abs(b) for _, b in pairs) ** 0.5
+    assert len(got) == 1
+    assert got[0]["tau"] == (pytest.approx(sum(a * b for a, b in pairs) / base, abs=1e-12) if base else None)

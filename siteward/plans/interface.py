@@ -90,10 +90,21 @@ def prior(spark, d):
     return s.select("site", I.readiness_prior({"a": 0.9, "b": 0.6}, 0.2).alias("prior"), I.active("a", "b").cast("long").alias("active"))
 
 
-@query("unit_contract", "SELECT * FROM (VALUES ('rain', 'mm', 'mm', 1), ('heat', 'c', 'c,celsius', 1), ('wind', 'km/h', 'm/s', 0), ('snow', 'missing', 'cm', 0)) t(variable, unit, expected, good)")
+_SPELT = (" MM", "° C", "km/h", "mm ")
+_EXPECTED = {"view": ["mm"], "click": ["c", "celsius"], "error": ["m/s", "km/h"], "refund": ["cm"]}
+
+
+@query(
+    "unit_contract",
+    f"""WITH want(variable, expected) AS (VALUES {', '.join(f"('{k}', '{','.join(v)}')" for k, v in _EXPECTED.items())}), seen AS (SELECT DISTINCT event_type AS variable, {list(_SPELT)}[user_id % 4 + 1] AS spelt FROM events),
+p AS (SELECT variable, replace(replace(lower(spelt), ' ', ''), '°', '') AS unit FROM seen)
+SELECT variable, coalesce(unit, 'missing') AS unit, expected, CAST(coalesce(list_contains(string_split(expected, ','), unit), false) AS BIGINT) AS good FROM want LEFT JOIN p USING (variable)""",
+)
 def contract(spark, d):
-    seen = spark.createDataFrame([("rain", " MM"), ("heat", "° C"), ("wind", "km/h")], "variable string, unit string")
-    return I.unit_contract(seen, {"rain": ["mm"], "heat": ["c", "celsius"], "wind": ["m/s"], "snow": ["cm"]})
+    """Every spelling of a unit that readings of a kind of event come with."""
+    spelt = F.element_at(F.array(*map(F.lit, _SPELT)), (F.col("user_id") % 4 + 1).cast("int"))
+    seen = table(spark, d, "events").select(F.col("event_type").alias("variable"), spelt.alias("unit")).distinct()
+    return I.unit_contract(seen, _EXPECTED)
 
 
 @query(
@@ -160,33 +171,40 @@ def plane(spark, d):
     return table(spark, d, "supplier").select(k.alias("site"), F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
-_NAMES = ("c_custkey", "c_name", "c_acctbal", "visits_2024", "lat_wgs84", "venue_score_v0", "month_peak", "need_rank", "beds_capacity", "outreach_flag")
+_STEMS = ("visits_", "lat_", "score_v0_", "month_", "need_rank_", "beds_", "outreach_", "spend_", "balance_", "")
 _KINDS = ((r"(?:key|_id|name)$", "identifier"), (r"^(?:lat|lon)_|_wgs84$", "coordinate"), (r"_v0(?:$|_)", "legacy"), (r"visits|outcome", "outcome"), (r"outreach", "outreach"), (r"month|season", "temporal"), (r"capacity|beds", "capacity"), (r"rank|score", "derived"))
+_TYPES = f"""nm AS (SELECT DISTINCT {list(_STEMS)}[p_partkey % 10 + 1] || replace(lower(p_brand), '#', '') || CASE WHEN p_partkey % 10 = 9 THEN '_id' ELSE '' END AS name FROM part),
+ty AS (SELECT name, CASE {' '.join(f"WHEN regexp_matches(name, '{r}') THEN '{k}'" for r, k in _KINDS)} ELSE 'measure' END AS kind FROM nm)"""
 
 
-@query(
-    "column_types",
-    "SELECT * FROM (VALUES ('c_custkey', 'identifier'), ('c_name', 'identifier'), ('c_acctbal', 'measure'), ('visits_2024', 'outcome'), ('lat_wgs84', 'coordinate'), ('venue_score_v0', 'legacy'), ('month_peak', 'temporal'), ('need_rank', 'derived'), ('beds_capacity', 'capacity'), ('outreach_flag', 'outreach')) t(name, kind)",
-)
+@query("column_types", f"WITH {_TYPES} SELECT name, kind FROM ty")
 def types(spark, d):
-    return I.column_types(spark.createDataFrame([(n,) for n in _NAMES], "name string"), _KINDS, "measure")
+    """Kinds of the measures that a long table names: one for a stem and brand of the parts."""
+    k = F.col("p_partkey") % 10
+    stem = F.element_at(F.array(*map(F.lit, _STEMS)), (k + 1).cast("int"))
+    name = F.concat(stem, F.translate(F.lower("p_brand"), "#", ""), F.when(k == 9, "_id").otherwise(""))
+    return I.column_types(table(spark, d, "part").select(name.alias("name")).distinct(), _KINDS, "measure")
 
 
-@query("leakage_names", "SELECT * FROM (VALUES ('visits_2024', 'outcome'), ('lat_wgs84', 'coordinate'), ('venue_score_v0', 'legacy'), ('month_peak', 'temporal'), ('outreach_flag', 'outreach'), ('beds_capacity', 'capacity'), ('c_custkey', 'identifier'), ('c_name', 'identifier')) t(name, reason)")
+@query("leakage_names", f"WITH {_TYPES} SELECT name, kind AS reason FROM ty WHERE kind NOT IN ('measure', 'derived')")
 def leakage(spark, d):
     """Names that may not enter a score, with the reason."""
     return types(spark, d).filter(~F.col("kind").isin("measure", "derived")).select("name", F.col("kind").alias("reason"))
 
 
-@query("discriminating_features", "SELECT * FROM (VALUES ('orders_n'), ('balance'), ('nation_spend')) t(feature)")
+@query("discriminating_features", "SELECT min(c_name) AS feature FROM customer GROUP BY c_nationkey, c_mktsegment, floor(c_acctbal / 500)")
 def discriminate(spark, d):
-    names = spark.createDataFrame([(n,) for n in ("orders_n", "urgent_n", "spend", "balance", "nation_spend")], "feature string")
-    return I.discriminating(names, spark.createDataFrame([("urgent_n", "orders_n"), ("orders_n", "spend")], "feature string, alias_of string"))
+    """Customers as features: those of one nation, segment and band of balance are aliases of the first of them."""
+    keys = ["c_nationkey", "c_mktsegment", "band"]
+    c = table(spark, d, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 500))
+    first = c.groupBy(*keys).agg(F.min("c_name").alias("alias_of"))
+    ledger = c.join(first, keys).select(F.col("c_name").alias("feature"), "alias_of").filter("feature <> alias_of")
+    return I.discriminating(c.select(F.col("c_name").alias("feature")), ledger)
 
 
-@query("stable_feature_ids", "SELECT * FROM (VALUES ('balance', 'F001'), ('orders_n', 'F002'), ('spend', 'F003')) t(feature, stable_id)")
+@query("stable_feature_ids", "SELECT feature, 'F' || lpad(CAST(row_number() OVER (ORDER BY feature) AS VARCHAR), 3, '0') AS stable_id FROM (SELECT DISTINCT lower(p_brand) || '_' || lower(p_type) AS feature FROM part)")
 def stable(spark, d):
-    return I.stable_ids(spark.createDataFrame([("spend",), ("balance",), ("orders_n",)], "feature string"))
+    return I.stable_ids(table(spark, d, "part").select(F.concat_ws("_", F.lower("p_brand"), F.lower("p_type")).alias("feature")).distinct())
 
 
 @query(

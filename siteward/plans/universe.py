@@ -121,12 +121,15 @@ def log(spark, d):
 
 @query(
     "synthetic_instance",
-    """WITH s AS (SELECT s.s AS site, s.s // 3 AS unit FROM range(36) s(s)), c AS (SELECT c.c AS cell, c.c // 20 AS unit, CAST((c.c * 13) % 29 + 1 AS DOUBLE) AS population FROM range(240) c(c))
-SELECT site, count(*) AS cells, sum(population) AS population FROM s JOIN c ON c.unit = s.unit OR (c.unit = (s.unit + 1) % 12 AND cell % 20 < 5) GROUP BY 1""",
+    """WITH n AS (SELECT (SELECT count(*) FROM nation) AS u, (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM part) AS c), k AS (SELECT u, greatest(1, s // u) AS se, greatest(5, c // u) AS ce FROM n),
+s AS (SELECT unnest(range(u * se)) AS site, se, u FROM k), c AS (SELECT unnest(range(u * ce)) AS cell, ce FROM k), d AS (SELECT cell, ce, cell // ce AS unit, CAST((cell * 13) % 29 + 1 AS DOUBLE) AS population FROM c)
+SELECT site, count(*) AS cells, sum(population) AS population FROM s JOIN d ON d.unit = site // se OR (d.unit = (site // se + 1) % u AND cell % ce < 5) GROUP BY 1""",
 )
 def synthetic(spark, d):
-    _, c, k = U.synthetic_instance(spark, 12, 3, 20)
-    return k.join(c, "cell").groupBy("site").agg(F.count("*").alias("cells"), F.sum("population").alias("population"))
+    """A made-up instance as large as the tables: a unit a nation, sites and cells as many as suppliers and parts."""
+    units, s, c = (table(spark, d, name).count() for name in ("nation", "supplier", "part"))
+    _, cells_, cover_ = U.synthetic_instance(spark, units, max(1, s // units), max(5, c // units))
+    return cover_.join(cells_, "cell").groupBy("site").agg(F.count("*").alias("cells"), F.sum("population").alias("population"))
 
 
 _RULES = {"years": "years >= 5", "level": "mean >= 20", "steady": "spread <= 0.6 * mean"}

@@ -3,21 +3,24 @@ in the fewest bytes.
 
 A dictionary is raw content: pieces from all over about ``ROWS`` different labelled texts of a language
 (a documented bound; at most ``PIECE_CHARS`` of each), picked by the hash of the text, with equal shares
-of ``DICT_BYTES``.  As many further labelled texts set the margin.
+of ``DICT_BYTES``.
 Every text is classified whole, in blocks of ``BLOCK_BYTES`` that are coded one by one by a greedy
 coder; where that leaves less than ``CLOSE`` between the best two, by an optimal one.  A language
 costs its code and its share of the learned texts, both in bits.  A text is rejected if the second
-best code is longer by no more than the margin: the greatest lead up to which labelled texts that
-taught nothing are more often wrong than right, ``MOST_MARGIN`` at most.
+best code is longer by no more than the margin.  The margin is set at every size alike, by two folds of
+the same texts: each is classified by what the other one taught, once with all languages and once
+without its own, as a text of a language that nobody taught would be.  See ``narrowest``.
 
 Defined results: ``und`` for a null text, one without letters, or if there are no labelled rows
-(score 0, rejected); a language without letters in its labelled texts is not learned; ties go to
+(score 0, rejected); a language without letters in its labelled texts is not learned; with one text a
+language, or one language, the margin is 0; ties go to
 the language that sorts first; repeated rows get equal results; other columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import groupby
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -30,7 +33,7 @@ PIECES, PIECE_CHARS = 4, 2000
 DICT_BYTES = 96 << 10
 BLOCK_BYTES = 32 << 10
 CLOSE = 0.02
-MOST_MARGIN = 0.05
+LOST = 0.002
 _FRAME = {"window_log": 19, "hash_log": 17, "chain_log": 17, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 GREEDY = {"strategy": zstd.STRATEGY_GREEDY, "min_match": 4, "search_log": 4}
 OPTIMAL = {"strategy": zstd.STRATEGY_BTLAZY2, "min_match": 3, "search_log": 5, "target_length": 16}
@@ -65,7 +68,12 @@ def _filled(sizes: list[int], room: int) -> int:
 
 class Model(NamedTuple):
     languages: dict[str, tuple[bytes, float]]  # the dictionary and its share of the labelled texts
-    margin: float = 0.0  # a relative lead below which a text is rejected
+    margin: float = 0.0  # a relative lead up to which a text is rejected
+
+
+def _dictionary(texts: list[list[bytes]]) -> bytes:
+    each = _filled([sum(map(len, t)) + len(t) for t in texts], DICT_BYTES)
+    return b" ".join(b" ".join(c[: max(1, each // len(t))] for c in t) for t in texts)[:DICT_BYTES]
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -75,36 +83,39 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return Model({})
-    # One entry for each language; texts whose hash lies in a share of all values are kept, half of them to learn from.
-    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (2 * ROWS << 30) // max(1, n)))])
-    place = F.pmod(F.col("h"), F.lit(1 << 30))
-    picked = rows.filter(place < most[F.col("lang")]).withColumn("teaches", (place % 2 == 0) | (most[F.col("lang")] == 1 << 30))
-    picked = picked.groupBy("lang", "h", "teaches").agg(F.max(_cuts(F.col("text"))).alias("cuts"))
-    pieces: dict[str, list[list[bytes]]] = {}
-    tried: list[tuple[str, str]] = []
+    # One entry for each language; texts whose hash lies in a share of all values are kept.
+    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, (ROWS << 30) // max(1, n)))])
+    picked = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < most[F.col("lang")])
+    picked = picked.groupBy("lang", "h").agg(F.max(_cuts(F.col("text"))).alias("cuts"))
+    texts: dict[str, list[tuple[int, list[str]]]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["cuts"])):
         if any(map(str.isalpha, "".join(r["cuts"]))):
-            if r["teaches"]:
-                pieces.setdefault(r["lang"], []).append([plain(c) for c in r["cuts"]])
-            else:
-                tried.append((r["lang"], " ".join(r["cuts"])))
-    out = {}
-    for name, texts in pieces.items():
-        each = _filled([sum(map(len, t)) + len(t) for t in texts], DICT_BYTES)
-        out[name] = b" ".join(b" ".join(c[: max(1, each // len(t))] for c in t) for t in texts)[:DICT_BYTES], counts[name] / sum(counts.values())
-    return Model(out, narrowest(out, tried))
-
-
-def narrowest(languages: dict[str, tuple[bytes, float]], tried: list[tuple[str, str]]) -> float:
-    """The greatest relative lead up to which labelled texts that taught nothing are more often wrong than right."""
-    classify_ = Classifier(Model(languages))
-    found = sorted((lead, name == lang) for lang, (name, lead) in ((lang, classify_.lead(t)) for lang, t in tried))
-    margin, right = 0.0, 0
-    for n, (lead, good) in enumerate(found, 1):
-        right += good
-        if right < n - right:
+            texts.setdefault(r["lang"], []).append((r["h"] % 2, r["cuts"]))
+    share = {name: counts[name] / sum(counts.values()) for name in texts}
+    taught = lambda folds: {n: (_dictionary(t), share[n]) for n, x in texts.items() if (t := [[plain(c) for c in cuts] for f, cuts in x if f in folds])}
+    known, foreign = [], []
+    for fold in (0, 1):
+        other = Classifier(Model(taught({1 - fold})))
+        for name, text_ in [(n, " ".join(cuts)) for n, x in texts.items() if n in other.names for f, cuts in x if f == fold]:
+            found, lead = other.lead(text_)
+            known.append((lead, found == name))
+            if len(other.names) > 2:
+                foreign.append(other.lead(text_, without=name)[1])
+    return Model(taught({0, 1}), narrowest(known, foreign))
+
+
+def narrowest(known: list[tuple[float, bool]], foreign: list[float]) -> float:
+    """The margin, from leads of texts of known languages (and whether they were right) and of foreign ones:
+    the greatest lead up to which known ones are more often wrong than right; or, if that is more, the
+    greatest foreign lead that rejects a share of at most ``LOST`` of the known ones that are right."""
+    margin, excess = 0.0, 0
+    for lead, equal in groupby(sorted(known), key=lambda x: x[0]):
+        excess += sum(-1 if good else 1 for _, good in equal)
+        if excess > 0:
             margin = lead
-    return min(margin, MOST_MARGIN)
+    leads = sorted(lead for lead, good in known if good)
+    first_kept = leads[int(LOST * len(leads))] if leads else 0.0
+    return max([margin, *(lead for lead in foreign if lead < first_kept)])
 
 
 class Classifier:
@@ -125,17 +136,19 @@ class Classifier:
         out = [8 * sum(len(c.compress(x)) for x in blocks) + p for c, p in zip(coders, self.prior, strict=True)]
         return out, sorted(range(len(out)), key=lambda i: (out[i], i))
 
-    def coded(self, text: str) -> tuple[list[float], list[int]]:
+    def coded(self, text: str, without: str | None = None) -> tuple[list[float], list[int]]:
         b = plain(text)
         blocks = [b[i : i + BLOCK_BYTES] for i in range(0, len(b), BLOCK_BYTES)]
-        bits, order = self.bits(self.greedy, blocks)
-        if len(order) > 1 and bits[order[1]] - bits[order[0]] < CLOSE * bits[order[0]] + 32:
-            bits, order = self.bits(self.optimal, blocks)
+        for coders in (self.greedy, self.optimal):
+            bits, order = self.bits(coders, blocks)
+            order = [i for i in order if self.names[i] != without]
+            if len(order) < 2 or bits[order[1]] - bits[order[0]] >= CLOSE * bits[order[0]] + 32:
+                break
         return bits, order
 
-    def lead(self, text: str) -> tuple[str, float]:
-        """Language and how much longer, in share, the second best code is."""
-        bits, order = self.coded(text)
+    def lead(self, text: str, without: str | None = None) -> tuple[str, float]:
+        """Language and how much longer, in share, the second best code is; one language may be left out."""
+        bits, order = self.coded(text, without)
         return self.names[order[0]], (bits[order[1]] - bits[order[0]]) / bits[order[0]] if len(order) > 1 else 1.0
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siteward.llm import ann, chat, decontam, langid, licenses, neardup, packing, pii, sharding, toxicity
 
+SMALL = Path("/root/testdata/sf0.01")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -350,11 +352,27 @@ def test_language_equals_brute_classification(spark):
 
 
 def test_narrow_margin_is_calibrated():
-    languages = {"aa": (b"ra ne to " * 50, 0.5), "bb": (b"sch ung zer " * 50, 0.5)}
-    clear = [("aa", "ra ne to ra"), ("bb", "ung zer sch")] * 20
-    mixed = [("aa", "ung zer ra ne to"), ("bb", "ra ne ung")] * 5
-    assert langid.narrowest(languages, clear) == 0.0
-    assert 0 <= langid.narrowest(languages, clear + mixed) <= langid.MOST_MARGIN
+    known = [(0.2 + i / 1000, True) for i in range(998)] + [(0.05, True)]
+    assert langid.narrowest(known, []) == 0.0
+    assert langid.narrowest(known, [0.01, 0.15, 0.3]) == 0.15  # one of 999 may go, two may not
+    assert langid.narrowest(known + [(0.001, False)] * 5 + [(0.003, True)] * 9, [0.002, 0.2]) == 0.002
+    assert langid.narrowest([(0.3, False), (0.4, False), (0.5, True)], [0.1]) == 0.4
+    assert langid.narrowest([], [0.1]) == 0.0
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="driver tables are absent")
+def test_unseen_languages_are_mostly_rejected_and_known_ones_kept(spark):
+    d = spark.read.parquet(str(SMALL / "documents.parquet")).select("doc_id", "text", "lang").withColumn("held", langid.held_out("doc_id", 4, 2))
+    taught, asked = d.filter("not held"), d.filter("held and text rlike '[a-z]'")
+    rejected, n = 0, 0
+    for name in ("de", "en", "es", "fr"):
+        out = langid.classify(asked.filter(F.col("lang") == name), langid.learn(taught.filter(F.col("lang") != name)))
+        found = out.agg(F.sum(F.col("rejected").cast("long")), F.count("*")).first()
+        rejected, n = rejected + found[0], n + found[1]
+    model = langid.learn(taught)
+    known = langid.classify(asked, model).agg(F.avg(F.col("rejected").cast("double"))).first()[0]
+    assert 0 < model.margin and known <= 0.01 and rejected / n >= 0.7, (model.margin, known, rejected / n)
+    print("unseen rejected", rejected, n, "known rejected", known, "margin", model.margin)
 
 
 def test_language_without_labels(spark):

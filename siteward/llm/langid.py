@@ -33,7 +33,7 @@ PIECES, PIECE_CHARS = 4, 2000
 DICT_BYTES = 96 << 10
 BLOCK_BYTES = 32 << 10
 CLOSE = 0.02
-LOST = 0.002
+UNSEEN, LOST = 0.9, 0.002
 _FRAME = {"window_log": 19, "hash_log": 17, "chain_log": 17, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 GREEDY = {"strategy": zstd.STRATEGY_GREEDY, "min_match": 4, "search_log": 4}
 OPTIMAL = {"strategy": zstd.STRATEGY_BTLAZY2, "min_match": 3, "search_log": 5, "target_length": 16}
@@ -107,7 +107,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def narrowest(known: list[tuple[float, bool]], foreign: list[float]) -> float:
     """The margin, from leads of texts of known languages (and whether they were right) and of foreign ones:
     the greatest lead up to which known ones are more often wrong than right; or, if that is more, the
-    greatest foreign lead that rejects a share of at most ``LOST`` of the known ones that are right."""
+    lead that rejects a share of ``UNSEEN`` of the foreign ones, or the greatest foreign lead below it that rejects
+    a share of at most ``LOST`` of the known ones that are right."""
     margin, excess = 0.0, 0
     for lead, equal in groupby(sorted(known), key=lambda x: x[0]):
         excess += sum(-1 if good else 1 for _, good in equal)
@@ -115,7 +116,8 @@ def narrowest(known: list[tuple[float, bool]], foreign: list[float]) -> float:
             margin = lead
     leads = sorted(lead for lead, good in known if good)
     first_kept = leads[int(LOST * len(leads))] if leads else 0.0
-    return max([margin, *(lead for lead in foreign if lead < first_kept)])
+    asked = sorted(foreign)[: math.ceil(UNSEEN * len(foreign))]
+    return max([margin, *(lead for lead in asked if lead < first_kept)])
 
 
 class Classifier:

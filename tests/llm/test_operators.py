@@ -355,6 +355,7 @@ def test_narrow_margin_is_calibrated():
     known = [(0.2 + i / 1000, True) for i in range(998)] + [(0.05, True)]
     assert langid.narrowest(known, []) == 0.0
     assert langid.narrowest(known, [0.01, 0.15, 0.3]) == 0.15  # one of 999 may go, two may not
+    assert langid.narrowest(known, [0.01] * 9 + [0.15]) == 0.01  # nine tenths of the foreign ones are enough
     assert langid.narrowest(known + [(0.001, False)] * 5 + [(0.003, True)] * 9, [0.002, 0.2]) == 0.002
     assert langid.narrowest([(0.3, False), (0.4, False), (0.5, True)], [0.1]) == 0.5  # two of three are wrong
     assert langid.narrowest([], [0.1]) == 0.0
@@ -371,7 +372,7 @@ def test_unseen_languages_are_mostly_rejected_and_known_ones_kept(spark):
         rejected, n = rejected + found[0], n + found[1]
     model = langid.learn(taught)
     known = langid.classify(asked, model).agg(F.avg(F.col("rejected").cast("double"))).first()[0]
-    assert 0 < model.margin and known <= 0.01 and rejected / n >= 0.7, (model.margin, known, rejected / n)
+    assert 0 < model.margin and known <= 0.02 and rejected / n >= 0.9, (model.margin, known, rejected / n)
     print("unseen rejected", rejected, n, "known rejected", known, "margin", model.margin)
 
 

@@ -65,17 +65,19 @@ def bundle_exposure(spark, d):
     return rows.groupBy("site", F.pmod(F.col("cell"), F.lit(5)).cast("long").alias("bundle")).agg(F.round(F.sum(F.col("population") * F.col("need")), 4).alias("exposure"))
 
 
-@query("radius_monotonicity", f"{_B} SELECT r.r AS radius, count(*) AS pairs, CAST(0 AS BIGINT) AS lost FROM cover, (VALUES (100), (250), (500)) r(r) WHERE distance <= r.r + 1e-9 GROUP BY 1")
+RADII = (100, 250, 500)
+
+
+@query(
+    "radius_monotonicity",
+    f"""{_B}, m AS (SELECT r.r AS radius, site, cell FROM cover, (VALUES {', '.join(f'({r})' for r in RADII)}) r(r) WHERE distance <= r.r + 1e-9 AND NOT (r.r = 250 AND site % 11 = 3))
+SELECT radius, count(*) AS pairs, count(*) FILTER (radius < 500 AND NOT EXISTS (SELECT 1 FROM m w WHERE w.site = m.site AND w.cell = m.cell AND w.radius = CASE m.radius WHEN 100 THEN 250 ELSE 500 END)) AS lost FROM m GROUP BY 1""",
+)
 def monotone(spark, d):
-    """Pairs of each radius, and those that a larger radius would lose: none."""
-    wide = checkpointed(cover(spark, d).select("site", "cell"))
-    out = None
-    for r in (100, 250, 500):
-        pairs = X.range_join(sites(spark, d), cells(spark, d), float(r)).select("site", "cell")
-        lost = pairs.join(wide, ["site", "cell"], "left_anti").agg(F.count("*").alias("lost"))
-        row = pairs.agg(F.count("*").alias("pairs")).crossJoin(lost).select(F.lit(r).alias("radius"), "pairs", "lost")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Coverage matrices of three radii, the middle one stale (some sites are missing): what each loses that a smaller one has."""
+    held = F.array(*[F.when((F.col("distance") <= r + 1e-9) & ~(F.lit(r == 250) & (F.col("site") % 11 == 3)), F.lit(r)) for r in RADII])
+    pairs = cover(spark, d).select(F.explode(F.array_compact(held)).alias("radius"), "site", "cell")
+    return X.radius_losses(pairs, RADII)
 
 
 @query(

@@ -22,6 +22,13 @@ def clip(x: Column, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, lit(low)), lit(high)))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x rounded half away from zero as most SQL engines do: scaled, rounded to a whole number, scaled back.  Spark's own
+    ``round`` goes by the decimal text, which parts from it where a value lies within a bit of a half."""
+    scale = float(10**digits)
+    return F.round(x.cast("double") * scale, 0) / scale
+
+
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), few: bool = False, weight: str | None = None) -> DataFrame:
     """by, value, less (rows below it), same (rows at it), total; nulls are left out; a row counts ``weight`` times.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteward.functions.scalers import scaled_long, transformed
-from siteward.functions.stats import average_rank, clip, gini, ordered_rank, rank_percentile, safe_corr, value_positions
+from siteward.functions.stats import average_rank, clip, gini, ordered_rank, rank_percentile, rounded, safe_corr, value_positions
 from siteward.sources.tables import checkpointed
 
 
@@ -56,17 +56,24 @@ def axis_scores(scores: DataFrame, spec: DataFrame, key: Sequence[str]) -> DataF
     return grouped.groupBy(*key, "axis").agg(F.avg("score").alias("score"))
 
 
-def weighted(axes: DataFrame, weights: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Weights are normalised over the axes that are there."""
-    joined = axes.join(F.broadcast(weights), "axis")
-    return joined.groupBy(*key).agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6).alias("score"))
+def in_order(weights: Mapping[str, float]) -> tuple[Column, Column]:
+    """Aggregates of the rows (axis, score) of one key: the weighted sum of its scores (null if it has none) and the sum of
+    the weights of its axes, both added in the order of ``weights``, so that they don't depend on the order of rows."""
+    part = lambda a, x: F.coalesce(F.max(F.when(F.col("axis") == a, x)), F.lit(0.0))
+    total = sum((part(a, F.lit(float(w)) * F.col("score")) for a, w in weights.items()), F.lit(0.0))
+    return F.when(F.count("score") > 0, total), sum((part(a, F.lit(float(w))) for a, w in weights.items()), F.lit(0.0))
+
+
+def weighted(axes: DataFrame, weights: Mapping[str, float], key: Sequence[str]) -> DataFrame:
+    """Weights are normalised over the axes that are there; a key has one row an axis."""
+    total, of = in_order(weights)
+    return axes.filter(F.col("axis").isin(*weights)).groupBy(*key).agg(rounded(total / of).alias("score"))
 
 
 def need_score(units: DataFrame, features: Sequence[Feature], weights: Mapping[str, float], key: str = "unit", scaler: str = "winsorized_percentile") -> DataFrame:
     spark = units.sparkSession
     long = feature_scores(units, features, key, scaler)
-    w = spark.createDataFrame(list(weights.items()), "axis string, w double")
-    total = checkpointed(weighted(axis_scores(long, spec_frame(spark, features), [key]), w, [key]))
+    total = checkpointed(weighted(axis_scores(long, spec_frame(spark, features), [key]), weights, [key]))
     return ordered_rank(total, "score", key, "rank", "tied_rank", "tie_size")
 
 
@@ -90,8 +97,7 @@ def ablation(units: DataFrame, features: Sequence[Feature], weights: Mapping[str
     changed, base = means(every, ["scenario", key]), means(long, [key])
     others = spark.createDataFrame([(s, a) for s, _, n in plans for a in sorted(set(axis_of.values())) if n is None or a != axis_of[n]], "scenario string, axis string")
     axes = changed.unionByName(base.join(F.broadcast(others), "axis").select("scenario", key, "axis", "score"))
-    w = spark.createDataFrame(list(weights.items()), "axis string, w double")
-    return weighted(axes, w, ["scenario", key])
+    return weighted(axes, weights, ["scenario", key])
 
 
 def top_jaccard(both: DataFrame, a: str, b: str, k: int) -> Column:

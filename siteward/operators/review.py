@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import fsum
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteward.functions.stats import ordered_rank, safe_corr
+from siteward.functions.stats import ordered_rank, rounded, safe_corr
+from siteward.operators.need import in_order
 from siteward.sources.tables import checkpointed
 
 
@@ -15,9 +17,11 @@ def profile_runs(axes: DataFrame, profiles: Mapping[str, Mapping[str, float]], k
     """profile, key, score, rank: every weight profile as rows of one job over axis scores (key, axis, score).
 
     Ranks come from counted scores, so that no task orders a whole profile; a null score has no rank."""
-    rows = [(p, a, float(w) / sum(ws.values())) for p, ws in profiles.items() for a, w in ws.items()]
-    weights = F.broadcast(axes.sparkSession.createDataFrame(rows, "profile string, axis string, w double"))
-    out = checkpointed(axes.join(weights, "axis").groupBy("profile", key).agg(F.round(F.sum(F.col("w") * F.col("score")), 6).alias("score")))
+    # fsum: weights that add up to 1 stay as they are, whatever their order
+    shares = {p: {a: float(w) / fsum(ws.values()) for a, w in ws.items()} for p, ws in profiles.items()}
+    runs = F.array(*[F.struct(F.lit(p).alias("profile"), rounded(in_order(ws)[0]).alias("score"), F.count_if(F.col("axis").isin(*ws)).alias("_n")) for p, ws in shares.items()])
+    out = axes.filter(F.col("axis").isin(*{a for ws in shares.values() for a in ws})).groupBy(key).agg(runs.alias("_runs"))
+    out = checkpointed(out.select(F.inline("_runs"), key).filter("_n > 0").select("profile", key, "score"))
     ranked = ordered_rank(out.filter("score IS NOT NULL"), "score", key, by=["profile"]).select("profile", key, "score", "rank")
     return ranked.unionByName(out.filter("score IS NULL").withColumn("rank", F.lit(None).cast("long")))
 

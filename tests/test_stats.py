@@ -1,5 +1,8 @@
 """Ranks, scalers and sources on small frames."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +105,19 @@ def test_kendall_matches_all_pairs(spark, n, values):
     base = sum(abs(a) for a, _ in pairs) ** 0.5 * sum(abs(b) for _, b in pairs) ** 0.5
     assert len(got) == 1
     assert got[0]["tau"] == (pytest.approx(sum(a * b for a, b in pairs) / base, abs=1e-12) if base else None)
+
+
+def test_halves_are_rounded_as_in_sql_and_in_a_fixed_order(spark):
+    from siteward.functions.stats import rounded
+    from siteward.operators import need, review
+
+    sql = lambda x: math.floor(x * 1e6 + 0.5) / 1e6
+    assert spark.range(1).select(rounded(F.lit(82 / 1280)).alias("r")).collect()[0]["r"] == sql(82 / 1280) == 0.064062
+    r = random.Random(5)  # percentiles of a table of 900,000 rows: one score in dozens lies on a half
+    weights, rows = {"a": 0.5, "b": 0.3, "c": 0.2}, {k: [100 * (r.randrange(1_800_000) / 2 / 900_000) for _ in range(3)] for k in range(3000)}
+    long = [(k, a, s) for k, v in rows.items() for a, s in zip(weights, v, strict=True)]
+    want = {k: sql(0.5 * x + 0.3 * y + 0.2 * z) for k, (x, y, z) in rows.items()}
+    for order in (long, long[::-1], r.sample(long, len(long))):
+        axes = spark.createDataFrame(order, "unit long, axis string, score double")
+        assert {x["unit"]: x["score"] for x in need.weighted(axes, weights, ["unit"]).collect()} == want
+        assert {x["unit"]: x["score"] for x in review.profile_runs(axes, {"p": weights}).collect()} == want

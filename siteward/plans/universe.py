@@ -128,8 +128,8 @@ SELECT site, count(*) AS cells, sum(population) AS population FROM s JOIN d ON d
 def synthetic(spark, d):
     """A made-up instance as large as the tables: a unit a nation, sites and cells as many as suppliers and parts."""
     units, s, c = (table(spark, d, name).count() for name in ("nation", "supplier", "part"))
-    _, cells_, cover_ = U.synthetic_instance(spark, units, max(1, s // units), max(5, c // units))
-    return cover_.join(cells_, "cell").groupBy("site").agg(F.count("*").alias("cells"), F.sum("population").alias("population"))
+    _, _, cover_ = U.synthetic_instance(spark, units, max(1, s // units), max(5, c // units))
+    return cover_.groupBy("site").agg(F.count("*").alias("cells"), F.sum("population").alias("population"))
 
 
 _RULES = {"years": "years >= 5", "level": "mean >= 20", "steady": "spread <= 0.6 * mean"}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteward.operators import spatial as X
 from siteward.operators import universe as U
 from siteward.plans import stage2
-from siteward.plans.roles import CELLS, COVER, PANEL, SITES, SUPPLY, cells, panel, sites, supply
+from siteward.plans.roles import CELLS, COVER, PANEL, RADIUS, SITES, SUPPLY, cells, panel, sites, supply
 from siteward.plans.stage3 import cover
 from siteward.plans.stage4 import _PL, plans
 from siteward.sources.tables import table
@@ -88,7 +89,8 @@ def dominant(spark, d):
 
 @query("population_split", f"{_B} SELECT site, round(sum(CASE WHEN cell % 3 = 0 THEN population ELSE 0 END), 4)::DOUBLE AS inside, round(sum(CASE WHEN cell % 3 <> 0 THEN population ELSE 0 END), 4)::DOUBLE AS outside FROM cover JOIN cells USING (cell) GROUP BY 1")
 def split(spark, d):
-    return U.population_split(cover(spark, d), cells(spark, d).withColumn("rural", (F.col("cell") % 3 == 0).cast("int")), "rural")
+    c = cells(spark, d).withColumn("rural", (F.col("cell") % 3 == 0).cast("int"))
+    return U.population_split(X.range_join(sites(spark, d), c, RADIUS, (), (), ("population", "rural")), c, "rural")
 
 
 @query("region_targets", f"WITH {CELLS}, r AS (SELECT region, round(sum(CASE WHEN cell % 3 = 0 THEN population ELSE 0 END) / sum(population), 6) AS ratio FROM cells GROUP BY 1) SELECT region, ceil(floor(ratio * 1000000 + 1e-9) * 0.95 - 1e-12) / 1000000 AS floor FROM r")

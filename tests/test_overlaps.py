@@ -38,3 +38,17 @@ def test_two_sites_are_paired_once_a_block_and_halves_are_rounded_as_in_sql(spar
     assert pair_overlaps(df.limit(0), cells).count() == 0
     plan = O.shared_sums(O.sites_of_cells(df, cells, ["population"]), ["population"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "_name" in plan.split("Join", 1)[1].split("\n", 1)[0]
+
+
+@pytest.mark.parametrize(("entries", "rows"), [(1 << 24, 1 << 20), (40, 30)])
+def test_a_block_is_cut_by_its_bounds(monkeypatch, entries, rows):
+    monkeypatch.setattr(O, "ENTRIES", entries)
+    monkeypatch.setattr(O, "ROWS", rows)
+    r = random.Random(9)
+    held = [r.sample(range(20), r.randrange(1, 9)) for _ in range(30)]
+    flat, ends = O.pa.array([s for h in held for s in h], O.pa.int64()), O.np.cumsum([0, *map(len, held)])
+    got = {}
+    for i, j, n, _ in O._block(flat, ends, []):
+        for a, b, k in zip(i.to_pylist(), j.to_pylist(), n.tolist(), strict=True):
+            got[a, b] = got.get((a, b), 0) + k
+    assert got == {(a, b): n for a in range(20) for b in range(a + 1, 20) if (n := sum(a in h and b in h for h in held))}

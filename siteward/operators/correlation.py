@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteward.functions.stats import quantiles, rank_percentile, safe_corr, value_positions
+from siteward.functions.stats import quantiles, rank_percentile, safe_corr
 from siteward.sources.tables import checkpointed
 
 #: Eigenvalues of a Gram matrix below this share of the largest are those of collinear controls.
@@ -80,27 +81,105 @@ def draws(df: DataFrame, block: str, replicates: int, seed: int = 1) -> DataFram
     return checkpointed(drawn.unionByName(once).join(numbered, "_i").select("replicate", block, "w"))
 
 
+def _places(long: DataFrame, width: int) -> DataFrame:
+    """_f, _v, mid of every value _v of a feature _f, from rows (_f, _v, _at: array of ``width`` counts), one a value: place by place
+    the counts below the value and half of those at it.
+
+    Values are dealt into ranges; a range starts with the sums of those before."""
+    ranged = checkpointed(long.repartitionByRange("_f", "_v").select(F.spark_partition_id().alias("_part"), "_f", "_v", "_at"))
+    sums = F.array(*[F.sum(F.col("_at")[k]) for k in range(width)])
+    parts = ranged.groupBy("_part", "_f").agg(sums.alias("_sum"))  # one row a range and feature
+    ahead = Window.partitionBy("_f").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_part", "_f", F.array(*[F.coalesce(F.sum(F.col("_sum")[k]).over(ahead), F.lit(0)) for k in range(width)]).alias("_before"))
+    rows = ranged.join(F.broadcast(before), ["_part", "_f"]).select("_part", "_f", "_v", "_at", "_before")
+    rows = rows.repartition("_part", "_f").sortWithinPartitions("_part", "_f", "_v")
+
+    def run(batches):
+        key, below = None, None
+        for batch in batches:
+            pdf = batch.to_pandas()
+            out = np.empty((len(pdf), width))
+            for name, at in pdf.groupby(["_part", "_f"], sort=False).indices.items():
+                counts = np.stack(pdf["_at"].to_numpy()[at])
+                if key != name:
+                    key, below = name, pdf["_before"].iloc[at[0]]
+                past = below + np.cumsum(counts, axis=0)
+                out[at] = past - counts / 2
+                below = past[-1]
+            mid = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * width, pa.int32()), out.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), mid], names=["_f", "_v", "mid"])
+
+    return rows.mapInArrow(run, "_f string, _v double, mid array<double>")
+
+
+FEW = 10_000
+
+
 def bootstrap_pairs(df: DataFrame, key: str, block: str, names: Sequence[str], replicates: int, seed: int = 1) -> DataFrame:
-    """replicate, a, b, rho of resampled whole blocks.  Rows are never copied: a row counts as often as its block was
-    drawn, in the average ranks (counts of values by weight) and in the moments of all pairs, made in one aggregate."""
-    rows = checkpointed(df.select(key, F.col(block).alias("_b"), *[F.col(c).cast("double").alias(c) for c in names]))
-    weights = draws(rows, "_b", replicates, seed)
-    drawn = checkpointed(rows.join(weights, "_b"))
-    long = drawn.unpivot(["replicate", key, "w"], [*names], "_f", "_v")
-    at = value_positions(long, "_v", ["replicate", "_f"], few=True, weight="w")
-    # Ranks from the middle, so that products stay small.
-    ranked = long.join(at, ["replicate", "_f", "_v"]).withColumn("_r", F.col("less") + (F.col("same") + 1) / 2 - (F.col("total") + 1) / 2)
-    wide = ranked.groupBy("replicate", key, "w").agg(*[F.max(F.when(F.col("_f") == c, F.col("_r"))).alias(c) for c in names])
-    pairs = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            w = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col("w"))
-            s = lambda *c, w=w: F.sum(np.prod([w, *[F.col(x) for x in c]]))
-            n = s()
-            va, vb = n * s(a, a) - s(a) * s(a), n * s(b, b) - s(b) * s(b)
-            rho = F.when((n > 1) & (va > 1e-9) & (vb > 1e-9), (n * s(a, b) - s(a) * s(b)) / (F.sqrt(va) * F.sqrt(vb)))
-            pairs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(rho, 9).alias("rho")))
-    return wide.groupBy("replicate").agg(F.array(*pairs).alias("p")).select("replicate", F.explode("p").alias("p")).select("replicate", "p.*")
+    """replicate, a, b, rho of resampled whole blocks.  Rows are never copied, nor made once a replicate: the average rank of a value
+    is a weighted sum of the rows below it in each block, so values are counted once, block by block; a task multiplies these
+    counts with the weights of all replicates and sends on the moments of all pairs, one row a replicate and pair.
+
+    Where there are more blocks than replicates, rows below a value are counted replicate by replicate instead.  Every task has the
+    weights, one number a block and replicate."""
+    names, spark = [*names], df.sparkSession
+    rows = df.select(key, F.col(block).alias("_b"), *[F.col(c).cast("double").alias(c) for c in names])
+    rows = checkpointed(rows.repartition(key))
+    drawn = draws(rows, "_b", replicates, seed)
+    blocks = checkpointed(drawn.filter("replicate = -1 AND _b IS NOT NULL").select("_b", (F.row_number().over(Window.orderBy("_b")) - 1).alias("_i")))  # one row a block
+    n, tries = blocks.count(), replicates + 1
+    weights = np.zeros((max(n, 1), tries))  # replicate -1 first
+    for x in drawn.join(blocks, "_b").select("replicate", "_i", "w").toLocalIterator():
+        weights[x["_i"], x["replicate"] + 1] = x["w"]
+    by_block = n <= tries
+    width = max(n, 1) if by_block else tries
+    rows = checkpointed(rows.join(F.broadcast(blocks), "_b").drop("_b"))
+    long = rows.unpivot([key, "_i"], names, "_f", "_v").filter("_v IS NOT NULL").groupBy("_f", "_v", "_i").agg(F.count("*").alias("_n"))
+    if by_block:
+        at = [F.sum(F.when(F.col("_i") == k, F.col("_n")).otherwise(0)) for k in range(width)]
+    else:
+        table = spark.createDataFrame([(i, [int(v) for v in w]) for i, w in enumerate(weights)], "_i int, _w array<bigint>")
+        long = long.join(F.broadcast(table), "_i")
+        at = [F.sum(F.col("_n") * F.col("_w")[k]) for k in range(width)]
+    mid = checkpointed(_places(long.groupBy("_f", "_v").agg(F.array(*at).alias("_at")), width))
+    distinct = {x["_f"]: x["count"] for x in mid.groupBy("_f").count().collect()}
+    known = {x["_i"]: x for x in rows.groupBy("_i").agg(*[F.count(c).alias(c) for c in names]).collect()}
+    totals = {c: sum((weights[i] * x[c] for i, x in known.items()), np.zeros(tries)) for c in names}
+    wide = rows
+    for k, c in enumerate(names):
+        part = mid.filter(F.col("_f") == c).select(F.col("_v").alias(c), F.col("mid").alias(f"_m{k}"))
+        wide = wide.join(F.broadcast(part) if distinct.get(c, 0) <= FEW else part, c, "left")
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    sums = ["m", "n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def moments(batches):
+        out = np.zeros((len(pairs), len(sums), tries))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2048):
+                piece = batch.slice(low, 2048)
+                w, ranks = weights[piece.column(0).to_numpy()], []
+                for k, c in enumerate(names):
+                    at, r = piece.column(k + 1), np.zeros((piece.num_rows, tries))
+                    good = at.is_valid().to_numpy(zero_copy_only=False)
+                    if good.any():
+                        m = at.filter(at.is_valid()).flatten().to_numpy().reshape(-1, width)
+                        # From the middle, so that products stay small.
+                        r[good] = (m @ weights if by_block else m) - totals[c] / 2
+                    ranks.append((good, r))
+                for p, (i, j) in enumerate(pairs):
+                    (ga, a), (gb, b) = ranks[i], ranks[j]
+                    v = w * (ga & gb)[:, None]
+                    va, vb = v * a, v * b
+                    out[p] += np.stack([w.sum(0), v.sum(0), va.sum(0), vb.sum(0), (va * a).sum(0), (vb * b).sum(0), (va * b).sum(0)])
+        for p, (i, j) in enumerate(pairs):
+            yield pa.RecordBatch.from_pydict({"replicate": np.arange(-1, tries - 1), "a": [names[i]] * tries, "b": [names[j]] * tries} | {s: out[p, q] for q, s in enumerate(sums)})
+
+    rows = wide.select("_i", *[f"_m{k}" for k in range(len(names))]).mapInArrow(moments, "replicate long, a string, b string, " + ", ".join(f"{s} double" for s in sums))
+    rows = rows.groupBy("replicate", "a", "b").agg(*[F.sum(s).alias(s) for s in sums]).filter("m > 0")
+    c = F.col
+    va, vb = c("n") * c("saa") - c("sa") * c("sa"), c("n") * c("sbb") - c("sb") * c("sb")
+    rho = F.when((c("n") > 1) & (va > 1e-9) & (vb > 1e-9), (c("n") * c("sab") - c("sa") * c("sb")) / (F.sqrt(va) * F.sqrt(vb)))
+    return rows.select("replicate", "a", "b", F.round(rho, 9).alias("rho"))
 
 
 def _axis(column: str, axes: Mapping[str, str]) -> Column:

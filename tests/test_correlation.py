@@ -79,3 +79,21 @@ def test_silhouette_matches_loops(spark):
             each.append((other - np.mean(own)) / max(other, np.mean(own)))
     got = K.silhouettes(spark.createDataFrame([(0, a, b, v) for (a, b), v in rho.items()], "replicate long, a string, b string, rho double"), axes).collect()
     assert abs(got[0]["silhouette"] - np.mean(each)) < 1e-12
+
+
+@pytest.mark.parametrize("blocks", [3, 40])
+def test_bootstrap_makes_no_row_per_replicate(spark, monkeypatch, blocks):
+    """Rows that a job writes for the next stay those of the table, with few blocks and with more blocks than replicates."""
+    r = random.Random(blocks)
+    p = pd.DataFrame({"unit": range(200), "block": [i % blocks for i in range(200)], "a": [float(r.randint(0, 9)) for _ in range(200)], "b": [r.random() for _ in range(200)]})
+    p.loc[::7, "b"] = None
+    written, write = [], K.checkpointed
+    monkeypatch.setattr(K, "checkpointed", lambda d: written.append(write(d)) or written[-1])
+    d = spark.createDataFrame(p).replace(float("nan"), None)
+    got = {x["replicate"]: x["rho"] for x in K.bootstrap_pairs(d, "unit", "block", ["a", "b"], 20).collect()}
+    assert max(d.count() for d in written) <= max(400, 21 * blocks)
+    for i in range(-1, 20):
+        picks = range(blocks) if i < 0 else [(1 + i * 7919 + k * 104729 + i * k * 31) % blocks for k in range(blocks)]
+        copied = pd.concat([p[p["block"] == b] for b in picks]).dropna()
+        whole = pd.concat([p[p["block"] == b] for b in picks])
+        assert abs(got[i] - whole["a"].rank()[whole["b"].notna()].corr(whole["b"].rank().dropna())) < 1e-8 and len(copied)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteward.functions.stats import ordered_rank, quantiles, rank_percentile, safe_corr, average_rank
+from siteward.operators.spatial import described
 from siteward.sources.tables import checkpointed
 
 #: The Korean unified plane (GRS80, origin 38 N 127.5 E, scale 0.9996, false origin 1,000,000 / 2,000,000 m).
@@ -262,6 +263,6 @@ def group_values(groups: DataFrame, chosen: Sequence) -> DataFrame:
 
 def cross_share(cover: DataFrame, sites: DataFrame, cells: DataFrame) -> DataFrame:
     """site, share: the part of the population that a site reaches outside its own unit."""
-    rows = cover.join(cells.select("cell", "population", F.col("unit").alias("_cu")), "cell").join(sites.select("site", F.col("unit").alias("_su")), "site")
-    out = F.sum(F.when(F.col("_cu") != F.col("_su"), F.col("population")).otherwise(0.0))
+    rows = described(described(cover, cells, "cell", population="population", cu="unit"), sites, "site", su="unit")
+    out = F.sum(F.when(F.col("cu") != F.col("su"), F.col("population")).otherwise(0.0))
     return rows.groupBy("site").agg(F.round(F.try_divide(out, F.sum("population")), 6).alias("share"))

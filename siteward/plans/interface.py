@@ -9,7 +9,7 @@ from siteward.operators import interface as I
 from siteward.operators import planning as P
 from siteward.operators import spatial as X
 from siteward.plans.roles import CELLS, COVER, PANEL, SITES, UNITS, cells, panel, pct_sql, sites, units
-from siteward.plans.stage3 import cover
+from siteward.plans.stage3 import cover, described_cover
 from siteward.plans.stage4 import _PL, plans
 from siteward.sources.tables import ceil_share, field_status, floor_share, holidays, iso_date, korean_wgs84, monthly_utilisation, table, unit_interval, valid_address
 
@@ -394,12 +394,13 @@ def profile(spark, d):
 
 @query("compressed_values", f"{_B} SELECT count(*) AS cells, round(coalesce(sum(population), 0), 4)::DOUBLE AS population FROM cells WHERE cell IN (SELECT cell FROM cover WHERE site IN (1, 3, 5, 7, 9))")
 def values(spark, d):
-    return I.group_values(P.incidence_groups(cover(spark, d), cells(spark, d)), [1, 3, 5, 7, 9])
+    chosen = [1, 3, 5, 7, 9]
+    return I.group_values(P.incidence_groups(cover(spark, d).filter(F.col("site").isin(chosen)), cells(spark, d)), chosen)
 
 
 @query("cross_unit_share", f"{_B} SELECT k.site, round(sum(CASE WHEN c.unit <> s.unit THEN population ELSE 0 END) / sum(population), 6) AS share FROM cover k JOIN cells c USING (cell) JOIN sites s ON s.site = k.site GROUP BY 1")
 def cross(spark, d):
-    return I.cross_share(cover(spark, d), sites(spark, d), cells(spark, d))
+    return I.cross_share(described_cover(spark, d), sites(spark, d), cells(spark, d))
 
 
 @query("holiday_dates", "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, 'day ' || day(ts) AS name FROM events WHERE day(ts) % 2 = 0")

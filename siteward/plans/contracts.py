@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from siteward.operators import handoff as H
 from siteward.plans import stage2
-from siteward.plans.roles import CELLS, COVER, PANEL, SITES, cells, panel, sites
-from siteward.plans.stage3 import cover
+from siteward.plans.roles import CELLS, COVER, PANEL, SITES, panel
+from siteward.plans.stage3 import described_cover
 from siteward.sources import contracts as C
 
 QUERIES, SQL = {}, {}
@@ -37,9 +37,7 @@ def _released(spark, d):
 
 
 def _sites(spark, d):
-    placed = sites(spark, d).select("site", "unit", "region")
-    there = cells(spark, d).select("cell", "population", F.col("unit").alias("_u"), F.col("region").alias("_r"))
-    rows = cover(spark, d).select("site", "cell").join(there, "cell").join(placed, "site")
+    rows = described_cover(spark, d).select("site", "population", F.col("su").alias("unit"), F.col("sr").alias("region"), F.col("cu").alias("_u"), F.col("cr").alias("_r"))
     part = lambda c: F.sum(F.when(c, F.col("population")).otherwise(0.0))
     unit, region = F.col("unit") == F.col("_u"), F.col("region") == F.col("_r")
     reach = rows.groupBy("site", "unit", "region").agg(F.sum("population").alias("raw"), part(unit).alias("own"), part(~unit).alias("crossing"), part(~region).alias("far"))

@@ -128,7 +128,7 @@ SELECT b.site, coalesce(a.v, 0.0) AS before, b.v AS after, CASE WHEN a.v > 0 THE
 )
 def change(spark, d):
     def reach(r):
-        return X.catchment(sites(spark, d), cells(spark, d), r).join(cells(spark, d).select("cell", "population"), "cell").groupBy("site").agg(F.round(F.sum("population"), 4).alias("v"))
+        return X.range_join(sites(spark, d), cells(spark, d), r, carry_cells=("population",)).groupBy("site").agg(F.round(F.sum("population"), 4).alias("v"))
 
     return C.exposure_change(reach(250.0), reach(500.0), "site", "v")
 

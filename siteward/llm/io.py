@@ -67,12 +67,17 @@ def shipped(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
-SALTS = 32
+SALTS, FEW = 32, 50_000
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """rows joined with a table of one row a key.  A key may hold any share of rows: they are dealt over ``salts`` tasks in
-    turn, and the table's rows go to each.  rows are read from tables, so that a task run again deals them alike."""
+    turn, and the table's rows go to each.  rows are read from tables, so that a task run again deals them alike.
+
+    A stored table of up to FEW rows is sent whole instead.  The copies never are: Spark takes them for no larger than the
+    table's file, packed, and would gather ``salts`` times as many rows in the driver's memory to send them."""
+    if hasattr(table, "stored_at") and table.count() <= FEW:
+        return rows.join(F.broadcast(table), on, how)
     dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")

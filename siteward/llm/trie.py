@@ -79,7 +79,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     convs = stored(convs.select("*", (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length")))
     lent = own.filter((conv % FAMILY == 0) & (F.col("pos") < MOST_SHARED - 1)).withColumnRenamed("conv_id", "family")
     first = convs.filter("taken > 0").join(lent, "family").filter("pos < taken").select("conv_id", (F.col("pos") + 1).alias("depth"), "turn_id", "words")
-    short = convs.filter("taken < h").select("conv_id", "taken")
+    short = stored(convs.filter("taken < h").select("conv_id", "taken"))
     rest = lookup(own.filter(F.col("pos") >= h), short, ["conv_id"])
     rest = rest.select("conv_id", (F.coalesce("taken", h) + F.col("pos") - h + 1).alias("depth"), "turn_id", "words")
     return first.unionByName(rest), convs.select("conv_id", "length")
@@ -107,7 +107,7 @@ def burst(rows: DataFrame, convs: DataFrame, limit: int) -> DataFrame:
     rungs = rows.filter(F.col("depth").bitwiseAND(F.col("depth") - 1) == 0).select("conv_id", *NAME)
     rungs = stored(rungs.join(convs, "conv_id"))
     large = rungs.groupBy(*NAME).agg(F.sum(F.col("length") - F.col("depth") + 1).alias("size")).filter(F.col("size") > limit)
-    marked = lookup(rungs, large.select(*NAME, F.lit(True).alias("large")), NAME)
+    marked = lookup(rungs, stored(large.select(*NAME, F.lit(True).alias("large"))), NAME)
     return stored(marked.groupBy("conv_id", "length").agg(F.min(F.when(F.col("large").isNull(), F.col("depth"))).alias("top")))
 
 

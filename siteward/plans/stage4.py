@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from siteward.operators import network as R
 from siteward.operators import planning as P
 from siteward.operators import spatial as X
-from siteward.plans.roles import CELLS, COVER, SITES, cells, pct_sql, sites
+from siteward.plans.roles import CELLS, COVER, RADIUS, SITES, cells, pct_sql, sites
 from siteward.plans.stage3 import cover
 from siteward.sources.tables import checkpointed, fingerprint, table
 
@@ -73,7 +75,8 @@ def equivalence(spark, d):
 SELECT a.site, min(b.site) AS by FROM s a JOIN s b ON a.region = b.region AND a.site <> b.site AND b.cost <= a.cost AND list_has_all(b.c, a.c) AND (len(a.c) < len(b.c) OR b.cost < a.cost OR b.site < a.site) GROUP BY 1""",
 )
 def dominance(spark, d):
-    return P.dominated(cover(spark, d), sites(spark, d).withColumn("cost", F.pmod(F.col("site") * 11, F.lit(23)).cast("double")), "region", "cost")
+    s = checkpointed(sites(spark, d).withColumn("cost", F.pmod(F.col("site") * 11, F.lit(23)).cast("double")))
+    return P.dominated(partial(X.range_join, radius=RADIUS), s, "region", "cost", cells(spark, d))
 
 
 CAPS = {"unit": 2, "region": 4, "cluster": 1}

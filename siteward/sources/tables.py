@@ -105,6 +105,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in as many partitions as shuffles have: AQE, which goes by bytes, would leave a small table that joins make many
+    rows of to a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes the folders of tables that ``checkpointed`` wrote and that nothing reads any more."""
     for df in tables:

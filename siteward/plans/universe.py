@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from siteward.operators import spatial as X
@@ -59,7 +61,7 @@ def fixings(spark, d):
 SELECT a.plan AS anchor, p.site, round(sum(population), 4) AS gain FROM p CROSS JOIN (SELECT DISTINCT plan FROM pl) a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.plan = a.plan AND h.cell = p.cell) AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.plan = a.plan AND pl.site = p.site) GROUP BY 1, 2""",
 )
 def cuts(spark, d):
-    return U.anchored_cuts(cover(spark, d), cells(spark, d), plans(spark, d))
+    return U.anchored_cuts(partial(X.range_join, radius=RADIUS), cells(spark, d), plans(spark, d), sites(spark, d))
 
 
 @query(

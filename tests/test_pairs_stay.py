@@ -24,3 +24,7 @@ def test_covered_pairs_are_not_dealt_by_cell(spark, name):
 
 def test_only_pairs_of_chosen_sites_are_made(spark):
     assert re.search(r"s_suppkey#\d+L? IN \(1,3,5,7,9\)", plan(spark, lambda s: catalog.queries()["compressed_values"](s, SMALL)))
+
+
+def test_covered_pairs_of_anchored_cuts_are_added_up_where_they_lie(spark):
+    assert not re.search(r"hashpartitioning\([^)]*cell#", plan(spark, lambda s: catalog.queries()["anchored_cuts"](s, SMALL)))

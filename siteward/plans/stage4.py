@@ -55,7 +55,8 @@ def reduce(spark, d):
 SELECT region, coverers, count(*) AS cells, round(sum(population), 4) AS population FROM cells JOIN t USING (cell) GROUP BY 1, 2""",
 )
 def compression(spark, d):
-    g = P.incidence_groups(cover(spark, d), cells(spark, d))
+    s = checkpointed(sites(spark, d))
+    g = P.incidence_groups(lambda c, what, carry: X.coverers(s, c, RADIUS, what, carry), checkpointed(cells(spark, d)))
     return g.select("region", F.array_join(F.transform("coverers", lambda s: s.cast("string")), ",").alias("coverers"), "cells", "population")
 
 

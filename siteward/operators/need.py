@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,24 +82,42 @@ def need_score(units: DataFrame, features: Sequence[Feature], weights: Mapping[s
 def ablation(units: DataFrame, features: Sequence[Feature], weights: Mapping[str, float], key: str = "unit") -> DataFrame:
     """One row per (scenario, unit): every feature dropped (weights renormalised) or set to 50.
 
-    All scenarios are rows of one job: the scenario table joins the long scores once."""
-    spark = units.sparkSession
+    A unit's scores meet once, in one row of sums and counts a feature; scenarios are made of that row where it lies, so
+    that nothing is dealt or added up by scenario."""
     long = feature_scores(units, features, key)
-    names = [f.name for f in features]
-    plans = [("baseline", "none", None)] + [(f"{mode}_{n}", mode, n) for n in names for mode in ("renormalize", "neutral")]
-    plan = spark.createDataFrame(plans, "scenario string, mode string, removed string")
+    cols = {f.name: (f"_s{i}", f"_c{i}", f"_n{i}") for i, f in enumerate(features)}
+    aggs = []
+    for name, (s, c, n) in cols.items():
+        mine = F.when(F.col("feature") == name, F.col("score"))
+        aggs += [F.sum(mine).alias(s), F.count(mine).alias(c), F.count_if(F.col("feature") == name).alias(n)]
+    # Dealt before it is added up: a unit's rows lie in different tasks, so sums in front of the shuffle would only be wider rows.
+    wide = checkpointed(long.repartition(key).groupBy(key).agg(*aggs))
+
+    def axis_of(axis: str, mode: str | None = None, removed: str | None = None) -> tuple[Column, Column]:
+        """Whether the axis has rows, and the mean over its groups of the mean over each group's features."""
+        grouped = {}
+        for f in features:
+            if f.axis == axis and not (mode == "renormalize" and f.name == removed):
+                s, c, n = (F.col(x) for x in cols[f.name])
+                grouped.setdefault(f.group, []).append((50.0 * n, n, n) if f.name == removed else (F.coalesce(s, F.lit(0.0)), c, n))
+        add = lambda xs, zero: sum(xs, F.lit(zero))
+        means = [F.try_divide(add((s for s, _, _ in g), 0.0), add((c for _, c, _ in g), 0)) for g in grouped.values()]
+        known = add((F.when(m.isNotNull(), 1).otherwise(0) for m in means), 0)
+        there = add((n for g in grouped.values() for _, _, n in g), 0) > 0
+        return there, F.try_divide(add((F.coalesce(m, F.lit(0.0)) for m in means), 0.0), known)
+
+    axes = list(weights)
+    base = [x for i, a in enumerate(axes) for x in (axis_of(a)[0].alias(f"_h{i}"), axis_of(a)[1].alias(f"_a{i}"))]
     # A scenario changes the axis of the feature that it touches alone; the other axes stay as in the baseline.
-    spec = spec_frame(spark, features)
-    long = checkpointed(long.join(F.broadcast(spec), "feature").select(key, "feature", "grp", "axis", "score"))
-    axis_of = {f.name: f.axis for f in features}
-    touched = spark.createDataFrame([(s, m, n, axis_of[n]) for s, m, n in plans if n], "scenario string, mode string, removed string, axis string")
-    every = long.join(F.broadcast(touched), "axis").filter(~((F.col("mode") == "renormalize") & (F.col("removed") == F.col("feature"))))
-    every = every.withColumn("score", F.when((F.col("mode") == "neutral") & (F.col("removed") == F.col("feature")), 50.0).otherwise(F.col("score")))
-    means = lambda rows, by: rows.groupBy(*by, "grp", "axis").agg(F.avg("score").alias("score")).groupBy(*by, "axis").agg(F.avg("score").alias("score"))
-    changed, base = means(every, ["scenario", key]), means(long, [key])
-    others = spark.createDataFrame([(s, a) for s, _, n in plans for a in sorted(set(axis_of.values())) if n is None or a != axis_of[n]], "scenario string, axis string")
-    axes = changed.unionByName(base.join(F.broadcast(others), "axis").select("scenario", key, "axis", "score"))
-    return weighted(axes, weights, ["scenario", key])
+    plans = [("baseline", None, None)] + [(f"{mode}_{f.name}", mode, f) for f in features for mode in ("renormalize", "neutral")]
+    runs = []
+    for scenario, mode, f in plans:
+        parts = [axis_of(a, mode, f.name) if f and f.axis == a else (F.col(f"_h{i}"), F.col(f"_a{i}")) for i, a in enumerate(axes)]
+        total = sum((F.coalesce(F.lit(float(w)) * x, F.lit(0.0)) for (_, x), w in zip(parts, weights.values(), strict=True)), F.lit(0.0))
+        of = sum((F.when(h, F.lit(float(w))).otherwise(0.0) for (h, _), w in zip(parts, weights.values(), strict=True)), F.lit(0.0))
+        some, scored = (reduce(or_, cs) for cs in ([h for h, _ in parts], [x.isNotNull() for _, x in parts]))
+        runs.append(F.struct(F.lit(scenario).alias("scenario"), some.alias("_some"), F.when(scored, rounded(total / of)).alias("score")))
+    return wide.select("*", *base).select(key, F.inline(F.array(*runs))).filter("_some").select("scenario", key, "score")
 
 
 def top_jaccard(both: DataFrame, a: str, b: str, k: int) -> Column:

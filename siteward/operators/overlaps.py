@@ -106,3 +106,90 @@ def shared_both_ways(sets: DataFrame, values: Sequence[str]) -> DataFrame:
     """site, other, and the sums of ``shared_sums``: every pair in both directions."""
     way = lambda a, b: F.struct(F.col(a).alias("site"), F.col(b).alias("other"), *[F.col(v) for v in values])
     return shared_sums(sets, values).select(F.inline(F.array(way("site_i", "site_j"), way("site_j", "site_i"))))
+
+
+def _stars(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (vertex, least vertex) that connect what the links u, w connect: fewer than there are vertices."""
+    names, code = np.unique(np.concatenate([u, w]), return_inverse=True)
+    a, b, label = code[: len(u)], code[len(u) :], np.arange(len(names))
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(further := label[label], label):
+            label = further
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return names[label[moved]], names[moved]
+
+
+def connecting(edges: DataFrame) -> DataFrame:
+    """site_i, site_j: links that connect the same sites as ``edges`` (site_i, site_j), from a task fewer than sites it meets."""
+    kind = edges.schema["site_i"].dataType.simpleString()
+
+    def run(batches):
+        held, size = [], 0
+        arrays = lambda: [np.concatenate([h[k] for h in held]) for k in (0, 1)]
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            size += batch.num_rows
+            if size > PAIRS:
+                held, size = [_stars(*arrays())], 0
+        if held:
+            u, w = _stars(*arrays())
+            yield pa.RecordBatch.from_arrays([pa.array(u, batch.schema.field(0).type), pa.array(w, batch.schema.field(0).type)], names=["site_i", "site_j"])
+
+    return edges.select("site_i", "site_j").mapInArrow(run, f"site_i {kind}, site_j {kind}")
+
+
+def packed(edges: DataFrame) -> DataFrame:
+    """site, near: the sites before a site that it has an edge (site_i < site_j, whole numbers) with, as steps from one to the
+    next in as few bytes as hold them; a site has a row for each run of ROWS edges of a task."""
+
+    def packs(u, w):
+        order = np.lexsort((u, w))
+        u, w = u[order], w[order]
+        cuts = np.flatnonzero(np.diff(w, prepend=w[0] - 1))
+        for low, high in zip(cuts, [*cuts[1:], len(w)], strict=True):
+            steps = np.diff(u[low:high])
+            size = next(k for k in (1, 2, 4, 8) if k == 8 or steps.max(initial=0) < 1 << 8 * k)
+            yield w[low], bytes([size]) + u[low : low + 1].astype("<i8").tobytes() + steps.astype(f"<u{size}").tobytes()
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            rows = list(packs(*[np.concatenate([h[k] for h in held]) for k in (0, 1)]))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["site", "near"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(k).to_numpy() for k in (0, 1)])
+                size += batch.num_rows
+            if size >= ROWS:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return edges.select(F.col("site_i").cast("long"), F.col("site_j").cast("long")).mapInArrow(run, "site long, near binary")
+
+
+def unpacked(near: bytes) -> np.ndarray:
+    """The sites of one row of ``packed``."""
+    steps = np.frombuffer(near, f"<u{near[0]}", offset=9).astype(np.int64)
+    return np.frombuffer(near[1:9], "<i8")[0] + np.concatenate([[0], np.cumsum(steps)])
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """site_i, site_j of rows of ``packed``."""
+
+    def run(batches):
+        for batch in batches:
+            near = [unpacked(b) for b in batch.column(1).to_pylist()]
+            if near:
+                yield pa.RecordBatch.from_pydict({"site_i": np.concatenate(near), "site_j": np.repeat(batch.column(0).to_numpy(), [len(n) for n in near])})
+
+    return rows.select("site", "near").mapInArrow(run, "site_i long, site_j long")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from siteward.operators import spatial as X
 from siteward.operators import universe as U
 from siteward.plans import stage2
-from siteward.plans.roles import CELLS, COVER, PANEL, RADIUS, SITES, SUPPLY, cells, panel, sites, supply
-from siteward.plans.stage3 import cover
+from siteward.plans.roles import CELLS, COVER, PANEL, RADIUS, SITES, SUPPLY, cells, panel, people, sites, supply
+from siteward.plans.stage3 import cover, discs
 from siteward.plans.stage4 import _PL, plans
 from siteward.sources.tables import table
 
@@ -47,7 +47,7 @@ ub AS (SELECT site, round(max(own), 4) AS own, round(max(own) + coalesce(sum(g)
 
 @query("forced_bounds", f"{_BOUND} SELECT * FROM ub")
 def bounds(spark, d):
-    return U.forced_bounds(cover(spark, d), cells(spark, d), 4)
+    return U.forced_bounds(discs(spark, d), people(spark, d), 4)
 
 
 @query("zero_fixings", f"{_BOUND} SELECT * FROM ub WHERE upper < 6000.0 - 2e-8 * 6000.0")
